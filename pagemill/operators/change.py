@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.operators.dedup import HOT_ROWS, ttl_first_seen
 from pagemill.operators.ordering import SLICE_SECONDS, with_latest_mark, with_previous
+from pagemill.session import cut
 
 # Stored hashes enter as one earlier row per key; this marks them.
 STORED = -1
@@ -47,7 +48,8 @@ def content_changed_ttl(
         "_starts", ~F.col(sha1).eqNullSafe(F.col("_previous"))
     )
     runs = with_latest_mark(marked, key, ts, seq, "_starts", "_run", slice_seconds)
-    runs = runs.withColumn("_run", F.col("_run.seq"))
+    # Narrow rows that feed several passes: windows above are run once.
+    runs = cut(runs.withColumn("_run", F.col("_run.seq")))
     accepted = ttl_first_seen(
         runs, ttl_sec, keys=(key, "_run"), ts=ts, seq=seq, hot_rows=hot_rows
     ).select(

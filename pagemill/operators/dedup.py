@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import url_key
-from pagemill.operators.ordering import first_rows
+from pagemill.operators.ordering import SLICE_SECONDS, first_rows
 from pagemill.session import cut
 
 HOT_ROWS = 1_000_000
@@ -81,9 +80,9 @@ def ttl_first_seen(
     marks from earlier runs.
 
     This is a fold in time order. Keys with up to `hot_rows` rows are folded over sorted
-    partitions, in constant memory. Keys above it are walked together, one accepted row per key
-    and step: a step is a filter and a partial aggregate over all tasks, and there are at most
-    (time span / ttl) steps.
+    partitions, in constant memory. The rows of keys above it stay spread over all tasks: each
+    row gets the row that would be accepted next, and the chain from a key's first row is found
+    by doubling, in log2(accepted rows per key) rounds.
     """
     rows = df.select(
         *keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(seq).alias("seq")
@@ -117,28 +116,67 @@ def _fold(rows: DataFrame, keys: tuple[str, ...], ttl: int, hot_rows: int) -> Da
         return _fold_sorted(rows, keys, ttl)
     cold = _fold_sorted(rows.join(F.broadcast(hot), list(keys), "left_anti"), keys, ttl)
     return cold.unionByName(
-        _walk(cut(rows.join(F.broadcast(hot), list(keys), "left_semi")), keys, ttl)
+        _follow(rows.join(F.broadcast(hot), list(keys), "left_semi"), keys, ttl)
     )
 
 
-def _walk(rows: DataFrame, keys: tuple[str, ...], ttl: int) -> DataFrame:
-    earliest = F.min(F.struct("at", "seq")).alias("first")
+def _follow(rows: DataFrame, keys: tuple[str, ...], ttl: int) -> DataFrame:
+    """The accepted rows of hot keys; joins run on (keys, time), which is unique."""
+    names = list(keys)
+    # Of several rows at one time only the first can be accepted.
+    moments = cut(rows.groupBy(*names, "at").agg(F.min("seq").alias("seq")))
+    jump = cut(_next_accepted(moments.select(*names, "at"), names, ttl))
+    reached = cut(moments.groupBy(*names).agg(F.min("at").alias("at")))
+    while True:
+        # `jump` leaps over as many accepted rows as `reached` holds per key.
+        further = jump.join(reached, [*names, "at"], "left_semi").select(
+            *names, F.col("next").alias("at")
+        )
+        counted = Observation()
+        more = cut(further.observe(counted, F.count("*").alias("n")))
+        if counted.get["n"] == 0:
+            return moments.join(reached, [*names, "at"], "left_semi")
+        reached = cut(reached.unionByName(more))
+        longer = jump.withColumnRenamed("at", "from").withColumnRenamed("next", "at")
+        jump = cut(longer.join(jump, [*names, "at"]).select(*names, F.col("from").alias("at"), "next"))
 
-    def step(candidates: DataFrame) -> tuple[DataFrame, int]:
-        seen = Observation()
-        found = candidates.groupBy(*keys).agg(earliest).select(*keys, "first.at", "first.seq")
-        found = cut(found.observe(seen, F.count("*").alias("n")))
-        return found, seen.get["n"]
 
-    accepted, n = step(rows)
-    all_accepted = [accepted]
-    while n:
-        last = F.broadcast(accepted.select(*keys, F.col("at").alias("last")))
-        accepted, n = step(
-            rows.join(last, list(keys)).filter(F.col("at") > F.col("last") + F.lit(ttl))
-        )
-        all_accepted.append(accepted)
-    return reduce(DataFrame.unionByName, all_accepted)
+def _next_accepted(moments: DataFrame, names: list[str], ttl: int) -> DataFrame:
+    """(keys, at, next): the first moment of the key later than `at` + ttl, where there is one.
+
+    Every moment asks at `at` + ttl. Questions and answers are put in one order and cut into time
+    slices; within a slice a window finds the next moment, a carry per slice supplies the rest.
+    """
+    answer = moments.select(*names, "at", F.lit(None).cast("long").alias("asked_by"))
+    question = moments.select(
+        *names, (F.col("at") + F.lit(ttl)).alias("at"), F.col("at").alias("asked_by")
+    )
+    both = answer.unionByName(question).withColumn(
+        "slice", F.floor(F.col("at") / F.lit(SLICE_SECONDS * 1_000_000))
+    )
+    moment = F.when(F.col("asked_by").isNull(), F.col("at"))
+    later = (
+        Window.partitionBy(*names, "slice")
+        .orderBy(F.desc("at"), F.desc_nulls_last("asked_by"))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    carry = (
+        Window.partitionBy(*names)
+        .orderBy(F.desc("slice"))
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    beyond = (
+        both.groupBy(*names, "slice")
+        .agg(F.min(moment).alias("_first"))
+        .select(*names, "slice", F.min("_first").over(carry).alias("_beyond"))
+    )
+    return (
+        both.withColumn("_near", F.min(moment).over(later))
+        .filter(F.col("asked_by").isNotNull())
+        .join(beyond, [*names, "slice"])
+        .select(*names, F.col("asked_by").alias("at"), F.coalesce("_near", "_beyond").alias("next"))
+        .filter(F.col("next").isNotNull())
+    )
 
 
 def _fold_sorted(rows: DataFrame, keys: tuple[str, ...], ttl: int) -> DataFrame:
