@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import col
-from pagemill.functions.values import to_price, to_rating
+from pagemill.functions.values import first_that, to_price, to_rating
 
 
 def json_blocks(ld: Column | str) -> Column:
@@ -39,7 +39,9 @@ def json_first(blocks: Column | str, *keys: str) -> Column:
 
     def in_block(block: Column) -> Column:
         paths = [path for key in keys for path in _paths(key)]
-        return F.coalesce(*[_usable(F.try_variant_get(block, p, "variant")) for p in paths])
+        return F.coalesce(
+            *[first_that(_usable, F.try_variant_get(block, p, "variant")) for p in paths]
+        )
 
     found = F.filter(F.transform(col(blocks), in_block), lambda v: v.isNotNull())
     return F.get(found, F.lit(0))
@@ -88,7 +90,7 @@ def _number(value: Column) -> Column:
 
 def _usable(value: Column) -> Column:
     blank = F.coalesce(F.try_variant_get(value, "$", "string") == "", F.lit(False))
-    return F.when(value.isNotNull() & ~F.is_variant_null(value) & ~blank, value)
+    return value.isNotNull() & ~F.is_variant_null(value) & ~blank
 
 
 def _paths(key: str) -> list[str]:

@@ -48,7 +48,7 @@ Source = Callable[[Page], Column]
 
 
 def jsonld(*keys: str, read: Callable[[Column], Column] = json_text) -> Source:
-    return lambda page: read(json_first(page.blocks, *keys))
+    return lambda page: V.bind(json_first(page.blocks, *keys), read)
 
 
 def meta(*names: str) -> Source:
@@ -69,11 +69,13 @@ def body(read: Callable[[Column], Column]) -> Source:
 
 def title_tag(page: Page) -> Column:
     node = first(F.filter(page.els, lambda n: n["tag"] == "title"))
-    return V.title_head(text_in(page.texts, node))
+    return V.bind(
+        V.bind(node, lambda tag: text_in(page.texts, tag)), lambda text: V.title_head(text)
+    )
 
 
 def through(read: Callable[[Column], Column], source: Source) -> Source:
-    return lambda page: read(source(page))
+    return lambda page: V.bind(source(page), read)
 
 
 # The sources of each field in order of preference.
@@ -156,16 +158,16 @@ def record_fields(nodes: DataFrame) -> DataFrame:
         json_blocks("ld").alias("blocks"),
     )
     page = Page(F.col("els"), F.col("texts"), F.col("body"), F.col("blocks"))
-    title_json = json_first(page.blocks, "name", "headline")
     # A structured title of another type than string spoils the record.
-    titled = F.when(title_json.isNotNull() & ~is_text(title_json), F.lit(None)).otherwise(
-        _chain(TITLE, page)
+    spoiled = V.bind(
+        json_first(page.blocks, "name", "headline"), lambda v: v.isNotNull() & ~is_text(v)
     )
+    titled = F.when(spoiled, F.lit(None)).otherwise(_chain(TITLE, page))
     raw = shared.select(
         *kept,
         titled.alias("title"),
         V.default_to(_chain(PRICE, page), V.NO_PRICE).alias("price"),
-        V.availability_tail(_chain(AVAILABILITY, page)).alias("availability"),
+        V.bind(_chain(AVAILABILITY, page), V.availability_tail).alias("availability"),
         V.clamp_rating(V.default_to(_chain(RATING, page), float(V.NO_RATING))).alias("rating"),
         V.default_to(strip(_chain(DESCRIPTION_TEXT, page)), V.NO_DESCRIPTION).alias("description"),
     )

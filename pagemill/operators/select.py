@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import strip
-from pagemill.functions.values import non_empty
+from pagemill.functions.values import bind, first_that
 
 Test = Callable[[Column], Column]
 Finder = Callable[[Column], Column]
@@ -83,24 +83,25 @@ def page_text(texts: Column) -> Column:
 def first_text(els: Column, texts: Column, *finders: Finder) -> Column:
     """Per finder the text of its first element; the first that is not empty."""
     return F.coalesce(
-        *[non_empty(text_in(texts, first(find(els)))) for find in finders], F.lit(None)
+        *[
+            _not_blank(bind(first(find(els)), lambda node: text_in(texts, node)))
+            for find in finders
+        ],
+        F.lit(None),
     )
 
 
 def meta_content(els: Column, *names: str) -> Column:
     """Per name the `property` tag, else the `name` tag; a blank content moves to the next name."""
+
     def tagged(attr: str, name: str) -> Column:
         return first(F.filter(els, lambda n: (n["tag"] == "meta") & (n["attrs"][attr] == name)))
 
-    return F.coalesce(
-        *[
-            non_empty(
-                strip(F.coalesce(tagged("property", n), tagged("name", n))["attrs"]["content"])
-            )
-            for n in names
-        ],
-        F.lit(None),
-    )
+    def content(name: str) -> Column:
+        tag = F.coalesce(tagged("property", name), tagged("name", name))
+        return _not_blank(strip(tag["attrs"]["content"]))
+
+    return F.coalesce(*[content(name) for name in names], F.lit(None))
 
 
 def class_text(els: Column, *finders: Finder) -> Column:
@@ -108,6 +109,10 @@ def class_text(els: Column, *finders: Finder) -> Column:
     return F.trim(F.coalesce(*[first(find(els)) for find in finders], F.lit(None))["cls"])
 
 
+def _not_blank(text: Column) -> Column:
+    return first_that(lambda value: value != "", text)
+
+
 def _enclosed(els: Column, node: Column, chain: tuple[Test, ...]) -> Column:
     if not chain:
         return F.lit(True)
