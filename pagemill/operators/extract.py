@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,29 +159,39 @@ def record_fields(nodes: DataFrame) -> DataFrame:
         page_text(F.col("texts")).alias("body"),
         json_blocks("ld").alias("blocks"),
     )
+    raw = shared.select(*kept, *_field_columns(nodes.sparkSession.sparkContext))
+    found = F.col("title").isNotNull()
+    return raw.select(
+        *kept,
+        "title",
+        *[
+            F.when(found, F.col(name)).alias(name)
+            for name in ("price", "availability", "rating", "description")
+        ],
+    )
+
+
+@lru_cache(maxsize=1)
+def _field_columns(context: SparkContext) -> tuple[Column, ...]:
+    """The field expressions over `els`, `texts`, `body` and `blocks`.
+
+    They are the same for every table, and building them takes thousands of calls into the JVM,
+    so they are kept as long as the context is the same.
+    """
     page = Page(F.col("els"), F.col("texts"), F.col("body"), F.col("blocks"))
     # A structured title of another type than string spoils the record.
     spoiled = V.bind(
         json_first(page.blocks, "name", "headline"), lambda v: v.isNotNull() & ~is_text(v)
     )
     titled = F.when(spoiled, F.lit(None)).otherwise(_chain(TITLE, page))
-    raw = shared.select(
-        *kept,
+    rating = V.default_to(_chain(RATING, page), float(V.NO_RATING))
+    return (
         titled.alias("title"),
         V.default_to(_chain(PRICE, page), V.NO_PRICE).alias("price"),
         V.bind(_chain(AVAILABILITY, page), V.availability_tail).alias("availability"),
-        V.clamp_rating(V.default_to(_chain(RATING, page), float(V.NO_RATING))).alias("rating"),
+        V.clamp_rating(rating).alias("rating"),
         V.default_to(strip(_chain(DESCRIPTION_TEXT, page)), V.NO_DESCRIPTION).alias("description"),
     )
-    found = F.col("title").isNotNull()
-    return raw.select(
-        *kept,
-        "title",
-        *[
-            F.when(found, F.col(name)).alias(name)
-            for name in ("price", "availability", "rating", "description")
-        ],
-    )
 
 
 def items_of(records: DataFrame) -> DataFrame:

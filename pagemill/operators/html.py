@@ -77,6 +77,7 @@ class _PageReader(HTMLParser):
         self.pending: list[str] = []
         self.path: list[list] = [[-1, 0, -1, 0, "", "", {}, 0]]
         self.names: Counter[str] = Counter()
+        self.hidden = 0
         try:
             self.feed(html)
             self.close()
@@ -87,6 +88,10 @@ class _PageReader(HTMLParser):
             self._leave()
         return self.els, self.texts, self.ld
 
+    def updatepos(self, i: int, j: int) -> int:
+        """No line numbers are kept; counting them costs time on every tag."""
+        return j
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self._end_text()
         values = {name: value or "" for name, value in attrs}
@@ -100,6 +105,7 @@ class _PageReader(HTMLParser):
         if tag not in VOID:
             self.path.append(element)
             self.names[tag] += 1
+            self.hidden += tag in HIDDEN
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -137,6 +143,7 @@ class _PageReader(HTMLParser):
         element = self.path.pop()
         element[1] = self.number
         self.names[element[4]] -= 1
+        self.hidden -= element[4] in HIDDEN
         return element[4]
 
     def _end_text(self) -> None:
@@ -144,7 +151,7 @@ class _PageReader(HTMLParser):
             return
         raw = "".join(self.pending)
         self.pending.clear()
-        if any(self.names[tag] for tag in HIDDEN):
+        if self.hidden:
             holder = self.path[-1]
             if holder[4] == "script" and holder[6].get("type") == LD_TYPE:
                 self.ld.append(raw)

@@ -107,7 +107,7 @@ def robots_allowed(
 
     def applies(rule: Column) -> Column:
         first_group = rule["group_id"] == F.col("rules")[0]["group_id"]
-        fits = (rule["prefix"] == "*") | F.startswith(F.col("_path"), rule["prefix"])
+        fits = F.startswith(F.col("_path"), rule["prefix"])
         return first_group & rule["allow"].isNotNull() & fits
 
     ruled = F.get(F.filter("rules", applies), F.lit(0))["allow"]

@@ -29,7 +29,7 @@ from pagemill.operators.select import element, page_text, within
 from pagemill.plans.catalog import crawl_catalog
 from pagemill.plans.local import run_batch
 from pagemill.plans.scrape import scrape
-from pagemill.sources.tables import without_body
+from pagemill.sources.tables import spread, without_body
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages"))
+
+
+def product_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "part"))
+
+
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as requests: one URL per user."""
     events = table(spark, sf_dir, "events")
@@ -357,7 +365,7 @@ SELECT page_id,
 FROM pages"""
 )
 def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = html_pages(spark, sf_dir).select("page_id", "html")
     return extract.extract_records(pages)
 
 
@@ -374,7 +382,7 @@ texts AS (
 
 @query(f"WITH {VISIBLE_SQL} SELECT page_id, text FROM texts")
 def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = page_nodes(table(spark, sf_dir, "pages").select("page_id", "html"))
+    nodes = page_nodes(html_pages(spark, sf_dir).select("page_id", "html"))
     return nodes.select("page_id", page_text(F.col("texts")).alias("text"))
 
 
@@ -384,7 +392,7 @@ def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "', left(text, 6000)) AS prompt FROM texts"
 )
 def prompt_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assisted.prompt_requests(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return assisted.prompt_requests(html_pages(spark, sf_dir).select("page_id", "html"))
 
 
 @query(
@@ -396,7 +404,7 @@ FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h
      LATERAL (SELECT unnest(range(1, len(hrefs) + 1)) AS i) g"""
 )
 def links_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = page_nodes(table(spark, sf_dir, "pages"))
+    nodes = page_nodes(html_pages(spark, sf_dir))
     hrefs = F.transform(within(element("a"))(F.col("els")), lambda a: a["attrs"]["href"])
     found = nodes.select("page_id", "url", F.posexplode(hrefs).alias("pos", "href"))
     return found.select("page_id", "pos", U.resolve_url("url", "href").alias("link"))
@@ -413,7 +421,7 @@ SELECT concat('{SITE}/p/', p_partkey, '.html') AS url, concat(p_name, ' ', p_par
 FROM part"""
 )
 def product_extract_css(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract_records(css_pages(table(spark, sf_dir, "part")))
+    return extract.extract_records(css_pages(product_table(spark, sf_dir)))
 
 
 @query(
@@ -424,7 +432,7 @@ SELECT concat('{SITE}/p/', p_partkey, '.html') AS url, concat(p_name, ' ', p_par
 FROM part"""
 )
 def product_extract_jsonld(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract_records(jsonld_pages(table(spark, sf_dir, "part")))
+    return extract.extract_records(jsonld_pages(product_table(spark, sf_dir)))
 
 
 @query(
@@ -435,7 +443,7 @@ SELECT concat('{SITE}/p/', p_partkey, '.html') AS url, concat(p_name, ' ', p_par
 FROM part"""
 )
 def product_extract_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract_records(meta_pages(table(spark, sf_dir, "part")))
+    return extract.extract_records(meta_pages(product_table(spark, sf_dir)))
 
 
 @query(
@@ -447,7 +455,7 @@ SELECT concat('{SITE}/p/', p_partkey, '.html') AS url, concat(p_name, ' ', p_par
 FROM part"""
 )
 def product_extract_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract_records(plain_pages(table(spark, sf_dir, "part")))
+    return extract.extract_records(plain_pages(product_table(spark, sf_dir)))
 
 
 @query(
@@ -494,7 +502,7 @@ SELECT concat('{SITE}/p/', p_partkey, '.html') AS url,
 FROM part"""
 )
 def items_from_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part")
+    parts = product_table(spark, sf_dir)
     reply = text_of('{"title": "', F.col("p_name"), '", "price": ', F.col("p_retailprice"), "}")
     replies = parts.filter("p_partkey % 2 = 0").select(product_url().alias("url"), reply.alias("reply"))
     return assisted.extract_from_replies(parts.select(product_url().alias("url")), replies)
@@ -818,7 +826,7 @@ def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LISTING_SQL} SELECT seed, CAST(page_depth AS INTEGER) AS page_depth, url FROM walks")
 def catalog_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listings = listing_pages(table(spark, sf_dir, "part"))
+    listings = listing_pages(product_table(spark, sf_dir))
     read = frontier.listing_links(listings.select("url", "html"))
     return frontier.walk_listings(seeds(listings), read, 5).select("seed", "page_depth", "url")
 
@@ -831,7 +839,7 @@ plan AS (
 
 
 def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listings = listing_pages(table(spark, sf_dir, "part"))
+    listings = listing_pages(product_table(spark, sf_dir))
     read = frontier.listing_links(listings.select("url", "html"))
     return frontier.walk_listings(seeds(listings), read, 5)
 
@@ -872,7 +880,7 @@ def run_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.col("arrived_at").cast("timestamp").alias("arrived_at"),
         "seq",
     )
-    parts = table(spark, sf_dir, "part").filter("p_partkey % 10 <> 0")
+    parts = product_table(spark, sf_dir).filter("p_partkey % 10 <> 0")
     pages = css_pages(parts).join(
         parts.select(product_url().alias("url"), (F.col("p_partkey") % 10 == 1).alias("bad")), "url"
     )
@@ -963,7 +971,7 @@ SELECT url, walk * 5 * 16777216 + ordinal AS seq,
 FROM plan"""
 )
 def catalog_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listings = listing_pages(table(spark, sf_dir, "part"))
+    listings = listing_pages(product_table(spark, sf_dir))
     _, pages = run_inputs(spark, sf_dir)
     crawl = crawl_catalog(seeds(listings), listings.select("url", "html"), pages)
     return crawl.run.outcome.select("url", "seq", "status", "price")
@@ -980,7 +988,7 @@ FROM plan"""
 )
 def completion_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crawl whose products are read by model replies; every second reply is missing."""
-    parts = table(spark, sf_dir, "part")
+    parts = product_table(spark, sf_dir)
     listings = listing_pages(parts)
     reply = text_of('{"title": "', F.col("p_name"), '"}')
     replies = parts.filter("p_partkey % 2 = 0").select(product_url().alias("url"), reply.alias("reply"))

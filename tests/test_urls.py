@@ -1,0 +1,80 @@
+"""URL expressions against the standard library."""
+
+from __future__ import annotations
+
+from urllib.parse import urljoin, urlsplit
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from pagemill.functions import urls as U
+
+BASES = [
+    "https://shop.example/catalogue/page-1.html",
+    "https://shop.example/catalogue/",
+    "https://shop.example",
+    "HTTP://User:pw@Shop.Example:8080/a/b;x=1?q=1#top",
+    "https://shop.example/a//b/../c",
+]
+HREFS = [
+    "book.html", "../x/index.html", "../../../up.html", "./here", ".", "..", "a/./b/../c/",
+    "/root.html", "/a/../b", "/..", "//cdn.example/x", "?page=2", "#frag", "", None, "x?y#z",
+    "http://other.example/a/../b", "HTTPS://shop.example/Z", "mailto:me@x.example",
+    "javascript:void(0)", "a//b///c", "/p//q", "  padded", "tab\tin", ";p", "..?q", "a/..", "a/../",
+    "https:rel", "x:y", "%2e%2e/é", "?", "#", "/a?", "//", "../", "./", "...", "a/.../b",
+]
+SEGMENT = st.sampled_from(["a", "b.html", "..", ".", "", "x y", "é", "..."])
+PATHS = st.builds(
+    lambda root, parts, query, frag: ("/" if root else "") + "/".join(parts) + query + frag,
+    st.booleans(),
+    st.lists(SEGMENT, max_size=6),
+    st.sampled_from(["", "?q=1", "?"]),
+    st.sampled_from(["", "#f"]),
+)
+
+
+def resolved(spark, pairs):
+    df = spark.createDataFrame([(n, *pair) for n, pair in enumerate(pairs)], "n int, b string, h string")
+    rows = df.select("n", U.resolve_url("b", "h").alias("u")).collect()
+    return [row["u"] for row in sorted(rows)]
+
+
+def test_known_references(spark):
+    pairs = [(b, h) for b in BASES for h in HREFS]
+    for (base, href), got in zip(pairs, resolved(spark, pairs)):
+        assert got == urljoin(base, href or ""), (base, href)
+
+
+def test_generated_references(spark):
+    pairs = []
+
+    @settings(max_examples=400, database=None, derandomize=True)
+    @given(st.sampled_from(BASES), PATHS)
+    def collect(base, href):
+        # A reference that starts with two slashes names another host.
+        if not href.startswith("//"):
+            pairs.append((base, href))
+
+    collect()
+    for (base, href), got in zip(pairs, resolved(spark, pairs)):
+        assert got == urljoin(base, href), (base, href)
+
+
+@pytest.mark.parametrize(
+    "url",
+    [
+        "https://Shop.Example/x", "http://u:p@h.example:80/", "http://u@x:y@h.example/", "/path",
+        "//cdn.example/a", "mailto:x@y", "", "http://[::1]:8080/a", "http://h.example?x=@y",
+        "http://bücher.example/ä", "nohost",
+    ],
+)
+def test_host(spark, url):
+    got = spark.createDataFrame([(url,)], "u string").select(U.host_of("u")).first()[0]
+    assert got == (urlsplit(url).hostname or "")
+
+
+def test_null_host(spark):
+    row = spark.createDataFrame([(None,)], "u string").select(U.host_of("u"), U.path_of("u")).first()
+    assert row[0] == ""
