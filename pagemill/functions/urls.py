@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,34 +58,49 @@ def resolve_url(base: Column | str, href: Column | str) -> Column:
     A null or empty href is the page itself; another scheme is left alone; dot segments of a
     relative path are folded away.
     """
-    base = col(base)
     href = F.regexp_replace(F.coalesce(col(href), F.lit("")), r"^[\x00-\x20]+|[\t\r\n]", "")
-    b_scheme, b_net, b_path, b_query, _ = _split(base)
-    scheme, net, path, query, fragment = _split(href)
-    scheme, b_scheme = F.lower(scheme), F.lower(b_scheme)
-    same_scheme = (scheme == "") | (scheme == b_scheme)
-
-    own_path = path != ""
-    joined = F.when(own_path, _join_path(b_path, path)).otherwise(b_path)
-    full_query = F.when(own_path | (query != ""), query).otherwise(b_query)
-    here = F.when(net != "", _build(b_scheme, net, path, query, fragment)).otherwise(
-        _build(b_scheme, b_net, joined, full_query, fragment)
-    )
-    return F.when(href == "", base).when(same_scheme, here).otherwise(href)
+    return bind(F.struct(_split(col(base)).alias("b"), _split(href).alias("h")), _resolved)
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with a costly `value` worked out once however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _split(url: Column) -> list[Column]:
-    return [F.regexp_extract(url, _PARTS, group) for group in range(1, 6)]
+def _split(url: Column) -> Column:
+    parts = [
+        F.regexp_extract(url, _PARTS, group).alias(name)
+        for group, name in enumerate(("scheme", "net", "path", "query", "fragment"), 1)
+    ]
+    return F.struct(url.alias("whole"), *parts)
+
+
+def _resolved(both: Column) -> Column:
+    base, href = both["b"], both["h"]
+    scheme = F.lower(base["scheme"])
+    same_scheme = (href["scheme"] == "") | (F.lower(href["scheme"]) == scheme)
+    own_path = href["path"] != ""
+    query = F.when(own_path | (href["query"] != ""), href["query"]).otherwise(base["query"])
+    elsewhere = _build(scheme, href["net"], href["path"], href["query"], href["fragment"])
+    here = bind(
+        F.when(own_path, _join_path(base["path"], href["path"])).otherwise(base["path"]),
+        lambda path: _build(scheme, base["net"], path, query, href["fragment"]),
+    )
+    return (
+        F.when(href["whole"] == "", base["whole"])
+        .when(~same_scheme, href["whole"])
+        .when(href["net"] != "", elsewhere)
+        .otherwise(here)
+    )
 
 
 def _build(scheme: Column, net: Column, path: Column, query: Column, fragment: Column) -> Column:
-    rooted = F.when(
-        (net != "") & (path != "") & ~F.startswith(path, F.lit("/")), F.concat(F.lit("/"), path)
-    ).otherwise(path)
+    slash = (net != "") & (path != "") & ~F.startswith(path, F.lit("/"))
     return F.concat(
         F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
         F.when(net != "", F.concat(F.lit("//"), net)).otherwise(""),
-        rooted,
+        F.when(slash, F.lit("/")).otherwise(""),
+        path,
         F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
         F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
     )
@@ -96,8 +113,8 @@ def _join_path(base: Column, path: Column) -> Column:
     raw = F.when(absolute, path).otherwise(
         F.regexp_replace(F.concat(folder, path), "/{2,}", "/")
     )
-    has_dots = F.rlike(raw, F.lit(r"(^|/)\.\.?(/|$)"))
-    return F.when(has_dots, _without_dots(raw)).otherwise(raw)
+    dots = F.lit(r"(^|/)\.\.?(/|$)")
+    return bind(raw, lambda r: F.when(F.rlike(r, dots), _without_dots(r)).otherwise(r))
 
 
 def _without_dots(path: Column) -> Column:

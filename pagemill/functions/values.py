@@ -25,11 +25,6 @@ NO_DESCRIPTION = ""
 WALL_MARKERS = ("datadome", "cf-browser-verification")
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use(value)` with a costly `value` worked out once however often `use` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def first_that(test: Callable[[Column], Column], value: Column) -> Column:
     """`value` where the test holds, else null; `value` is worked out once."""
     return F.get(F.filter(F.array(value), test), F.lit(0))

@@ -20,7 +20,7 @@ from pagemill.functions.jsonld import (
     json_text,
     json_text_or_blank,
 )
-from pagemill.functions.urls import strip
+from pagemill.functions.urls import bind, strip
 from pagemill.operators.html import page_nodes
 from pagemill.operators.select import (
     Finder,
@@ -50,7 +50,7 @@ Source = Callable[[Page], Column]
 
 
 def jsonld(*keys: str, read: Callable[[Column], Column] = json_text) -> Source:
-    return lambda page: V.bind(json_first(page.blocks, *keys), read)
+    return lambda page: bind(json_first(page.blocks, *keys), read)
 
 
 def meta(*names: str) -> Source:
@@ -71,13 +71,13 @@ def body(read: Callable[[Column], Column]) -> Source:
 
 def title_tag(page: Page) -> Column:
     node = first(F.filter(page.els, lambda n: n["tag"] == "title"))
-    return V.bind(
-        V.bind(node, lambda tag: text_in(page.texts, tag)), lambda text: V.title_head(text)
+    return bind(
+        bind(node, lambda tag: text_in(page.texts, tag)), lambda text: V.title_head(text)
     )
 
 
 def through(read: Callable[[Column], Column], source: Source) -> Source:
-    return lambda page: V.bind(source(page), read)
+    return lambda page: bind(source(page), read)
 
 
 # The sources of each field in order of preference.
@@ -180,7 +180,7 @@ def _field_columns(context: SparkContext) -> tuple[Column, ...]:
     """
     page = Page(F.col("els"), F.col("texts"), F.col("body"), F.col("blocks"))
     # A structured title of another type than string spoils the record.
-    spoiled = V.bind(
+    spoiled = bind(
         json_first(page.blocks, "name", "headline"), lambda v: v.isNotNull() & ~is_text(v)
     )
     titled = F.when(spoiled, F.lit(None)).otherwise(_chain(TITLE, page))
@@ -188,7 +188,7 @@ def _field_columns(context: SparkContext) -> tuple[Column, ...]:
     return (
         titled.alias("title"),
         V.default_to(_chain(PRICE, page), V.NO_PRICE).alias("price"),
-        V.bind(_chain(AVAILABILITY, page), V.availability_tail).alias("availability"),
+        bind(_chain(AVAILABILITY, page), V.availability_tail).alias("availability"),
         V.clamp_rating(rating).alias("rating"),
         V.default_to(strip(_chain(DESCRIPTION_TEXT, page)), V.NO_DESCRIPTION).alias("description"),
     )

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.urls import strip
-from pagemill.functions.values import bind, first_that
+from pagemill.functions.urls import bind, strip
+from pagemill.functions.values import first_that
 
 Test = Callable[[Column], Column]
 Finder = Callable[[Column], Column]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,11 @@ from pagemill.operators.select import element, page_text, within
 from pagemill.plans.catalog import crawl_catalog
 from pagemill.plans.local import run_batch
 from pagemill.plans.scrape import scrape
-from pagemill.sources.tables import spread, without_body
+from pagemill.session import shared_folder
+from pagemill.sources.stores import BatchTable, CrawlStore, ItemStore
+from pagemill.sources.tables import spread, stream_table, without_body
+from pagemill.streaming import first_seen as seen_stream
+from pagemill.streaming import routing, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1061,3 +1066,120 @@ UNION ALL SELECT CAST(nth * 3 + 3 AS INTEGER), concat(name, ' ', value) FROM sna
 )
 def metrics_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.metrics_text(snapshot(spark, sf_dir))
+
+
+# --- streams ------------------------------------------------------------------------------
+
+
+def scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/pagemill-{uuid4().hex}"
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of files."""
+    kept = table(spark, sf_dir, "events").schema
+    ddl = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in kept)
+    # A pattern, so that one file and a folder of files are both taken.
+    return stream_table(spark, f"{sf_dir}/[e]vents.parquet", ddl, files_per_trigger=64)
+
+
+def streamed_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_stream(spark, sf_dir).select(
+        text_of(f"{SITE}/u/", F.col("user_id")).alias("url"),
+        F.col("ts").alias("arrived_at"),
+        F.col("event_id").alias("seq"),
+        "event_type",
+        "value",
+        "props",
+    )
+
+
+def finish(writer, folder: str) -> None:
+    running = writer.option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True)
+    started = running.start()
+    started.awaitTermination()
+    if started.exception() is not None:
+        raise started.exception()
+
+
+@query(f"WITH {VISIT_SQL} SELECT url_key, min(seq) AS seq FROM visits GROUP BY url_key")
+def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark)
+    seen = BatchTable(spark, f"{folder}/seen", "url_key string, seen_at timestamp")
+    passed = BatchTable(
+        spark, f"{folder}/passed", "url_key string, arrived_at timestamp_ntz, seq long"
+    )
+    keyed = dedup.with_key(streamed_visits(spark, sf_dir))
+    finish(seen_stream.first_seen_stream(keyed, seen, passed), folder)
+    return passed.read().select("url_key", "seq")
+
+
+@query(TTL_SQL)
+def stream_ttl_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stateful.use_rocksdb(spark)
+    folder = scratch(spark)
+    keyed = dedup.with_key(streamed_visits(spark, sf_dir))
+    accepted = stateful.ttl_first_seen_stream(keyed, 86_400)
+    finish(accepted.writeStream.format("parquet").option("path", f"{folder}/out"), folder)
+    return spark.read.schema(accepted.schema).parquet(f"{folder}/out").select("url_key", "seq")
+
+
+@query(CHANGED_TTL_SQL)
+def stream_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stateful.use_rocksdb(spark)
+    folder = scratch(spark)
+    rows = dedup.with_key(streamed_visits(spark, sf_dir)).select(
+        "url_key",
+        F.length("props").cast("string").alias("content_sha1"),
+        F.col("arrived_at").alias("fetched_at"),
+        "seq",
+    )
+    flagged = stateful.content_changed_stream(rows, 86_400)
+    finish(flagged.writeStream.format("parquet").option("path", f"{folder}/out"), folder)
+    return spark.read.schema(flagged.schema).parquet(f"{folder}/out").drop("fetched_at")
+
+
+@query(f"WITH {ITEM_SQL} SELECT id, url, title, price, description FROM numbered")
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark)
+    rows = streamed_visits(spark, sf_dir).select(
+        "url",
+        F.col("event_type").alias("title"),
+        F.col("value").alias("price"),
+        F.lit("unknown").alias("availability"),
+        F.lit(0).alias("rating"),
+        F.col("props").alias("description"),
+        F.col("arrived_at").cast("timestamp").alias("fetched_at"),
+        "seq",
+    )
+    store = ItemStore(spark, f"{folder}/items")
+    finish(routing.upsert_stream(rows, store), folder)
+    return store.current().select("id", "url", "title", "price", "description")
+
+
+@query(
+    f"""
+WITH {VISIT_SQL}, landed AS (
+  SELECT *, arg_max(event_type, seq) OVER (PARTITION BY url) AS body,
+         row_number() OVER (PARTITION BY url ORDER BY ts, seq) AS nth FROM visits)
+SELECT url, CASE WHEN body = 'error' THEN 'fetch_failed' WHEN nth > 1 THEN 'skipped_duplicate'
+       WHEN body = 'view' THEN 'parse_failed' ELSE 'ok' END AS status, count(*) AS n
+FROM landed WHERE body <> 'error' GROUP BY ALL"""
+)
+def stream_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark)
+    kind = F.col("event_type")
+    body = F.when(kind == "error", "").when(kind == "view", "<p>no title</p>").otherwise(
+        text_of("<h1>", kind, "</h1>")
+    )
+    rows = streamed_visits(spark, sf_dir).select(
+        "url",
+        body.alias("html"),
+        F.lit(False).alias("force"),
+        F.lit(False).alias("use_ai"),
+        F.col("arrived_at").cast("timestamp").alias("arrived_at"),
+        "seq",
+    )
+    store = CrawlStore(spark, f"{folder}/store")
+    finish(routing.routed_stream(rows, store), folder)
+    return store.results.read().groupBy("url", "status").agg(F.count("*").alias("n"))

@@ -28,14 +28,22 @@ def build_session(app: str = "pagemill", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; a local one only where none is named."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="pagemill-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` once to the cluster's checkpoint folder and read it from there.
 
     Used where an expensive stage feeds several branches. The copy lies in shared storage, so a
     lost executor costs only the tasks that were running.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pagemill-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
