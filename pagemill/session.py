@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,10 +41,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` once to the cluster's checkpoint folder and read it from there.
+    """Write `df` once to the shared checkpoint folder and read it from there.
 
-    Used where an expensive stage feeds several branches. The copy lies in shared storage, so a
-    lost executor costs only the tasks that were running.
+    Used where an expensive stage feeds several branches. The table lies in shared storage, so a
+    lost executor costs only the tasks that were running; it is columnar, and its size is known
+    to the planner. `checkpoint()` would work out the rows twice, once to count them.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/pagemill-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
