@@ -2,7 +2,10 @@
 
 A plain window over a key hands all rows of that key to one task. Here the rows of a key are cut
 into slices of their order column first. Windows run inside slices; one summary row per key and
-slice carries the result over to the next slice.
+slice carries the result over to the next slice. The rows are shuffled once, by (key, slice): the
+join with the summary finds them already in place. Keys must not be null.
+
+The input is read by both branches; callers `cut` one that is costly to work out.
 """
 
 from __future__ import annotations
@@ -23,23 +26,20 @@ def number_rows(
     A slice spans `slice_rows` values of a unique column, so no window holds more rows than that,
     and the carry has one row per slice and group.
     """
-    df = df.withColumn("_slice", F.floor(F.col(order) / slice_rows))
+    df = df.withColumn("_slice", F.expr(f"`{order}` div {slice_rows}"))
     group = [*by, "_slice"]
     local = df.withColumn("_local", F.row_number().over(Window.partitionBy(*group).orderBy(order)))
     carry = Window.partitionBy(*by) if by else Window.partitionBy()
     carry = carry.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    # Group values may be null, so the carry is matched null-safely under names of its own.
     before = (
         df.groupBy(*group)
         .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(carry), F.lit(0)))
-        .select(*[F.col(name).alias(f"_c{name}") for name in group], "_before")
+        .select(*group, F.sum("_n").over(carry).alias("_before"))
     )
-    same = _same(local, before, group)
     return (
-        local.join(before, same, "inner")
-        .withColumn(out, F.col("_before") + F.col("_local"))
-        .drop("_local", "_before", "_slice", *[f"_c{name}" for name in group])
+        local.join(before, group, "left")
+        .withColumn(out, F.coalesce("_before", F.lit(0)) + F.col("_local"))
+        .drop("_local", "_before", "_slice")
     )
 
 
@@ -60,15 +60,12 @@ def with_previous(
     before = (
         df.groupBy(*group)
         .agg(F.max_by(value, F.struct(ts, seq)).alias("_last"))
-        .select(
-            *[F.col(name).alias(f"_c{name}") for name in group],
-            F.lag("_last").over(carry).alias("_before"),
-        )
+        .select(*group, F.lag("_last").over(carry).alias("_before"))
     )
     return (
-        local.join(before, _same(local, before, group), "inner")
+        local.join(before, group, "left")
         .withColumn(out, F.coalesce("_local", "_before"))
-        .drop("_local", "_before", "_slice", *[f"_c{name}" for name in group])
+        .drop("_local", "_before", "_slice")
     )
 
 
@@ -92,15 +89,12 @@ def with_latest_mark(
     before = (
         df.groupBy(*group)
         .agg(F.max(point).alias("_last"))
-        .select(
-            *[F.col(name).alias(f"_c{name}") for name in group],
-            F.max("_last").over(carry).alias("_before"),
-        )
+        .select(*group, F.max("_last").over(carry).alias("_before"))
     )
     return (
-        local.join(before, _same(local, before, group), "inner")
+        local.join(before, group, "left")
         .withColumn(out, F.coalesce("_local", "_before"))
-        .drop("_local", "_before", "_slice", *[f"_c{name}" for name in group])
+        .drop("_local", "_before", "_slice")
     )
 
 
@@ -126,12 +120,4 @@ def latest_rows(df: DataFrame, key: str, ts: str, seq: str) -> DataFrame:
 
 
 def _span(ts: str, seconds: int) -> Column:
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    return F.floor(micros / F.lit(seconds * 1_000_000))
-
-
-def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    whole = F.lit(True)
-    for name in names:
-        whole = whole & left[name].eqNullSafe(right[f"_c{name}"])
-    return whole
+    return F.expr(f"unix_micros(cast(`{ts}` as timestamp)) div {seconds * 1_000_000}")

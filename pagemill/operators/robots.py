@@ -54,19 +54,21 @@ def robots_rules(files: DataFrame) -> DataFrame:
     in_group = F.col("opened_at").isNotNull() & (
         F.col("closed_at").isNull() | (F.col("closed_at") < F.col("opened_at"))
     )
-    members = lines.filter(in_group)
-    agents = members.filter("is_agent").select("host", "group_id", F.col("value").alias("agent"))
-    rules = members.filter(F.col("field").isin(*RULES, *OTHER_FIELDS)).select(
+    # Still partitioned by host, so the agents of a group need no further shuffle.
+    agent = F.when(F.col("is_agent"), F.col("value"))
+    members = lines.filter(in_group).withColumn(
+        "agents", F.collect_set(agent).over(Window.partitionBy("host", "group_id"))
+    )
+    is_rule = F.col("field").isin(*RULES)
+    return members.filter(~F.col("is_agent")).select(
         "host",
         "group_id",
+        F.explode("agents").alias("agent"),
         F.col("line_no").alias("rule_no"),
         # An empty prefix after `Disallow` allows everything.
-        F.when(
-            F.col("field").isin(*RULES), (F.col("field") == "allow") | (F.col("value") == "")
-        ).alias("allow"),
-        F.when(F.col("field").isin(*RULES), F.col("value")).alias("prefix"),
+        F.when(is_rule, (F.col("field") == "allow") | (F.col("value") == "")).alias("allow"),
+        F.when(is_rule, F.col("value")).alias("prefix"),
     )
-    return agents.join(rules, ["host", "group_id"])
 
 
 def default_rules(files: DataFrame) -> DataFrame:
