@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import resolve_url
@@ -45,45 +45,46 @@ def listing_links(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def walk_listings(seeds: DataFrame, listings: DataFrame, max_pages: int = 5) -> DataFrame:
-    """(seed, page_depth, url, links): the pages a walk from each seed reaches.
+    """(walk, page_depth, url, links): the pages a walk from each seed reaches.
 
-    `listings` is the output of `listing_links`, one row per URL. A missing page, or one without
-    a next link, ends a walk; a cycle ends at `max_pages`. Pages are read and parsed once; a
-    step joins the walk's narrow front with them.
+    `seeds` is (url, seq) and `seq` names the walk, so walks may share a start. `listings` is the
+    output of `listing_links`, one row per URL. A missing page, or one without a next link, ends
+    a walk; a cycle ends at `max_pages`. Pages are read and parsed once; a step joins the walks'
+    narrow front with them.
     """
     pages = cut(listings.select("url", "links", "next_url"))
     visits = []
-    front = seeds.select(F.col("url").alias("seed"), "url")
+    front = seeds.select(F.col("seq").alias("walk"), "url")
     for depth in range(max_pages):
         step = front.join(pages, "url").withColumn("page_depth", F.lit(depth))
-        visits.append(step.select("seed", "page_depth", "url", "links"))
+        visits.append(step.select("walk", "page_depth", "url", "links"))
         front = step.filter(F.col("next_url").isNotNull()).select(
-            "seed", F.col("next_url").alias("url")
+            "walk", F.col("next_url").alias("url")
         )
     return reduce(DataFrame.unionByName, visits)
 
 
 def frontier(visits: DataFrame, chunk_size: int = 10) -> DataFrame:
-    """(seed, page_depth, pos, ordinal, chunk_id, url): every link of a walk in order.
+    """(walk, page_depth, pos, ordinal, chunk_id, url): every link of a walk in order.
 
     Ordinals add up link counts over the pages of one walk, of which there are at most
     `max_pages`; the links themselves are numbered within their page.
     """
     before = F.sum(F.size("links")).over(
-        Window.partitionBy("seed")
+        Window.partitionBy("walk")
         .orderBy("page_depth")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     links = visits.withColumn("_before", F.coalesce(before, F.lit(0))).select(
-        "seed", "page_depth", "_before", F.posexplode("links").alias("pos", "url")
+        "walk", "page_depth", "_before", F.posexplode("links").alias("pos", "url")
     )
     ordinal = F.col("_before") + F.col("pos") + 1
     return links.withColumn("ordinal", ordinal).select(
-        "seed", "page_depth", "pos", "ordinal", chunk_id(chunk_size), "url"
+        "walk", "page_depth", "pos", "ordinal", chunk_id(chunk_size), "url"
     )
 
 
-def chunk_id(chunk_size: int, ordinal: str = "ordinal"):
+def chunk_id(chunk_size: int, ordinal: str = "ordinal") -> Column:
     size = max(1, chunk_size or 1)
     return F.floor((F.col(ordinal) - 1) / size).alias("chunk_id")
 
@@ -92,13 +93,13 @@ def dispatch_summary(
     urls: DataFrame, visits: DataFrame, chunk_size: int = 10, callback: bool = False
 ) -> DataFrame:
     """One row per walk: how it was cut into chunks, or sent URL by URL."""
-    scanned = visits.groupBy("seed").agg(F.count("*").alias("pages_scanned"))
-    sent = urls.groupBy("seed").agg(F.count("*").alias("books_dispatched"))
+    scanned = visits.groupBy("walk").agg(F.count("*").alias("pages_scanned"))
+    sent = urls.groupBy("walk").agg(F.count("*").alias("books_dispatched"))
     n = F.coalesce("books_dispatched", F.lit(0))
     chunked = (n > 0) & F.lit(bool(chunk_size and chunk_size > 1))
     size = max(1, chunk_size or 1)
-    return scanned.join(sent, "seed", "left").select(
-        "seed",
+    return scanned.join(sent, "walk", "left").select(
+        "walk",
         F.when(chunked, F.lit("chunked")).otherwise(F.lit("per_url")).alias("mode"),
         "pages_scanned",
         n.alias("books_dispatched"),

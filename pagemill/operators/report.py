@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +79,12 @@ def metrics_text(snapshot: DataFrame) -> DataFrame:
     )
 
 
+def write_metrics_text(snapshot: DataFrame, path: str) -> None:
+    """The exposition as one text file; it has three lines per metric and there are four."""
+    lines = metrics_text(snapshot).coalesce(1).sortWithinPartitions("line_no")
+    lines.select("line").write.mode("overwrite").text(path)
+
+
 def completion_event(
     results: DataFrame, pages_scanned: int, dispatched: int, ai_used: bool = False
 ) -> DataFrame:
@@ -153,7 +157,3 @@ def _metric(part: int) -> Column:
 
 def _as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
-
-
-def metric_names() -> Mapping[str, str]:
-    return {key: identity[0] for key, identity in METRICS.items()}

@@ -65,11 +65,11 @@ def crawl_catalog(
 
 def as_requests(urls: DataFrame, seeds: DataFrame, use_ai: bool = False) -> DataFrame:
     """The frontier as requests, numbered walk by walk in link order."""
-    walks = seeds.select(F.col("url").alias("seed"), "arrived_at", F.col("seq").alias("_walk"))
-    return urls.join(walks, "seed").select(
+    walks = seeds.select(F.col("seq").alias("walk"), "arrived_at")
+    return urls.join(walks, "walk").select(
         "url",
         F.lit(False).alias("force"),
         F.lit(use_ai).alias("use_ai"),
         "arrived_at",
-        (F.shiftleft(F.col("_walk"), WALK_BITS) + F.col("ordinal")).alias("seq"),
+        (F.shiftleft("walk", WALK_BITS) + F.col("ordinal")).alias("seq"),
     )

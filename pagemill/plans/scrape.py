@@ -2,7 +2,9 @@
 
 The order of work keeps the heavy column out of shuffles as long as possible: the gates run on
 narrow rows (keys, flags, hashes), only the URLs that pass are joined with their HTML, each is
-parsed once however many requests name it, and what leaves the parser is narrow again.
+parsed once however many requests name it, and what leaves the parser is narrow again. A run
+without change tests reads the HTML once; one with them reads it once more for the hashes, to
+parse only what changed.
 """
 
 from __future__ import annotations
@@ -98,16 +100,19 @@ def scrape(
     to fetch. A failed fetch leaves no mark, so a later request for the same key is tried anew.
     """
     settings = settings or Settings()
-    asked = _asked(requests, pages, settings, robots)
+    asked = _asked(requests, settings, robots)
     if settings.incremental:
-        asked = _with_changed(asked, settings, stored_hashes)
-        wanted = asked.filter("fetched and (force or changed)").select("url", "use_ai")
+        asked = _with_changed(_with_hashes(asked, pages), settings, stored_hashes)
+        wanted = asked.filter("fetched and (force or changed)")
     else:
-        asked = asked.withColumn("changed", F.lit(None).cast("boolean"))
-        wanted = _openers(asked, seen).unionByName(
-            asked.filter("fetched and force").select("url", "use_ai")
+        # Whether a page has a body comes out of the one pass that also parses it.
+        wanted = asked.filter("allowed and not force")
+        if seen is not None:
+            wanted = wanted.join(seen.select("url_key"), "url_key", "left_anti")
+        wanted = wanted.select("url", "use_ai").unionByName(
+            asked.filter("allowed and force").select("url", "use_ai")
         )
-    records = cut(_records(wanted.distinct(), pages, replies))
+    records = cut(_records(wanted.select("url", "use_ai").distinct(), pages, replies))
     done = asked.join(records, ["url", "use_ai"], "left").withColumn(
         "parsed", F.col("title").isNotNull()
     )
@@ -116,6 +121,13 @@ def scrape(
             F.col("fetched") & ~F.col("force") & ~F.col("changed"), F.lit("skipped_unchanged")
         )
     else:
+        done = done.withColumns(
+            {
+                "fetched": F.col("allowed") & F.coalesce("has_body", F.lit(False)),
+                "content_sha1": F.lit(None).cast("string"),
+                "changed": F.lit(None).cast("boolean"),
+            }
+        )
         done = done.join(_key_marks(done, seen), "url_key", "left")
         late = F.col("was_seen") | F.coalesce(F.struct(*ORDER) > F.col("first_mark"), F.lit(False))
         skipped = F.when(~F.col("force") & late, F.lit("skipped_duplicate"))
@@ -147,30 +159,28 @@ def scrape(
     return Run(cut(outcome), settings)
 
 
-def _asked(
-    requests: DataFrame, pages: DataFrame, settings: Settings, robots: DataFrame | None
-) -> DataFrame:
-    """The requests with key, fetch result and content hash; the one narrow scan of the HTML."""
-    facts = pages.select(
-        "url", has_body().alias("has_body"), content_sha1("html").alias("content_sha1")
+def _asked(requests: DataFrame, settings: Settings, robots: DataFrame | None) -> DataFrame:
+    """The requests with their key and whether robots allow them; narrow rows."""
+    asked = with_key(requests).select(
+        "url",
+        "url_key",
+        F.coalesce("force", F.lit(False)).alias("force"),
+        F.coalesce("use_ai", F.lit(False)).alias("use_ai"),
+        *ORDER,
     )
-    if robots is not None and settings.respect_robots:
-        facts = robots_allowed(facts, robots).withColumn(
-            "has_body", F.col("has_body") & F.col("allowed")
-        )
-    asked = with_key(requests).join(
-        facts.select("url", "has_body", "content_sha1"), "url", "left"
+    if robots is None or not settings.respect_robots:
+        return asked.withColumn("allowed", F.lit(True))
+    return cut(robots_allowed(asked, robots))
+
+
+def _with_hashes(asked: DataFrame, pages: DataFrame) -> DataFrame:
+    """Add `fetched` and the content hash; the HTML is read here, not moved."""
+    hashes = pages.select(
+        "url", has_body().alias("has_body"), content_sha1("html").alias("content_sha1")
     )
+    fetched = F.col("allowed") & F.coalesce("has_body", F.lit(False))
     return cut(
-        asked.select(
-            "url",
-            "url_key",
-            F.coalesce("force", F.lit(False)).alias("force"),
-            F.coalesce("use_ai", F.lit(False)).alias("use_ai"),
-            *ORDER,
-            F.coalesce("has_body", F.lit(False)).alias("fetched"),
-            "content_sha1",
-        )
+        asked.join(hashes, "url", "left").withColumn("fetched", fetched).drop("has_body")
     )
 
 
@@ -186,27 +196,24 @@ def _with_changed(
     return cut(flagged.unionByName(rest.withColumn("changed", unknown)))
 
 
-def _openers(asked: DataFrame, seen: DataFrame | None) -> DataFrame:
-    """(url, use_ai) of the first fetched request per key, for keys not seen before."""
-    firsts = (
-        asked.filter("fetched and not force")
-        .groupBy("url_key")
-        .agg(F.min(F.struct(*ORDER, "url", "use_ai")).alias("first"))
-    )
-    if seen is not None:
-        firsts = firsts.join(seen.select("url_key"), "url_key", "left_anti")
-    return firsts.select("first.url", "first.use_ai")
-
-
 def _records(wanted: DataFrame, pages: DataFrame, replies: DataFrame | None) -> DataFrame:
-    """(url, use_ai, fields), each wanted URL parsed once; the only shuffle that carries HTML."""
+    """(url, use_ai, has_body, fields) of the wanted URLs that have a page.
+
+    Each is parsed once; the semi-join is the only shuffle that carries HTML.
+    """
     by_page = wanted.filter("not use_ai").select("url")
-    parsed = extract_records(pages.select("url", "html").join(by_page, "url", "left_semi"))
-    records = parsed.select("url", F.lit(False).alias("use_ai"), *ITEM_FIELDS)
+    mine = pages.select("url", "html").join(by_page, "url", "left_semi")
+    parsed = extract_records(mine.withColumn("has_body", has_body()))
+    records = parsed.select("url", F.lit(False).alias("use_ai"), "has_body", *ITEM_FIELDS)
     if replies is None:
         return records
-    by_model = extract_from_replies(wanted.filter("use_ai").select("url"), replies)
-    return records.unionByName(by_model.select("url", F.lit(True).alias("use_ai"), *ITEM_FIELDS))
+    bodies = pages.select("url", has_body().alias("has_body"))
+    by_model = bodies.join(wanted.filter("use_ai").select("url"), "url", "left_semi")
+    return records.unionByName(
+        extract_from_replies(by_model, replies).select(
+            "url", F.lit(True).alias("use_ai"), "has_body", *ITEM_FIELDS
+        )
+    )
 
 
 def _key_marks(done: DataFrame, seen: DataFrame | None) -> DataFrame:

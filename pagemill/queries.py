@@ -212,8 +212,7 @@ links AS (
   SELECT p_partkey, p_partkey // 20 AS n, p_partkey % 20 AS pos,
          concat('{SITE}/p/', p_partkey, '.html') AS url, p_name, p_retailprice FROM part),
 walks AS (
-  SELECT DISTINCT n, n // 5 AS walk, n % 5 AS page_depth,
-         concat('{SITE}/catalogue/page-', n // 5 * 5 + 1, '.html') AS seed,
+  SELECT DISTINCT n, n // 5 * 5 AS walk, n % 5 AS page_depth,
          concat('{SITE}/catalogue/page-', n + 1, '.html') AS url FROM links)"""
 
 
@@ -829,17 +828,17 @@ def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- listings -----------------------------------------------------------------------------
 
 
-@query(f"WITH {LISTING_SQL} SELECT seed, CAST(page_depth AS INTEGER) AS page_depth, url FROM walks")
+@query(f"WITH {LISTING_SQL} SELECT walk, CAST(page_depth AS INTEGER) AS page_depth, url FROM walks")
 def catalog_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     listings = listing_pages(product_table(spark, sf_dir))
     read = frontier.listing_links(listings.select("url", "html"))
-    return frontier.walk_listings(seeds(listings), read, 5).select("seed", "page_depth", "url")
+    return frontier.walk_listings(seeds(listings), read, 5).select("walk", "page_depth", "url")
 
 
 PLAN_SQL = LISTING_SQL + """,
 plan AS (
-  SELECT w.seed, w.walk, w.page_depth, l.pos, l.url, l.p_partkey, l.p_name, l.p_retailprice,
-         row_number() OVER (PARTITION BY w.seed ORDER BY w.page_depth, l.pos) AS ordinal
+  SELECT w.walk, w.page_depth, l.pos, l.url, l.p_partkey, l.p_name, l.p_retailprice,
+         row_number() OVER (PARTITION BY w.walk ORDER BY w.page_depth, l.pos) AS ordinal
   FROM walks w JOIN links l USING (n))"""
 
 
@@ -852,7 +851,7 @@ def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
 WITH {PLAN_SQL}
-SELECT seed, CAST(page_depth AS INTEGER) AS page_depth, CAST(pos AS INTEGER) AS pos, ordinal,
+SELECT walk, CAST(page_depth AS INTEGER) AS page_depth, CAST(pos AS INTEGER) AS pos, ordinal,
        (ordinal - 1) // 10 AS chunk_id, url FROM plan"""
 )
 def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -862,10 +861,10 @@ def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
 WITH {PLAN_SQL}
-SELECT seed, 'chunked' AS mode, count(DISTINCT page_depth) AS pages_scanned,
+SELECT walk, 'chunked' AS mode, count(DISTINCT page_depth) AS pages_scanned,
        count(*) AS books_dispatched, CAST(ceil(count(*) / 7) AS BIGINT) AS chunks,
        CAST(7 AS INTEGER) AS chunk_size, true AS webhook_attached
-FROM plan GROUP BY seed"""
+FROM plan GROUP BY walk"""
 )
 def dispatch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     visited = walked(spark, sf_dir)
@@ -969,7 +968,7 @@ def local_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
 WITH {PLAN_SQL}
-SELECT url, walk * 5 * 16777216 + ordinal AS seq,
+SELECT url, walk * 16777216 + ordinal AS seq,
        CASE WHEN p_partkey % 10 = 0 THEN 'fetch_failed' WHEN p_partkey % 10 = 1 THEN 'parse_failed'
             ELSE 'ok' END AS status,
        CASE WHEN p_partkey % 10 > 1 THEN p_retailprice END AS price

@@ -31,13 +31,11 @@ def build_session(app: str = "pagemill", **extra: str) -> SparkSession:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a local one only where none is named."""
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="pagemill-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        named = tempfile.mkdtemp(prefix="pagemill-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:

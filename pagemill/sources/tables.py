@@ -13,14 +13,12 @@ def read_table(spark: SparkSession, path: str, schema: str = PAGES) -> DataFrame
 
 
 def stream_table(
-    spark: SparkSession, path: str, schema: str = PAGES, files_per_trigger: int | None = None,
+    spark: SparkSession, path: str, schema: str = PAGES, files_per_trigger: int = 64,
     **options: str,
 ) -> DataFrame:
     """A file stream. `files_per_trigger` bounds a micro-batch, and with it every group in it."""
     reader = spark.readStream.schema(schema).options(**options)
-    if files_per_trigger is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 def spread(scan: DataFrame) -> DataFrame:

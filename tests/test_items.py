@@ -86,7 +86,7 @@ def results(spark, *statuses):
     return spark.createDataFrame([(s,) for s in statuses], "status string")
 
 
-def test_metrics(spark):
+def test_metrics(spark, tmp_path):
     done = results(spark, "ok", "updated", "fetch_failed", "parse_failed", "ok")
     log = report.counter_increments(done).unionByName(report.counter_increments(done))
     letters = results(spark, "x", "y")
@@ -96,6 +96,9 @@ def test_metrics(spark):
     assert [line.split()[-1] for line in lines if not line.startswith("#")] == ["6", "2", "2", "7"]
     assert lines[0].startswith("# HELP pagemill_pages_processed_total ")
     assert lines[1] == "# TYPE pagemill_pages_processed_total counter"
+    report.write_metrics_text(snap, str(tmp_path / "metrics"))
+    written = next((tmp_path / "metrics").glob("part-*")).read_text(encoding="utf-8")
+    assert written == "\n".join(lines) + "\n"
     assert {r["status"]: r["n"] for r in report.status_counts(done).collect()}["ok"] == 2
     assert [r["value"] for r in report.counters(log.limit(0)).collect()] == [0, 0]
 

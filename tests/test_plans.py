@@ -104,6 +104,16 @@ def test_catalog(spark, chunk, mode, chunks):
     assert '"successful_inserts":5' in crawl.event().first()[0]
 
 
+def test_walks_may_share_a_start(spark):
+    read = frontier.listing_links(chain(spark, {"a": "b", "b": None}))
+    visits = frontier.walk_listings(seed(spark, f"{SITE}/a", f"{SITE}/a", f"{SITE}/b"), read, 5)
+    urls = frontier.frontier(visits, 10)
+    got = sorted((r["walk"], r["ordinal"], r["url"][-2:]) for r in urls.collect())
+    assert got == [(0, 1, "a1"), (0, 2, "b1"), (1, 1, "a1"), (1, 2, "b1"), (2, 1, "b1")]
+    summary = frontier.dispatch_summary(urls, visits, 10).collect()
+    assert {r["walk"]: r["pages_scanned"] for r in summary} == {0: 2, 1: 2, 2: 1}
+
+
 def test_seed(spark):
     df = spark.createDataFrame([(SITE + "/",)], "base_url string")
     assert frontier.seed_urls(df).first()["url"] == f"{SITE}/catalogue/page-1.html"
