@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = r"[\s\x1c-\x1f]"
+# Fixed value: every character that counts as white space.
+SPACE = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
+    map(chr, [*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 # Scheme, authority, path, query, fragment; an absent part reads as ''.
 _PARTS = (
     r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -20,8 +23,8 @@ def col(value: Column | str) -> Column:
 
 
 def strip(text: Column | str) -> Column:
-    """Drop white space of any kind at both ends (`trim` drops the plain space only)."""
-    return F.regexp_replace(col(text), f"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    """Drop white space of any kind at both ends (plain `trim` drops the space only)."""
+    return F.btrim(col(text), F.lit(SPACE))
 
 
 def url_key(url: Column | str) -> Column:

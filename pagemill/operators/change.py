@@ -44,11 +44,13 @@ def content_changed_ttl(
     if ttl_sec is None:
         return content_changed(observed, state, key, sha1, ts, seq, slice_seconds)
     rows = _with_state(observed, state, key, sha1, ts, seq)
-    marked = with_previous(rows, key, ts, seq, sha1, "_previous", slice_seconds).withColumn(
-        "_starts", ~F.col(sha1).eqNullSafe(F.col("_previous"))
+    # Both steps feed several passes with narrow rows, so each is worked out once.
+    marked = cut(
+        with_previous(rows, key, ts, seq, sha1, "_previous", slice_seconds).withColumn(
+            "_starts", ~F.col(sha1).eqNullSafe(F.col("_previous"))
+        )
     )
     runs = with_latest_mark(marked, key, ts, seq, "_starts", "_run", slice_seconds)
-    # Narrow rows that feed several passes: windows above are run once.
     runs = cut(runs.withColumn("_run", F.col("_run.seq")))
     accepted = ttl_first_seen(
         runs, ttl_sec, keys=(key, "_run"), ts=ts, seq=seq, hot_rows=hot_rows

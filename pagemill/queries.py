@@ -180,7 +180,10 @@ def plain_pages(parts: DataFrame) -> DataFrame:
 
 
 def listing_pages(parts: DataFrame) -> DataFrame:
-    """Listing pages of 20 products each, linked by `next`, as one chain over all products."""
+    """Listing pages of 20 products each, linked by `next`, as one chain over all products.
+
+    They are spread over the cores, as a landed table of pages would be.
+    """
     number = F.floor(F.col("p_partkey") / 20)
     link = text_of('<article class="product_pod"><h3><a href="../p/', F.col("p_partkey"),
                    '.html">', F.col("p_name"), "</a></h3></article>")
@@ -193,7 +196,7 @@ def listing_pages(parts: DataFrame) -> DataFrame:
         listing_url(F.col("n")).alias("url"),
         text_of("<body><h1>All</h1>", joined, following, "</body>").alias("html"),
         "n",
-    )
+    ).repartition(parts.sparkSession.sparkContext.defaultParallelism)
 
 
 def listing_url(number: Column) -> Column:

@@ -78,3 +78,12 @@ def test_host(spark, url):
 def test_null_host(spark):
     row = spark.createDataFrame([(None,)], "u string").select(U.host_of("u"), U.path_of("u")).first()
     assert row[0] == ""
+
+
+def test_strip(spark):
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    assert sorted(spaces) == sorted(U.SPACE)
+    texts = [f"{c}a{c}b{c}" for c in spaces] + ["", " ", "\t\n", "x", "\u200bz\u200b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["s"] for r in df.select("t", U.strip("t").alias("s")).collect()}
+    assert got == {t: t.strip() for t in texts}
