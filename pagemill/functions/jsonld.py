@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pagemill.functions.urls import col
 from pagemill.functions.values import first_that, to_price, to_rating
 
+# How JSON containers are spelled as text, applied outside quoted strings.
+SPELLING = ((",", ", "), (":", ": "), ("true", "True"), ("false", "False"), ("null", "None"))
+OUTSIDE_STRINGS = '(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
 
 def json_blocks(ld: Column | str) -> Column:
     """The JSON objects of a page's structured-data scripts, as array<variant>.
@@ -56,16 +60,24 @@ def json_rating(value: Column) -> Column:
 
 
 def json_text(value: Column) -> Column:
-    """A string value as it stands, anything else as JSON text."""
-    return F.when(is_text(value), F.try_variant_get(value, "$", "string")).otherwise(
-        F.to_json(value)
+    """A string value as it stands; other values spelled out, containers as `['a', {'b': 1}]`."""
+    kind, text = F.schema_of_variant(value), F.to_json(value)
+    spelled = text
+    for pattern, by in SPELLING:
+        spelled = F.regexp_replace(spelled, pattern + OUTSIDE_STRINGS, by)
+    spelled = F.replace(spelled, F.lit('"'), F.lit("'"))
+    return (
+        F.when(is_text(value), F.try_variant_get(value, "$", "string"))
+        .when(kind == "BOOLEAN", F.initcap(text))
+        .when(F.rlike(kind, F.lit("^(OBJECT|ARRAY)")), spelled)
+        .otherwise(text)
     )
 
 
 def json_text_or_blank(value: Column) -> Column:
     """As `json_text`, with '' for zero, false and empty containers."""
     text = json_text(value)
-    blank = ~is_text(value) & text.isin("0", "0.0", "false", "[]", "{}")
+    blank = ~is_text(value) & text.isin("0", "0.0", "False", "[]", "{}")
     return F.when(blank, F.lit("")).otherwise(text)
 
 

@@ -8,6 +8,7 @@ batches are bounded by bytes on the way in and on the way out.
 from __future__ import annotations
 
 import json
+import math
 from collections import Counter
 from collections.abc import Iterator
 from html.entities import html5
@@ -171,13 +172,21 @@ def _character(code: int) -> str:
 
 
 def _plain_json(text: str) -> str | None:
-    """The block with repeated keys resolved to the last one, as a JSON reader does."""
+    """The block with repeated keys resolved to the last one, as a JSON reader does.
+
+    Numbers that are none, or too large for one, stay as text.
+    """
     try:
-        return json.dumps(json.loads(text, parse_constant=str))
+        return json.dumps(json.loads(text, parse_constant=str, parse_float=_finite))
     except (ValueError, RecursionError):
         return None
 
 
+def _finite(text: str) -> float | str:
+    number = float(text)
+    return number if math.isfinite(number) else text
+
+
 def _to_arrow(trees: list[tuple[list, list, list] | None]) -> list[pa.Array]:
     def offsets(which: int) -> pa.Array:
         bounds, total = [], 0

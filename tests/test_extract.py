@@ -66,6 +66,58 @@ CASES = {
     ),
     "ld_invalid": (ld("{oops", ld('{"name": "second"}')), ("second", 0.0, "unknown", 0, "")),
     "ld_repeated_key": (ld('{"name": "a", "name": "b"}'), ("b", 0.0, "unknown", 0, "")),
+    "ld_odd_numbers": (
+        ld('{"name": "n", "x": NaN, "y": 1e999, "price": 2.50, "ratingValue": Infinity}'),
+        ("n", 2.5, "unknown", 0, ""),
+    ),
+    "ld_price_in_object": (
+        ld('{"name": "n", "price": {"amount": "7,5"}, "rating": 3}'),
+        ("n", 7.5, "unknown", 0, ""),
+    ),
+    "ld_nested_list": (
+        ld('{"name": "n", "offers": [{"price": [8, 9]}, {"price": 1}], "aggregateRating": []}'),
+        ("n", 8.0, "unknown", 0, ""),
+    ),
+    "ld_container_texts": (
+        ld('{"name": "n", "availability": ["http://schema.org/InStock"], "description": {"a": [1, true, "x, y: null"]}}'),
+        ("n", 0.0, "InStock']", 0, "{'a': [1, True, 'x, y: null']}"),
+    ),
+    "ld_boolean_text": (
+        ld('{"name": "n", "availability": true, "description": 0}', '<div id="product_description"></div><p>x</p>'),
+        ("n", 0.0, "True", 0, ""),
+    ),
+    "ld_wrong_type": (
+        '<script type="application/json">{"name": "no"}</script><h1>H</h1>',
+        ("H", 0.0, "unknown", 0, ""),
+    ),
+    "ld_escapes": (
+        ld('{"name": "a \\u00e9 &amp; b", "description": " x\\ny "}'),
+        ("a é &amp; b", 0.0, "unknown", 0, "x\ny"),
+    ),
+    "rating_meta": (
+        '<h1>d</h1><meta property="rating" content="4 stars">',
+        ("d", 0.0, "unknown", 4, ""),
+    ),
+    "rating_class_without_word": (
+        '<h1>d</h1><p class="star-rating">x</p><meta name="rating" content="two">',
+        ("d", 0.0, "unknown", 2, ""),
+    ),
+    "second_level_descendant": (
+        '<div class="product_main"><div><span><h1>deep</h1></span></div><p> </p><p>no</p></div>',
+        ("deep", 0.0, "unknown", 0, ""),
+    ),
+    "self_closing": (
+        '<div class="product_main"/><h1>out</h1><div class="product_main"><br/><h1>in</h1></div>',
+        ("in", 0.0, "unknown", 0, ""),
+    ),
+    "template_text_hidden": (
+        "<h1>v</h1><template><p>£5 in stock 3/5</p></template>",
+        ("v", 0.0, "unknown", 0, ""),
+    ),
+    "cdata_and_case": (
+        '<H1 CLASS="X">Up<![CDATA[ data ]]></H1><P CLASS="Price_color">6</P><P class="price">5</P>',
+        ("Updata", 5.0, "unknown", 0, ""),
+    ),
     "ld_blank_and_null": (
         ld('{"name": "", "headline": null}', "<h1>H</h1>"),
         ("H", 0.0, "unknown", 0, ""),
