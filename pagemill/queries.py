@@ -272,7 +272,7 @@ outcomes AS (
               WHEN status IS NOT NULL THEN concat('status ', status)
               WHEN end_error IS NOT NULL THEN concat('gave up: ', end_error)
               ELSE concat('gave up: status ', last_status) END AS reason,
-         coalesce(decided, last) AS attempts,
+         CAST(coalesce(decided, last) AS INTEGER) AS attempts,
          CASE WHEN status = 200 AND body <> '' THEN body END AS html
   FROM ends)"""
 
@@ -1185,3 +1185,21 @@ def stream_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = CrawlStore(spark, f"{folder}/store")
     finish(routing.routed_stream(rows, store), folder)
     return store.results.read().groupBy("url", "status").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""
+WITH {ATTEMPT_SQL}
+SELECT 'pagemill.scrape' AS task, url, concat('FetchError(''Fetch failed: ', url, ''')') AS error
+FROM outcomes WHERE outcome = 'failed'"""
+)
+def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts land as files and are streamed; URLs without a page end as dead letters."""
+    folder = scratch(spark)
+    log = attempts(spark, sf_dir)
+    log.write.parquet(f"{folder}/log")
+    ddl = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in log.schema)
+    store = CrawlStore(spark, f"{folder}/store")
+    stream = stream_table(spark, f"{folder}/log", ddl, files_per_trigger=1_000)
+    finish(routing.attempts_stream(stream, store), folder)
+    return store.dead_letters.read().select("task", "url", "error")

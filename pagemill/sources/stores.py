@@ -6,6 +6,7 @@ rows and nothing else.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -28,71 +29,72 @@ class BatchTable:
     schema: str
 
     def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        df.write.mode("overwrite").parquet(f"{self.path}/batches/batch_id={batch_id}")
 
-    def read(self, before: int | None = None, after: int | None = None) -> DataFrame:
-        """All rows, or those of the batches between `after` and `before`, both left out."""
+    def read(self, before: int | None = None) -> DataFrame:
+        """The rows of all batches, or of those before one, from the last snapshot on."""
+        upto = self._last_snapshot(before)
+        batches = self._rows("batches", before)
+        if upto is None:
+            return batches.drop("batch_id")
+        snapshot = self._rows("snapshots").filter(F.col("batch_id") == upto)
+        return snapshot.unionByName(batches.filter(F.col("batch_id") > upto)).drop("batch_id")
+
+    def read_batch(self, batch_id: int) -> DataFrame:
+        return self._rows("batches").filter(F.col("batch_id") == batch_id).drop("batch_id")
+
+    def compact(self, upto: int, fold: Callable[[DataFrame], DataFrame]) -> None:
+        """Write `fold` of all rows up to a batch; readers then skip the batches it covers.
+
+        A snapshot counts once its marker is there, so one that was cut short is never read.
+        """
+        if self._last_snapshot(upto + 1) == upto:
+            return
+        rows = fold(self.read(before=upto + 1))
+        rows.write.mode("overwrite").parquet(f"{self.path}/snapshots/batch_id={upto}")
+        marker = self.spark.range(1).select(F.lit(upto).cast("long").alias("upto"))
+        marker.write.mode("append").parquet(f"{self.path}/complete")
+
+    def _last_snapshot(self, before: int | None) -> int | None:
+        done = self._table("complete", "upto long")
+        if before is not None:
+            done = done.filter(F.col("upto") < before)
+        return done.agg(F.max("upto")).first()[0]
+
+    def _rows(self, kind: str, before: int | None = None) -> DataFrame:
+        rows = self._table(kind, f"{self.schema}, batch_id long")
+        return rows if before is None else rows.filter(F.col("batch_id") < before)
+
+    def _table(self, kind: str, schema: str) -> DataFrame:
         try:
-            rows = self.spark.read.schema(f"{self.schema}, batch_id long").parquet(self.path)
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{kind}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            rows = self.spark.createDataFrame([], f"{self.schema}, batch_id long")
-        if before is not None:
-            rows = rows.filter(F.col("batch_id") < before)
-        if after is not None:
-            rows = rows.filter(F.col("batch_id") > after)
-        return rows.drop("batch_id")
+            return self.spark.createDataFrame([], schema)
 
 
 @dataclass(frozen=True)
 class ItemStore:
-    """Item versions, appended per batch; `compact` folds the older ones into a snapshot."""
+    """Item versions, appended per batch; `compact` folds the older ones into one per URL."""
 
     spark: SparkSession
     path: str
 
     @property
-    def batches(self) -> BatchTable:
-        return BatchTable(self.spark, f"{self.path}/versions", VERSIONS)
-
-    @property
-    def snapshots(self) -> BatchTable:
-        return BatchTable(self.spark, f"{self.path}/snapshots", VERSIONS)
-
-    def versions(self, before: int | None = None) -> DataFrame:
-        upto = self._snapshot(before)
-        rows = self.batches.read(before, after=upto)
-        if upto is None:
-            return rows
-        # `before` and `after` are exclusive, so this is the one snapshot.
-        return self.snapshots.read(before=upto + 1, after=upto - 1).unionByName(rows)
+    def versions(self) -> BatchTable:
+        return BatchTable(self.spark, self.path, VERSIONS)
 
     def current(self, before: int | None = None) -> DataFrame:
-        return current_items(self.versions(before))
+        return current_items(self.versions.read(before))
 
     def upsert(self, records: DataFrame, batch_id: int) -> None:
         """Add the records of a batch: url, the item fields, fetched_at and seq."""
         rows = new_versions(records, self.current(before=batch_id))
-        self.batches.write(rows, batch_id)
+        self.versions.write(rows, batch_id)
 
     def compact(self, upto: int) -> None:
-        """Write the state after batch `upto`; readers then skip the batches it covers."""
-        rows = current_items(self.versions(before=upto + 1), keep_order=True)
-        self.snapshots.write(rows, upto)
-
-    def _snapshot(self, before: int | None) -> int | None:
-        try:
-            found = self.spark.read.schema(f"{VERSIONS}, batch_id long").parquet(
-                self.snapshots.path
-            )
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-        if before is not None:
-            found = found.filter(F.col("batch_id") < before)
-        return found.agg(F.max("batch_id")).first()[0]
+        self.versions.compact(upto, lambda rows: current_items(rows, keep_order=True))
 
 
 @dataclass(frozen=True)
@@ -128,9 +130,23 @@ class CrawlStore:
 
     def current_content_state(self, before: int | None = None) -> DataFrame:
         """The latest hash per key over all batches."""
-        rows = self.content_state.read(before)
-        return (
-            rows.groupBy("url_key")
-            .agg(F.max_by(F.struct("content_sha1", "set_at"), "set_at").alias("s"))
-            .select("url_key", "s.content_sha1", "s.set_at")
+        return latest_hashes(self.content_state.read(before))
+
+    def compact(self, upto: int) -> None:
+        """Fold what a run reads back: items, marks, hashes and counters up to a batch."""
+        self.items.compact(upto)
+        self.seen.compact(
+            upto, lambda rows: rows.groupBy("url_key").agg(F.max("seen_at").alias("seen_at"))
+        )
+        self.content_state.compact(upto, latest_hashes)
+        self.counters.compact(
+            upto, lambda rows: rows.groupBy("name").agg(F.sum("amount").alias("amount"))
         )
+
+
+def latest_hashes(rows: DataFrame) -> DataFrame:
+    return (
+        rows.groupBy("url_key")
+        .agg(F.max_by(F.struct("content_sha1", "set_at"), "set_at").alias("s"))
+        .select("url_key", "s.content_sha1", "s.set_at")
+    )

@@ -23,10 +23,9 @@ def first_seen_stream(
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = first_seen(batch, seen.read(before=batch_id), ts=ts, seq=seq)
         passed.write(rows, batch_id)
-        done = passed.read(
-            before=batch_id + 1, after=batch_id - 1
+        marks = passed.read_batch(batch_id).select(
+            "url_key", F.col(ts).cast("timestamp").alias("seen_at")
         )
-        marks = done.select("url_key", F.col(ts).cast("timestamp").alias("seen_at"))
         seen.write(marks, batch_id)
 
     return requests.writeStream.foreachBatch(write)

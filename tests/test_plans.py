@@ -287,3 +287,9 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     assert store.results.read().filter("status = 'skipped_duplicate'").count() == 1
     assert store.dead_letters.read().count() == 1
     assert store.items.current().count() == 2
+    for _ in range(2):
+        store.compact(1)
+        assert tables()[:3] == once[:3] and store.current_content_state().isEmpty()
+    run_requests(store, requests(spark, [("a", False), ("x", False)]), pages, 2)
+    assert store.results.read().filter("status = 'skipped_duplicate'").count() == 2
+    assert store.items.current().count() == 2
