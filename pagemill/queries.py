@@ -510,8 +510,9 @@ FROM part"""
 )
 def items_from_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = product_table(spark, sf_dir)
-    reply = text_of('{"title": "', F.col("p_name"), '", "price": ', F.col("p_retailprice"), "}")
-    replies = parts.filter("p_partkey % 2 = 0").select(product_url().alias("url"), reply.alias("reply"))
+    answer = text_of('{"title": "', F.col("p_name"), '", "price": ', F.col("p_retailprice"), "}")
+    reply = F.when(F.col("p_partkey") % 2 == 0, answer).otherwise("no idea")
+    replies = parts.select(product_url().alias("url"), reply.alias("reply"))
     return assisted.extract_from_replies(parts.select(product_url().alias("url")), replies)
 
 
@@ -625,15 +626,17 @@ def content_hashes_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change.content_state(change.content_changed(observations(spark, sf_dir)))
 
 
-@query("SELECT sha1(lower(url)) AS url_key, page_id % 2 = 0 AS might_be_seen FROM pages")
+@query("SELECT sha1(lower(url)) AS url_key, starts_with(url, 'https:') AS might_be_seen FROM pages")
 def bloom_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     # Room for far more keys than there are, so a false positive is practically impossible.
     shape = bloom.Shape(capacity=2_000_000, error_rate=1e-6)
-    keyed = dedup.with_key(pages.select("page_id", "url"))
+    keyed = dedup.with_key(pages.select("url"))
+    # Two earlier runs took the secure pages, those of one language and the others.
+    secure, english = F.startswith(F.col("url"), F.lit("https:")), F.contains(F.col("url"), F.lit("/en/"))
     sketch = bloom.merge_sketches(
-        bloom.build_sketch(keyed.filter("page_id % 4 = 0"), shape),
-        bloom.build_sketch(keyed.filter("page_id % 4 = 2"), shape),
+        bloom.build_sketch(keyed.filter(secure & english), shape),
+        bloom.build_sketch(keyed.filter(secure & ~english), shape),
     )
     return bloom.might_be_seen(keyed, sketch, shape)
 
@@ -664,7 +667,7 @@ ITEM_RECORD_FIELDS = ("title", "price", "description")
 def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches: the second updates items of the first and adds new ones."""
     records = item_records(spark, sf_dir)
-    none = records.limit(0).select("url", F.lit(None).cast("long").alias("id"))
+    none = spark.createDataFrame([], "url string, id long")
     early = items.new_versions(records.filter("fetched_at < '2024-01-02'"), none, ITEM_RECORD_FIELDS)
     late = items.new_versions(records.filter("fetched_at >= '2024-01-02'"), early, ITEM_RECORD_FIELDS)
     return items.current_items(early.unionByName(late), ITEM_RECORD_FIELDS)
@@ -879,7 +882,7 @@ def dispatch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Requests from events over product pages; some URLs have no page or no title."""
+    """Requests from events over product pages; some pages have no body or no title."""
     requests = visits(spark, sf_dir).select(
         text_of(f"{SITE}/p/", F.col("user_id"), ".html").alias("url"),
         (F.col("event_type") == "signup").alias("force"),
@@ -887,11 +890,13 @@ def run_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.col("arrived_at").cast("timestamp").alias("arrived_at"),
         "seq",
     )
-    parts = product_table(spark, sf_dir).filter("p_partkey % 10 <> 0")
-    pages = css_pages(parts).join(
-        parts.select(product_url().alias("url"), (F.col("p_partkey") % 10 == 1).alias("bad")), "url"
+    pages = css_pages(product_table(spark, sf_dir))
+    last_digit = F.regexp_extract("url", r"(\d)\.html$", 1)
+    html = (
+        F.when(last_digit == "0", "")
+        .when(last_digit == "1", "<p>nothing here</p>")
+        .otherwise(F.col("html"))
     )
-    html = F.when(F.col("bad"), "<p>nothing here</p>").otherwise(F.col("html"))
     return requests, pages.select("url", html.alias("html"))
 
 
@@ -994,11 +999,12 @@ SELECT concat('{{"event":"scraping_completed","meta":{{"pages_scanned":',
 FROM plan"""
 )
 def completion_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A crawl whose products are read by model replies; every second reply is missing."""
+    """A crawl whose products are read by model replies; every second reply is unusable."""
     parts = product_table(spark, sf_dir)
     listings = listing_pages(parts)
-    reply = text_of('{"title": "', F.col("p_name"), '"}')
-    replies = parts.filter("p_partkey % 2 = 0").select(product_url().alias("url"), reply.alias("reply"))
+    answer = text_of('{"title": "', F.col("p_name"), '"}')
+    reply = F.when(F.col("p_partkey") % 2 == 0, answer).otherwise("[]")
+    replies = parts.select(product_url().alias("url"), reply.alias("reply"))
     crawl = crawl_catalog(
         seeds(listings), listings.select("url", "html"), css_pages(parts), use_ai=True, replies=replies
     )
