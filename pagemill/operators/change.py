@@ -9,7 +9,7 @@ from pagemill.operators.dedup import HOT_ROWS, ttl_first_seen
 from pagemill.operators.ordering import SLICE_SECONDS, with_latest_mark, with_previous
 from pagemill.session import cut
 
-# Stored hashes enter as one earlier row per key; this marks them.
+# Stored hashes enter as one row per key ahead of all others; this marks them.
 STORED = -1
 
 
@@ -27,7 +27,7 @@ def content_changed(
     return (
         marked.filter(F.col(seq) != STORED)
         .withColumn("changed", ~F.col(sha1).eqNullSafe(F.col("_previous")))
-        .drop("_previous")
+        .drop("_previous", "_set_at")
     )
 
 
@@ -52,8 +52,10 @@ def content_changed_ttl(
     )
     runs = with_latest_mark(marked, key, ts, seq, "_starts", "_run", slice_seconds)
     runs = cut(runs.withColumn("_run", F.col("_run.seq")))
+    stored = runs.filter(F.col(seq) == STORED).select(key, "_run", F.col("_set_at").alias(ts))
+    runs = runs.filter(F.col(seq) != STORED).drop("_set_at")
     accepted = ttl_first_seen(
-        runs, ttl_sec, keys=(key, "_run"), ts=ts, seq=seq, hot_rows=hot_rows
+        runs, ttl_sec, keys=(key, "_run"), ts=ts, seq=seq, marked=stored, hot_rows=hot_rows
     ).select(
         F.col(key).alias("_key"), F.col(ts).alias("_ts"), F.col(seq).alias("_seq")
     )
@@ -64,7 +66,6 @@ def content_changed_ttl(
     )
     return (
         runs.join(accepted, same, "left")
-        .filter(F.col(seq) != STORED)
         .withColumn("changed", F.col("_key").isNotNull())
         .drop("_key", "_ts", "_seq", "_previous", "_starts", "_run")
     )
@@ -95,12 +96,16 @@ def content_state(
 def _with_state(
     observed: DataFrame, state: DataFrame | None, key: str, sha1: str, ts: str, seq: str
 ) -> DataFrame:
+    """The observations and the stored hashes, which come before any observation."""
+    kind = observed.schema[ts].dataType
+    rows = observed.withColumn("_set_at", F.lit(None).cast(kind))
     if state is None:
-        return observed
+        return rows
     stored = state.select(
         F.col("url_key").alias(key),
         F.col("content_sha1").alias(sha1),
-        F.col("set_at").cast(observed.schema[ts].dataType).alias(ts),
+        F.lit("1900-01-01").cast(kind).alias(ts),
         F.lit(STORED).cast("long").alias(seq),
+        F.col("set_at").cast(kind).alias("_set_at"),
     )
-    return observed.unionByName(stored, allowMissingColumns=True)
+    return rows.unionByName(stored, allowMissingColumns=True)

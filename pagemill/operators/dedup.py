@@ -85,7 +85,7 @@ def ttl_first_seen(
 
     Per key: the first row is accepted and marks the key; a later row is accepted once the mark
     has expired (strictly later than mark + ttl), and marks it anew. `marked` (keys, ts) holds
-    marks from earlier runs.
+    marks from earlier runs; a row older than its key's mark counts as seen.
 
     This is a fold in time order. Keys with up to `hot_rows` rows are folded over sorted
     partitions, in constant memory. The rows of keys above it stay spread over all tasks: each
@@ -96,26 +96,33 @@ def ttl_first_seen(
         *keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(seq).alias("seq")
     )
     if marked is not None:
-        rows = rows.unionByName(
-            marked.select(
-                *keys,
-                F.unix_micros(F.col(ts).cast("timestamp")).alias("at"),
-                F.lit(None).cast("long").alias("seq"),
-            )
-        )
+        rows = _past_marks(rows, marked, keys, ts, ttl_sec)
     ts_type = df.schema[ts].dataType.simpleString()
     if ttl_sec is None:
         firsts = rows.groupBy(*keys).agg(F.min(F.struct("at", "seq")).alias("first"))
         accepted = firsts.select(*keys, "first.at", "first.seq")
     else:
         accepted = _fold(rows, keys, int(ttl_sec * 1_000_000), hot_rows)
-    return accepted.filter(F.col("seq").isNotNull()).select(
+    return accepted.select(
         *keys,
         F.timestamp_micros("at").cast(ts_type).alias(ts),
         F.col("seq").alias(seq),
     )
 
 
+def _past_marks(
+    rows: DataFrame, marked: DataFrame, keys: tuple[str, ...], ts: str, ttl_sec: float | None
+) -> DataFrame:
+    """The rows that the marks of earlier runs leave open, one row per key on the marks' side."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    marks = marked.groupBy(*keys).agg(F.max(at).alias("_mark"))
+    if ttl_sec is None:
+        return rows.join(marks, list(keys), "left_anti")
+    expired = F.col("at") > F.col("_mark") + F.lit(int(ttl_sec * 1_000_000))
+    joined = rows.join(marks, list(keys), "left")
+    return joined.filter(F.col("_mark").isNull() | expired).drop("_mark")
+
+
 def _fold(rows: DataFrame, keys: tuple[str, ...], ttl: int, hot_rows: int) -> DataFrame:
     counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     # At most (all rows / hot_rows) keys are above the limit, so they fit a broadcast.

@@ -1,4 +1,8 @@
-"""Streams of requests against the seen table, without expiry."""
+"""Streams of requests and of page contents whose state is a table.
+
+A batch is worked through by the batch operators, so a hot key is spread over tasks as it is
+there. `stateful` has the same gates with per-key state in the state store, for small triggers.
+"""
 
 from __future__ import annotations
 
@@ -6,26 +10,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from pagemill.operators.dedup import first_seen
-from pagemill.sources.stores import BatchTable
+from pagemill.operators.change import content_changed_ttl, content_state
+from pagemill.operators.dedup import first_seen, ttl_first_seen
+from pagemill.session import cut
+from pagemill.sources.stores import BatchTable, latest_hashes
 
 
 def first_seen_stream(
     requests: DataFrame, seen: BatchTable, passed: BatchTable,
-    ts: str = "arrived_at", seq: str = "seq",
+    ts: str = "arrived_at", seq: str = "seq", ttl_sec: float | None = None,
 ) -> DataStreamWriter:
     """Write the rows that pass the gate, batch by batch; the seen table is the state.
 
-    `requests` has url_key, `ts`, `seq`. A batch reads the marks of the batches before it, so a
-    batch that runs again gives the same rows.
+    `requests` has url_key, `ts`, `seq`. Marks never expire, or do so after `ttl_sec`. A batch
+    reads the marks of the batches before it, so a batch that runs again gives the same rows.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = first_seen(batch, seen.read(before=batch_id), ts=ts, seq=seq)
+        marks = seen.read(before=batch_id)
+        if ttl_sec is None:
+            rows = first_seen(batch, marks, ts=ts, seq=seq)
+        else:
+            marks = marks.withColumnRenamed("seen_at", ts)
+            rows = ttl_first_seen(cut(batch), ttl_sec, ts=ts, seq=seq, marked=marks)
         passed.write(rows, batch_id)
-        marks = passed.read_batch(batch_id).select(
+        new = passed.read_batch(batch_id).select(
             "url_key", F.col(ts).cast("timestamp").alias("seen_at")
         )
-        seen.write(marks, batch_id)
+        seen.write(new, batch_id)
 
     return requests.writeStream.foreachBatch(write)
+
+
+def changed_stream(
+    observed: DataFrame, state: BatchTable, flagged: BatchTable,
+    ts: str = "fetched_at", seq: str = "seq", ttl_sec: float | None = None,
+) -> DataStreamWriter:
+    """Write (url_key, content_sha1, ts, seq, changed) batch by batch; `state` holds the hashes."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        stored = latest_hashes(state.read(before=batch_id))
+        rows = cut(batch.select("url_key", "content_sha1", ts, seq))
+        flagged.write(content_changed_ttl(rows, ttl_sec, stored, ts=ts, seq=seq), batch_id)
+        state.write(content_state(flagged.read_batch(batch_id), ts=ts, seq=seq), batch_id)
+
+    return observed.writeStream.foreachBatch(write)

@@ -115,6 +115,13 @@ def test_ttl_edges(spark):
         [("k", T0 - timedelta(seconds=50))], "url_key string, fetched_at timestamp"
     )
     assert seqs(dedup.ttl_first_seen(df, 100, ts="fetched_at", marked=marked)) == {1}
+    later = spark.createDataFrame(
+        [("k", T0 + timedelta(seconds=50))], "url_key string, fetched_at timestamp"
+    )
+    # Rows older than the mark, and those it still covers, are seen.
+    assert seqs(dedup.ttl_first_seen(df, 100, ts="fetched_at", marked=later)) == set()
+    assert seqs(dedup.ttl_first_seen(df, 50, ts="fetched_at", marked=later)) == {2}
+    assert seqs(dedup.ttl_first_seen(df, None, ts="fetched_at", marked=later)) == set()
 
 
 @pytest.mark.parametrize("slice_seconds", [300, 86_400 * 30])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.config import Settings
 from pagemill.operators import change, dedup
+from pagemill.schemas import CONTENT_STATE
 from pagemill.sources.stores import BatchTable, CrawlStore, ItemStore
 from pagemill.sources.tables import stream_table
 from pagemill.streaming import first_seen, routing, stateful
@@ -57,6 +58,29 @@ def test_first_seen(spark, tmp_path, landed):
     assert passed.read().count() == seen.read().count() == len(keys)
 
 
+def test_expiring_marks_in_a_table(spark, tmp_path, landed):
+    rows, folder = landed
+    seen = BatchTable(spark, str(tmp_path / "seen"), "url_key string, seen_at timestamp")
+    passed = BatchTable(spark, str(tmp_path / "passed"), "url_key string, fetched_at timestamp, seq long")
+    stream = source(spark, folder, OBSERVED)
+    run(
+        first_seen.first_seen_stream(stream, seen, passed, ts="fetched_at", ttl_sec=3_600),
+        tmp_path / "cp",
+    )
+    assert seqs(passed.read()) == ttl_by_hand(rows, 3_600)
+
+
+def test_changes_in_a_table(spark, tmp_path, landed):
+    rows, folder = landed
+    state = BatchTable(spark, str(tmp_path / "state"), CONTENT_STATE)
+    flagged = BatchTable(spark, str(tmp_path / "flagged"), OBSERVED + ", changed boolean")
+    stream = source(spark, folder, OBSERVED)
+    run(first_seen.changed_stream(stream, state, flagged, ttl_sec=7_200), tmp_path / "cp")
+    batch = change.content_changed_ttl(spark.read.parquet(folder), 7_200)
+    assert flagged.read().count() == len(rows)
+    assert seqs(flagged.read().filter("changed")) == seqs(batch.filter("changed"))
+
+
 @pytest.mark.parametrize("ttl", [3_600, 86_400])
 def test_expiring_marks(spark, tmp_path, landed, ttl):
     rows, folder = landed
