@@ -82,7 +82,8 @@ class _PageReader(HTMLParser):
         try:
             self.feed(html)
             self.close()
-        except AssertionError:
+        except Exception:
+            # Whatever a page does to the tokenizer, it costs that page's record and no more.
             return None
         self._end_text()
         while len(self.path) > 1:

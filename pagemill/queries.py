@@ -1132,6 +1132,18 @@ def stream_ttl_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(accepted.schema).parquet(f"{folder}/out").select("url_key", "seq")
 
 
+@query(TTL_SQL)
+def stream_ttl_first_seen_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark)
+    seen = BatchTable(spark, f"{folder}/seen", "url_key string, seen_at timestamp")
+    passed = BatchTable(
+        spark, f"{folder}/passed", "url_key string, arrived_at timestamp_ntz, seq long"
+    )
+    keyed = dedup.with_key(streamed_visits(spark, sf_dir))
+    finish(seen_stream.first_seen_stream(keyed, seen, passed, ttl_sec=86_400), folder)
+    return passed.read().select("url_key", "seq")
+
+
 @query(CHANGED_TTL_SQL)
 def stream_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     stateful.use_rocksdb(spark)
