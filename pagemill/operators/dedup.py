@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.urls import url_key
 from pagemill.operators.ordering import SLICE_SECONDS, first_rows
-from pagemill.session import cut
+from pagemill.session import cut, look_up
 
 HOT_ROWS = 1_000_000
 
@@ -117,9 +117,9 @@ def _past_marks(
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     marks = marked.groupBy(*keys).agg(F.max(at).alias("_mark"))
     if ttl_sec is None:
-        return rows.join(marks, list(keys), "left_anti")
+        return rows.join(cut(marks), list(keys), "left_anti")
     expired = F.col("at") > F.col("_mark") + F.lit(int(ttl_sec * 1_000_000))
-    joined = rows.join(marks, list(keys), "left")
+    joined = look_up(rows, marks, list(keys))
     return joined.filter(F.col("_mark").isNull() | expired).drop("_mark")
 
 

@@ -42,7 +42,9 @@ def page_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _PageReader()
         for batch in batches:
-            bodies = batch.column(batch.schema.get_field_index(html)).to_pylist()
+            raw = batch.column(batch.schema.get_field_index(html)).cast(pa.binary())
+            # Crawled bytes need not be sound UTF-8.
+            bodies = [None if body is None else str(body, "utf-8", "replace") for body in raw.to_pylist()]
             for start, stop in _byte_slices(bodies):
                 part = batch.slice(start, stop - start)
                 columns = [part.column(part.schema.get_field_index(n)) for n in names]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import host_of, path_of, percent_decoded, strip
+from pagemill.session import cut
 
 AGENT = "user-agent"
 RULES = ("allow", "disallow")
@@ -76,7 +77,8 @@ def default_rules(files: DataFrame) -> DataFrame:
 
     `verdict` is true or false where the file's status decides alone: 401, 403 and files that
     could not be loaded deny everything, other 4xx allow everything. Else the ordered rules of
-    the first group for agent `*` apply. One row per host, with the rules of one file.
+    the first group for agent `*` apply. One row per host, with the rules of one file; the table
+    is written, as it is looked up by many rows of few hosts (see `session.look_up`).
     """
     status = F.col("status")
     verdict = (
@@ -88,7 +90,7 @@ def default_rules(files: DataFrame) -> DataFrame:
     star = robots_rules(files.filter(status.between(200, 399))).filter(F.col("agent") == "*")
     rule = F.struct("group_id", "rule_no", "allow", "prefix")
     per_host = star.groupBy("host").agg(F.array_sort(F.collect_set(rule)).alias("rules"))
-    return hosts.join(per_host, "host", "left")
+    return cut(hosts.join(per_host, "host", "left"))
 
 
 def robots_allowed(

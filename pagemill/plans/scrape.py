@@ -24,7 +24,7 @@ from pagemill.operators.dedup import with_key
 from pagemill.operators.extract import extract_records
 from pagemill.operators.robots import robots_allowed
 from pagemill.schemas import ITEM_FIELDS, item_defect
-from pagemill.session import cut
+from pagemill.session import cut, look_up
 from pagemill.sources.tables import has_body
 
 ORDER = ("arrived_at", "seq")
@@ -106,11 +106,12 @@ def scrape(
         wanted = asked.filter("fetched and (force or changed)")
     else:
         # Whether a page has a body comes out of the one pass that also parses it.
-        wanted = asked.filter("allowed and not force")
+        named = asked.select("url_key", "url", "use_ai", "force", "allowed").distinct()
+        wanted = named.filter("allowed and not force")
         if seen is not None:
             wanted = wanted.join(seen.select("url_key"), "url_key", "left_anti")
         wanted = wanted.select("url", "use_ai").unionByName(
-            asked.filter("allowed and force").select("url", "use_ai")
+            named.filter("allowed and force").select("url", "use_ai")
         )
     records = cut(_records(wanted.select("url", "use_ai").distinct(), pages, replies))
     done = asked.join(records, ["url", "use_ai"], "left").withColumn(
@@ -128,7 +129,7 @@ def scrape(
                 "changed": F.lit(None).cast("boolean"),
             }
         )
-        done = done.join(_key_marks(done, seen), "url_key", "left")
+        done = look_up(done, _key_marks(done, seen), "url_key")
         late = F.col("was_seen") | F.coalesce(F.struct(*ORDER) > F.col("first_mark"), F.lit(False))
         skipped = F.when(~F.col("force") & late, F.lit("skipped_duplicate"))
     success = "updated" if settings.incremental else "ok"

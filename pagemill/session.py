@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.maxBytesPerBatch": "32m",
+    # A key that occurs twice in a model's reply has its last value.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -48,3 +50,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/pagemill-{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def look_up(rows: DataFrame, table: DataFrame, on: str | list[str]) -> DataFrame:
+    """Left join of rows, of which any share may have one key, with a table of one row per key.
+
+    The table is written first. Then the planner knows its size and broadcasts it only if it is
+    small, and otherwise both sides come out of a shuffle, which is what AQE needs to split the
+    rows of a hot key. Straight from an aggregate by the same key it could not.
+    """
+    return rows.join(cut(table), on, "left")

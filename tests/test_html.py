@@ -114,3 +114,8 @@ def test_nodes_keep_the_other_columns_in_their_types(spark, monkeypatch):
 
 def test_no_pages(spark):
     assert page_nodes(spark.createDataFrame([], "url string, html string")).collect() == []
+
+
+def test_bytes_that_are_no_text(spark):
+    pages = spark.sql("SELECT 'u' AS url, cast(X'3C703E61FFFE623C2F703E' AS string) AS html")
+    assert page_nodes(pages).first()["texts"][0]["s"] == "a\ufffd\ufffdb"

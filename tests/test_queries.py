@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from pagemill import queries as registry
-from pagemill.operators import change, dedup, extract
+from pagemill.functions.urls import host_of
+from pagemill.operators import change, dedup, extract, robots
 from tests.oracle import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -62,6 +64,35 @@ def test_change_windows_run_inside_slices(spark):
     assert "hashpartitioning(url_key" in text and "_slice" in text
 
 
+def test_a_hot_host_is_split(spark):
+    hosts = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string"))
+    urls = spark.range(60_000).select(
+        F.concat(F.lit("http://"), hosts, F.lit(".example/p/"), F.col("id").cast("string")).alias("url")
+    )
+    files = urls.select(host_of("url").alias("host")).distinct()
+    rules = robots.default_rules(
+        files.select("host", F.lit(200).alias("status"), F.lit("User-agent: *\nDisallow: /p/1").alias("body"))
+    )
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+    }
+    before = {key: spark.conf.get(key, None) for key in small}
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        checked = robots.robots_allowed(urls.repartition(8), rules)
+        denied = sum(not row["allowed"] for row in checked.collect())
+        assert denied == sum(str(n).startswith("1") for n in range(60_000))
+        assert "skew=true" in plan(checked)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     text = plan(registry.visits(spark, SF_DIR).filter("arrived_at < '2024-01-02'").select("url"))
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint>" in text

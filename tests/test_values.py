@@ -14,7 +14,7 @@ def one(spark, function, value, kind="string"):
 @pytest.mark.parametrize(
     ("text", "price"),
     [
-        ("£51.77", 51.77), ("51,77 TL", 51.77), ("1,234.50", 1.234), ("-5", 5.0), ("free", None),
+        ("£48.20", 48.2), ("48,20 EUR", 48.2), ("1,234.50", 1.234), ("-5", 5.0), ("free", None),
         ("", None), (None, None), ("a1b2", 1.0), ("7.", 7.0), (".5", 5.0),
     ],
 )
@@ -75,7 +75,7 @@ def test_texts(spark, text, price, stock, stars):
 
 
 @pytest.mark.parametrize(
-    "number", [51.77, 7.0, 0.0, 12345678.9, 1e15, 0.001, 1e7, 99999999.99, 0.1 + 0.2]
+    "number", [48.2, 7.0, 0.0, 12345678.9, 1e15, 0.001, 1e7, 99999999.99, 0.1 + 0.2]
 )
 def test_number_text(spark, number):
     assert one(spark, V.number_text, number, "double") == repr(number)
