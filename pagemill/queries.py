@@ -363,19 +363,6 @@ replace(replace(replace(replace(regexp_replace({0}, '&amp$', '&'), '&quot;', '"'
   '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"""
 
 
-@query(
-    f"""
-SELECT page_id,
-       {DECODED.format("regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '^\\s+|\\s+$', '', 'g')")} AS title,
-       CAST(0 AS DOUBLE) AS price, 'unknown' AS availability, CAST(0 AS INTEGER) AS rating,
-       '' AS description
-FROM pages"""
-)
-def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = html_pages(spark, sf_dir).select("page_id", "html")
-    return extract.extract_records(pages)
-
-
 VISIBLE_SQL = f"""
 bare AS (
   SELECT page_id, regexp_replace(html,
@@ -387,6 +374,27 @@ texts AS (
     lambda t: t <> ''), ' ') AS text FROM bare)"""
 
 
+@query(
+    rf"""
+WITH {VISIBLE_SQL}
+SELECT p.page_id,
+       {DECODED.format(r"regexp_replace(regexp_extract(p.html, '<h1>(.*?)</h1>', 1, 's'), '^\s+|\s+$', '', 'g')")} AS title,
+       coalesce(TRY_CAST(regexp_extract(replace(
+         regexp_extract(t.text, '[£$€₺]\s?[0-9]+(?:[.,][0-9]+)?'), ',', '.'),
+         '[0-9]+(?:\.[0-9]+)?') AS DOUBLE), 0) AS price,
+       coalesce(nullif(regexp_extract(t.text,
+         '(?i)(In stock(?:\s*\([0-9]+\s*available\))?|Out of stock|Stokta(?:\s*yok)?)'), ''),
+         'unknown') AS availability,
+       least(5, coalesce(CAST(round_even(TRY_CAST(regexp_extract(t.text,
+         '(?i)([0-9](?:\.[0-9])?)\s*(?:/|out of)\s*5', 1) AS DOUBLE), 0) AS INTEGER), 0)) AS rating,
+       '' AS description
+FROM pages p JOIN texts t USING (page_id)"""
+)
+def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_pages(spark, sf_dir).select("page_id", "html")
+    return extract.extract_records(pages)
+
+
 @query(f"WITH {VISIBLE_SQL} SELECT page_id, text FROM texts")
 def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = page_nodes(html_pages(spark, sf_dir).select("page_id", "html"))
