@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm.common import table
+from pagemill.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,3 +32,20 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     machine = compile_merges(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return encode_documents(table(spark, sf_dir, "documents"), machine)
+
+
+@query()
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.toxicity import score_documents, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train(docs, labels.filter(fold("doc_id", 4) != 2))
+    return score_documents(docs, model, fold("doc_id", 4) == 2)
+
+
+@query()
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.langid import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs, fold("doc_id", 3) != 1), fold("doc_id", 3) == 1)

@@ -1,0 +1,85 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from pagemill.llm import langid
+from pagemill.llm.langid import Model, identify, suffix_automaton, train
+
+LETTERS = {"aa": "abcdest", "bb": "lmnopst"}
+
+
+def text_in(lang: str, words: int, seed: int) -> str:
+    pick = random.Random(f"{lang}{seed}")
+    return " ".join("".join(pick.choice(LETTERS[lang]) for _ in range(pick.randrange(2, 7))) for _ in range(words))
+
+
+def brute_phrases(text: list[int], training: list[int]) -> int:
+    """Longest matches found by search, piece by piece."""
+    known = bytes(training)
+    count = 0
+    for start in range(0, len(text), langid.PIECE):
+        piece, at = bytes(text[start : start + langid.PIECE]), 0
+        while at < len(piece):
+            end = at + 1
+            while end <= len(piece) and piece[at:end] in known:
+                end += 1
+            at = max(end - 1, at + 1)
+            count += 1
+    return count
+
+
+def test_phrases_against_search():
+    model = Model({name: text_in(name, 60, 0) for name in LETTERS})
+    model.build()
+    texts = [text_in("aa", n, n) + text_in("bb", 3, n) for n in (0, 1, 5, 80, 700)]
+    texts += ["", "zzz ~ q", "été ÀB"]
+    symbols = [model.symbols(x) for x in texts]
+    got = model.phrases(symbols)
+    for i, name in enumerate(model.names):
+        training = model.symbols(model.texts[name]).tolist()
+        want = [brute_phrases(x.tolist(), training) for x in symbols]
+        assert got[i].tolist() == want
+
+
+def test_automaton_accepts_the_substrings():
+    pick = random.Random(3)
+    word = [pick.randrange(3) for _ in range(40)]
+    step = suffix_automaton(word)
+    known = {tuple(word[i:j]) for i in range(41) for j in range(i, 41)}
+    for _ in range(2000):
+        probe, at = [pick.randrange(3) for _ in range(pick.randrange(7))], 0
+        for x in probe:
+            at = step[at].get(x, -1) if at >= 0 else -1
+        assert (at >= 0) == (tuple(probe) in known)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, text_in(lang, 40, i), lang) for i in range(60) for lang in [("aa", "bb")[i % 2]]]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_held_out_accuracy(docs):
+    model = train(docs, F.col("doc_id") % 3 != 1)
+    out = identify(docs, model, F.col("doc_id") % 3 == 1).join(docs, "doc_id").collect()
+    assert len(out) == 60
+    assert all(r.lang_pred == r.lang and 0.5 <= r.score <= 1 for r in out)
+    assert all(r.held_out == (r.doc_id % 3 == 1) for r in out)
+
+
+def test_defined_results(spark, docs):
+    model = train(docs, F.lit(True))
+    odd = spark.createDataFrame(
+        [(1, None, "aa"), (2, "", None), (3, "12 .. !", "zz"), (None, text_in("aa", 9, 1), None), (4, text_in("bb", 30000, 2), "x"), (4, "lmn", "x")],
+        "doc_id long, text string, lang_pred string",
+    )
+    got = sorted((r.doc_id or 0, r.lang_pred, r.score > 0) for r in identify(odd, model, F.lit(None).cast("boolean")).collect())
+    assert got == [(0, "aa", True), (1, "und", False), (2, "und", False), (3, "und", False), (4, "bb", True), (4, "bb", True)]
+    assert identify(odd.limit(0), model, F.lit(False)).count() == 0
+    nothing = train(docs.limit(0), F.lit(True))
+    assert {r.lang_pred for r in identify(odd, nothing, F.lit(False)).collect()} == {"und"}
+    only = train(docs.filter("lang = 'aa'"), F.lit(True))
+    assert {(r.lang_pred, r.score) for r in identify(docs, only, F.lit(False)).collect()} == {("aa", 1.0)}
