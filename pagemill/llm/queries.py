@@ -49,3 +49,39 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs, fold("doc_id", 3) != 1), fold("doc_id", 3) == 1)
+
+
+@query(
+    """
+    WITH page AS (SELECT row_number() OVER () AS row_id, * FROM documents),
+    line AS (SELECT row_id, source, trim(unnest(string_split(text, chr(10)))) AS line FROM page),
+    seen AS (
+        SELECT source, line, count(DISTINCT row_id) AS pages FROM line WHERE line <> '' GROUP BY source, line
+    ),
+    host AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
+    common AS (
+        SELECT seen.source, list(line) AS drops
+        FROM seen JOIN host ON seen.source IS NOT DISTINCT FROM host.source
+        WHERE pages >= 5 AND pages > 0.1 * total GROUP BY seen.source
+    ),
+    kept AS (
+        SELECT doc_id, CASE WHEN drops IS NULL THEN text ELSE array_to_string(list_filter(
+            string_split(text, chr(10)), lambda x: trim(x) = '' OR NOT list_contains(drops, trim(x))), chr(10)) END AS text
+        FROM page LEFT JOIN common ON page.source IS NOT DISTINCT FROM common.source
+    )
+    SELECT doc_id, text, coalesce(length(text), 0) AS n_chars FROM kept
+    """
+)
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.line_dedup import drop_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return drop_lines(docs).selectExpr("doc_id", "text", "coalesce(bigint(length(text)), 0L) AS n_chars")
+
+
+@query()
+def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.maxscore import quantised, top_k
+
+    vectors = quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256)
+    return top_k(vectors, "vec_id % 50 = 0", 5)
