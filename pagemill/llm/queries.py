@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagemill.llm import licenses
 from pagemill.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +86,8 @@ def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256)
     return top_k(vectors, "vec_id % 50 = 0", 5)
+
+
+@query(licenses.oracle(licenses.TEMPLATES))
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
