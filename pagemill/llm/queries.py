@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import licenses
+from pagemill.llm import decontaminate, licenses
 from pagemill.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +91,9 @@ def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(licenses.oracle(licenses.TEMPLATES))
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query(decontaminate.oracle())
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = decontaminate.question_and_answer(table(spark, sf_dir, "benchmark"))
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), items)
