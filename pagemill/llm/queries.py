@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import decontaminate, licenses
+from pagemill.llm import decontaminate, jaccard, licenses
 from pagemill.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,8 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = decontaminate.question_and_answer(table(spark, sf_dir, "benchmark"))
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), items)
+
+
+@query()
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
