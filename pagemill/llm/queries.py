@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import decontaminate, jaccard, licenses
+from pagemill.llm import decontaminate, html_main, jaccard, licenses, quality
 from pagemill.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,3 +102,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs))
