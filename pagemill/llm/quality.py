@@ -82,16 +82,14 @@ class Reader:
         }
 
 
-NEVER = lambda f: False
-
 # Each labeller: what is low, and what is high; anything between is an abstention.
 LABELLERS = (
     (lambda f: f["symbols"] > 0.06, lambda f: f["symbols"] < 0.015),
     (lambda f: f["clean"] < 0.75, lambda f: f["clean"] > 0.92),
-    (lambda f: f["upper"] > 0.4, NEVER),
-    (lambda f: f["shouts"] > 0.2, NEVER),
-    (lambda f: f["again"] > 0.25, NEVER),
-    (lambda f: f["bars"] > 0.1, NEVER),
+    (lambda f: f["upper"] > 0.4, lambda f: f["upper"] < 0.2),
+    (lambda f: f["shouts"] > 0.2, lambda f: f["shouts"] < 0.05),
+    (lambda f: f["again"] > 0.25, lambda f: f["again"] < 0.05),
+    (lambda f: f["bars"] > 0.1, lambda f: f["bars"] < 0.02),
     (lambda f: f["words"] >= 40 and f["distinct"] < 0.15, lambda f: f["words"] >= 40 and f["distinct"] > 0.35),
     (lambda f: f["words"] >= 40 and f["packed"] < 0.2, lambda f: f["words"] >= 40 and f["packed"] > 0.3),
     (lambda f: f["words"] >= 10 and f["points"] > 0.15, lambda f: 0.008 < f["points"] < 0.08),
