@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pagemill.functions.urls import col
 from pagemill.functions.values import first_that, to_price, to_rating
 
-# How JSON containers are spelled as text, applied outside quoted strings.
+# How what stands between the strings of a JSON container is spelled as text, and
+# how escapes inside its strings are.
 SPELLING = ((",", ", "), (":", ": "), ("true", "True"), ("false", "False"), ("null", "None"))
-OUTSIDE_STRINGS = '(?=(?:[^"]*"[^"]*")*[^"]*$)'
+ESCAPES = (("\\b", "\\x08"), ("\\f", "\\x0c"), ("\\u00", "\\x"), ("\\/", "/"))
 
 
 def json_blocks(ld: Column | str) -> Column:
@@ -62,18 +63,38 @@ def json_rating(value: Column) -> Column:
 def json_text(value: Column) -> Column:
     """A string value as it stands; other values spelled out, containers as `['a', {'b': 1}]`."""
     kind, text = F.schema_of_variant(value), F.to_json(value)
-    spelled = text
-    for pattern, by in SPELLING:
-        spelled = F.regexp_replace(spelled, pattern + OUTSIDE_STRINGS, by)
-    spelled = F.replace(spelled, F.lit('"'), F.lit("'"))
     return (
         F.when(is_text(value), F.try_variant_get(value, "$", "string"))
         .when(kind == "BOOLEAN", F.initcap(text))
-        .when(F.rlike(kind, F.lit("^(OBJECT|ARRAY)")), spelled)
+        .when(F.rlike(kind, F.lit("^(OBJECT|ARRAY)")), _spelled(text))
         .otherwise(text)
     )
 
 
+def _spelled(text: Column) -> Column:
+    """A JSON container as text: cut at its quotes, every second part is a string.
+
+    Escaped backslashes and quotes stand aside as two control characters, which JSON text cannot
+    hold, while it is cut. A string with an apostrophe and no quote keeps double quotes.
+    """
+    slash, mark = F.lit("\x01"), F.lit("\x02")
+    aside = F.replace(F.replace(text, F.lit("\\\\"), slash), F.lit('\\"'), mark)
+
+    def part(piece: Column, at: Column) -> Column:
+        between, inside = piece, piece
+        for old, new in SPELLING:
+            between = F.replace(between, F.lit(old), F.lit(new))
+        for old, new in ESCAPES:
+            inside = F.replace(inside, F.lit(old), F.lit(new))
+        double = F.contains(inside, F.lit("'")) & ~F.contains(inside, mark)
+        single = F.concat(F.lit("'"), F.replace(inside, F.lit("'"), F.lit("\\'")), F.lit("'"))
+        string = F.when(double, F.concat(F.lit('"'), inside, F.lit('"'))).otherwise(single)
+        return F.when(at % 2 == 0, between).otherwise(string)
+
+    whole = F.array_join(F.transform(F.split(aside, '"'), part), "")
+    return F.replace(F.replace(whole, mark, F.lit('"')), slash, F.lit("\\\\"))
+
+
 def json_text_or_blank(value: Column) -> Column:
     """As `json_text`, with '' for zero, false and empty containers."""
     text = json_text(value)

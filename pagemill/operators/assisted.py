@@ -14,30 +14,35 @@ from pagemill.operators.select import page_text
 # How much page text a request carries, and what stands in for missing fields.
 MAX_TEXT = 6_000
 NO_TITLE = "Bilinmeyen Başlık"
-REPLY_FORMAT = (
-    '{"title": "...", "price": 15.5, "availability": "In stock", "rating": 4, '
-    '"description": "..."}'
-)
+
+FIELDS = {
+    "title": "name of the product",
+    "price": "amount as a number",
+    "availability": "stock message",
+    "rating": "whole number from 0 to 5",
+    "description": "what it is",
+}
 INSTRUCTION = (
-    "Find the product on this shop page and answer with one JSON object only, in this form: "
-    + REPLY_FORMAT
-    + " Use null for what the page does not say.\n\nPAGE TEXT:\n"
+    "Below the line is the text of one product page. Write its facts as a single JSON object and "
+    "nothing else. Keys: "
+    + "; ".join(f"{name} ({meaning})" for name, meaning in FIELDS.items())
+    + ". A fact that is missing is null.\n---\n"
 )
 _FLOAT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
 _INT = r"^\s*[+-]?\d+\s*$"
 
 
-def prompt_text(text: Column | str) -> Column:
+def prompt_text(text: Column | str, max_text: int = MAX_TEXT) -> Column:
     """The instruction followed by the first characters of the visible page text."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.concat(F.lit(INSTRUCTION), F.left(text, F.lit(MAX_TEXT)))
+    return F.concat(F.lit(INSTRUCTION), F.left(text, F.lit(max_text)))
 
 
-def prompt_requests(pages: DataFrame, html: str = "html") -> DataFrame:
+def prompt_requests(pages: DataFrame, html: str = "html", max_text: int = MAX_TEXT) -> DataFrame:
     """(url, .., prompt): the columns of `pages` with the HTML replaced by a prompt."""
     nodes = page_nodes(pages, html)
     kept = [name for name in nodes.columns if name not in ("els", "texts", "ld")]
-    return nodes.select(*kept, prompt_text(page_text(F.col("texts"))).alias("prompt"))
+    return nodes.select(*kept, prompt_text(page_text(F.col("texts")), max_text).alias("prompt"))
 
 
 def decode_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:

@@ -17,6 +17,8 @@ from pagemill.functions.values import first_that
 Test = Callable[[Column], Column]
 Finder = Callable[[Column], Column]
 
+HITS = 256
+
 
 def element(
     tag: str | None = None,
@@ -45,10 +47,41 @@ def element(
 
 
 def within(*chain: Test) -> Finder:
-    """All elements that match the last test and have the others as ancestors, outermost first."""
+    """All elements that match the last test and have the others as ancestors, outermost first.
+
+    One pass in document order. For each ancestor step it carries how far the matches met so far
+    reach: an element lies in one of them if it stands before that end.
+    """
+    *outer, wanted = chain
+    if not outer:
+        return lambda els: F.filter(els, wanted)
+    ends = [f"end{step}" for step in range(len(outer))]
 
     def find(els: Column) -> Column:
-        return F.filter(els, lambda n: chain[-1](n) & _enclosed(els, n, chain[:-1]))
+        none = F.slice(els, 1, 0)
+        start = F.struct(
+            *[F.lit(0).alias(name) for name in ends],
+            none.alias("hits"),
+            F.slice(F.array(none), 1, 0).alias("full"),
+        )
+
+        def step(kept: Column, node: Column) -> Column:
+            moved = []
+            for at, (name, test) in enumerate(zip(ends, outer)):
+                inside = test(node) & (node["i"] < kept[ends[at - 1]]) if at else test(node)
+                end = F.when(inside, F.greatest(kept[name], node["e"])).otherwise(kept[name])
+                moved.append(end.alias(name))
+            hit = (node["i"] < kept[ends[-1]]) & wanted(node)
+            # Full runs of hits are set aside, since a list is copied whenever it grows.
+            is_full = F.size(kept["hits"]) >= HITS
+            open_run = F.when(is_full, F.slice(kept["hits"], 1, 0)).otherwise(kept["hits"])
+            hits = F.when(hit, F.concat(open_run, F.array(node))).otherwise(open_run)
+            full = F.when(is_full, F.concat(kept["full"], F.array(kept["hits"])))
+            return F.struct(*moved, hits.alias("hits"), full.otherwise(kept["full"]).alias("full"))
+
+        return F.aggregate(
+            els, start, step, lambda kept: F.flatten(F.concat(kept["full"], F.array(kept["hits"])))
+        )
 
     return find
 
@@ -58,10 +91,15 @@ def after(anchor: Test, wanted: Test, adjacent: bool = False) -> Finder:
 
     def follows(a: Column, n: Column) -> Column:
         gap = (n["k"] == a["k"] + 1) if adjacent else (n["k"] > a["k"])
-        return (a["p"] == n["p"]) & gap & anchor(a)
+        return (a["p"] == n["p"]) & gap
 
     def find(els: Column) -> Column:
-        return F.filter(els, lambda n: wanted(n) & F.exists(els, lambda a: follows(a, n)))
+        return bind(
+            F.filter(els, anchor),
+            lambda anchors: F.filter(
+                els, lambda n: wanted(n) & F.exists(anchors, lambda a: follows(a, n))
+            ),
+        )
 
     return find
 
@@ -111,15 +149,3 @@ def class_text(els: Column, *finders: Finder) -> Column:
 
 def _not_blank(text: Column) -> Column:
     return first_that(lambda value: value != "", text)
-
-
-def _enclosed(els: Column, node: Column, chain: tuple[Test, ...]) -> Column:
-    if not chain:
-        return F.lit(True)
-    return F.exists(
-        els,
-        lambda a: chain[-1](a)
-        & (a["i"] < node["i"])
-        & (node["i"] < a["e"])
-        & _enclosed(els, a, chain[:-1]),
-    )
