@@ -36,8 +36,8 @@ class Shape:
 
 
 def build_sketch(keys: DataFrame, shape: Shape, key: str = "url_key") -> DataFrame:
-    """(bucket, bits) for the distinct keys."""
-    placed = _place(keys.select(key).distinct(), shape, key)
+    """(bucket, bits) for the keys; a repeated key sets the same bits again."""
+    placed = _place(keys.select(key), shape, key)
     return (
         placed.select("bucket", F.explode("positions").alias("position"))
         .groupBy("bucket")

@@ -9,9 +9,6 @@ from pagemill.operators.dedup import HOT_ROWS, ttl_first_seen
 from pagemill.operators.ordering import SLICE_SECONDS, with_latest_mark, with_previous
 from pagemill.session import cut
 
-# Stored hashes enter as one row per key ahead of all others; this marks them.
-STORED = -1
-
 
 def content_changed(
     observed: DataFrame, state: DataFrame | None = None, key: str = "url_key",
@@ -20,14 +17,14 @@ def content_changed(
 ) -> DataFrame:
     """Add `changed`: the hash differs from the key's previous one, or there is none.
 
-    `state` (key, sha1, set_at) holds the hash of earlier runs. `seq` must not be negative.
+    `state` (key, sha1, set_at) holds the hash of earlier runs.
     """
     rows = _with_state(observed, state, key, sha1, ts, seq)
     marked = with_previous(rows, key, ts, seq, sha1, "_previous", slice_seconds)
     return (
-        marked.filter(F.col(seq) != STORED)
+        marked.filter("not _stored")
         .withColumn("changed", ~F.col(sha1).eqNullSafe(F.col("_previous")))
-        .drop("_previous", "_set_at")
+        .drop("_previous", "_set_at", "_stored")
     )
 
 
@@ -52,8 +49,8 @@ def content_changed_ttl(
     )
     runs = with_latest_mark(marked, key, ts, seq, "_starts", "_run", slice_seconds)
     runs = cut(runs.withColumn("_run", F.col("_run.seq")))
-    stored = runs.filter(F.col(seq) == STORED).select(key, "_run", F.col("_set_at").alias(ts))
-    runs = runs.filter(F.col(seq) != STORED).drop("_set_at")
+    stored = runs.filter("_stored").select(key, "_run", F.col("_set_at").alias(ts))
+    runs = runs.filter("not _stored").drop("_set_at", "_stored")
     accepted = ttl_first_seen(
         runs, ttl_sec, keys=(key, "_run"), ts=ts, seq=seq, marked=stored, hot_rows=hot_rows
     ).select(
@@ -80,15 +77,16 @@ def content_state(
         F.col(key).alias("url_key"),
         F.col(sha1).alias("content_sha1"),
         F.col(ts).cast("timestamp").alias("set_at"),
+        F.lit(True).alias("new"),
         F.col(seq).alias("seq"),
     )
     if state is not None:
-        rows = rows.unionByName(
-            state.select("url_key", "content_sha1", "set_at", F.lit(STORED).cast("long").alias("seq"))
-        )
+        earlier = state.select("url_key", "content_sha1", "set_at", F.lit(False).alias("new"))
+        rows = rows.unionByName(earlier, allowMissingColumns=True)
+    order = F.struct("set_at", "new", "seq")
     return (
         rows.groupBy("url_key")
-        .agg(F.max_by(F.struct("content_sha1", "set_at"), F.struct("set_at", "seq")).alias("s"))
+        .agg(F.max_by(F.struct("content_sha1", "set_at"), order).alias("s"))
         .select("url_key", "s.content_sha1", "s.set_at")
     )
 
@@ -98,14 +96,15 @@ def _with_state(
 ) -> DataFrame:
     """The observations and the stored hashes, which come before any observation."""
     kind = observed.schema[ts].dataType
-    rows = observed.withColumn("_set_at", F.lit(None).cast(kind))
+    rows = observed.withColumn("_set_at", F.lit(None).cast(kind)).withColumn("_stored", F.lit(False))
     if state is None:
         return rows
     stored = state.select(
         F.col("url_key").alias(key),
         F.col("content_sha1").alias(sha1),
         F.lit("1900-01-01").cast(kind).alias(ts),
-        F.lit(STORED).cast("long").alias(seq),
+        F.lit(-(1 << 63)).cast("long").alias(seq),
         F.col("set_at").cast(kind).alias("_set_at"),
+        F.lit(True).alias("_stored"),
     )
     return rows.unionByName(stored, allowMissingColumns=True)

@@ -13,24 +13,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.session import cut
+
 SLICE_ROWS = 1_000_000
 SLICE_SECONDS = 3_600
 
 
 def number_rows(
-    df: DataFrame, order: str, by: tuple[str, ...] = (), out: str = "ordinal",
+    df: DataFrame, order: str | tuple[str, ...], by: tuple[str, ...] = (), out: str = "ordinal",
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Number the rows 1, 2, .. by the unique whole number `order`, overall or per `by`.
+    """Number the rows 1, 2, .. by a unique `order`, overall or per `by`.
 
-    A slice spans `slice_rows` values of a unique column, so no window holds more rows than that,
-    and the carry has one row per slice and group.
+    Overall, the rows are sorted by range and written with their place in their partition; the
+    carry has one row per partition, however `order` is spread. Per `by`, `order` is one whole
+    number and a slice spans `slice_rows` values of it, so no window holds more rows than that.
     """
+    if not by:
+        return _number_all(df, (order,) if isinstance(order, str) else order, out)
     df = df.withColumn("_slice", F.expr(f"`{order}` div {slice_rows}"))
     group = [*by, "_slice"]
     local = df.withColumn("_local", F.row_number().over(Window.partitionBy(*group).orderBy(order)))
-    carry = Window.partitionBy(*by) if by else Window.partitionBy()
-    carry = carry.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carry = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = (
         df.groupBy(*group)
         .agg(F.count("*").alias("_n"))
@@ -43,6 +47,27 @@ def number_rows(
     )
 
 
+def _number_all(df: DataFrame, order: tuple[str, ...], out: str) -> DataFrame:
+    placed = cut(
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_at", F.monotonically_increasing_id())
+    )
+    part = F.shiftright("_at", 33)
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        placed.groupBy(part.alias("_part"))
+        .agg(F.count("*").alias("_n"))
+        .select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    )
+    # One row per partition of the sort, so this is small.
+    return (
+        placed.join(F.broadcast(before), part == F.col("_part"))
+        .withColumn(out, F.col("_before") + F.col("_at") - F.shiftleft("_part", 33) + 1)
+        .drop("_at", "_part", "_before")
+    )
+
+
 def with_previous(
     df: DataFrame, key: str, ts: str, seq: str, value: str, out: str = "previous",
     slice_seconds: int = SLICE_SECONDS,

@@ -14,15 +14,12 @@ from pagemill.operators.frontier import (
     listing_links,
     walk_listings,
 )
+from pagemill.operators.ordering import number_rows
 from pagemill.operators.report import completion_event
 from pagemill.plans.scrape import Run, scrape
 from pagemill.session import cut
 from pagemill.sources.tables import with_body
 
-# A walk's links get the numbers (walk << 24) + ordinal; one walk has fewer links than that.
-WALK_BITS = 24
-
-
 @dataclass(frozen=True)
 class CatalogRun:
     visits: DataFrame
@@ -66,10 +63,11 @@ def crawl_catalog(
 def as_requests(urls: DataFrame, seeds: DataFrame, use_ai: bool = False) -> DataFrame:
     """The frontier as requests, numbered walk by walk in link order."""
     walks = seeds.select(F.col("seq").alias("walk"), "arrived_at")
-    return urls.join(walks, "walk").select(
+    numbered = number_rows(urls.join(walks, "walk"), ("walk", "ordinal"), out="seq")
+    return numbered.select(
         "url",
         F.lit(False).alias("force"),
         F.lit(use_ai).alias("use_ai"),
         "arrived_at",
-        (F.shiftleft("walk", WALK_BITS) + F.col("ordinal")).alias("seq"),
+        "seq",
     )

@@ -20,10 +20,10 @@ def run_batch(urls: DataFrame, pages: DataFrame, seen: DataFrame | None = None)
     passed = first_seen(keyed, seen).withColumn("_passed", F.lit(True))
     # The triple is unique, so the rows of a hot key are spread.
     gated = cut(keyed.join(passed, ["url_key", "arrived_at", "seq"], "left"))
-    wanted = gated.filter("_passed").select("url").distinct()
-    parsed = extract_records(
-        with_body(pages.select("url", "html")).join(wanted, "url", "left_semi")
-    ).withColumn("_fetched", F.lit(True))
+    # Parsed where the pages are scanned; only the narrow records are joined.
+    parsed = extract_records(with_body(pages.select("url", "html"))).withColumn(
+        "_fetched", F.lit(True)
+    )
     done = gated.join(parsed, "url", "left")
     status = (
         F.when(F.col("_passed").isNull(), F.lit("skipped_duplicate"))

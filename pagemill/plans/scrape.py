@@ -1,10 +1,8 @@
 """One run: requests and fetched pages in, one outcome row per request out.
 
-The order of work keeps the heavy column out of shuffles as long as possible: the gates run on
-narrow rows (keys, flags, hashes), only the URLs that pass are joined with their HTML, each is
-parsed once however many requests name it, and what leaves the parser is narrow again. A run
-without change tests reads the HTML once; one with them reads it once more for the hashes, to
-parse only what changed.
+The HTML is not shuffled. Pages are parsed and hashed where they are scanned, and what leaves the
+parser is narrow: a record per page version, written once. Requests choose their version by time,
+and the gates run on narrow rows (keys, times, flags, hashes).
 """
 
 from __future__ import annotations
@@ -20,14 +18,16 @@ from pagemill.functions.urls import content_sha1
 from pagemill.operators import report
 from pagemill.operators.assisted import extract_from_replies
 from pagemill.operators.change import content_changed_ttl, content_state
-from pagemill.operators.dedup import with_key
+from pagemill.operators.dedup import ttl_first_seen, with_key
 from pagemill.operators.extract import extract_records
+from pagemill.operators.ordering import with_latest_mark
 from pagemill.operators.robots import robots_allowed
 from pagemill.schemas import ITEM_FIELDS, item_defect
 from pagemill.session import cut, look_up
 from pagemill.sources.tables import has_body
 
 ORDER = ("arrived_at", "seq")
+VERSION = ("fetched_at", "version_seq")
 
 
 @dataclass(frozen=True)
@@ -94,43 +94,46 @@ def scrape(
     robots: DataFrame | None = None,
     replies: DataFrame | None = None,
 ) -> Run:
-    """Run requests (url, force, use_ai, arrived_at, seq) over pages (url, html), one per URL.
+    """Run requests (url, force, use_ai, arrived_at, seq) over pages (url, html).
 
-    A URL without a page, with an empty one, or denied by `robots` (`default_rules`), has failed
-    to fetch. A failed fetch leaves no mark, so a later request for the same key is tried anew.
+    Pages may have `fetched_at` and `seq`, and then be several versions of a URL: a request sees
+    the first version fetched at or after its own (arrived_at, seq), or else the last one before.
+    Without them a URL has one page; of several rows the one of least hash is it. A URL without a
+    page, with an empty one, or denied by `robots` (`default_rules`), has failed to fetch. A failed
+    fetch leaves no mark, so a later request for the same key is tried anew. Marks expire after
+    `dedup_ttl_sec`, in the run and in `seen` (url_key, seen_at).
     """
     settings = settings or Settings()
     asked = _asked(requests, settings, robots)
-    if settings.incremental:
-        asked = _with_changed(_with_hashes(asked, pages), settings, stored_hashes)
-        wanted = asked.filter("fetched and (force or changed)")
+    records = cut(_records(pages, replies))
+    if "fetched_at" in pages.columns:
+        asked = _with_version(asked, records)
+        on = ["url", "use_ai", *VERSION]
     else:
-        # Whether a page has a body comes out of the one pass that also parses it.
-        named = asked.select("url_key", "url", "use_ai", "force", "allowed").distinct()
-        wanted = named.filter("allowed and not force")
-        if seen is not None:
-            wanted = wanted.join(seen.select("url_key"), "url_key", "left_anti")
-        wanted = wanted.select("url", "use_ai").unionByName(
-            named.filter("allowed and force").select("url", "use_ai")
-        )
-    records = cut(_records(wanted.select("url", "use_ai").distinct(), pages, replies))
-    done = asked.join(records, ["url", "use_ai"], "left").withColumn(
-        "parsed", F.col("title").isNotNull()
+        on = ["url", "use_ai"]
+    done = asked.join(records, on, "left").drop(*VERSION)
+    done = done.withColumns(
+        {
+            "parsed": F.col("title").isNotNull(),
+            "fetched": F.col("allowed") & F.coalesce("has_body", F.lit(False)),
+        }
     )
     if settings.incremental:
+        done = _with_changed(cut(done), settings, stored_hashes)
         skipped = F.when(
             F.col("fetched") & ~F.col("force") & ~F.col("changed"), F.lit("skipped_unchanged")
         )
     else:
         done = done.withColumns(
-            {
-                "fetched": F.col("allowed") & F.coalesce("has_body", F.lit(False)),
-                "content_sha1": F.lit(None).cast("string"),
-                "changed": F.lit(None).cast("boolean"),
-            }
+            {"content_sha1": F.lit(None).cast("string"), "changed": F.lit(None).cast("boolean")}
         )
-        done = look_up(done, _key_marks(done, seen), "url_key")
-        late = F.col("was_seen") | F.coalesce(F.struct(*ORDER) > F.col("first_mark"), F.lit(False))
+        if settings.dedup_ttl_sec is None:
+            done = look_up(done, _key_marks(done, seen), "url_key")
+            passed = F.struct(*ORDER) > F.col("first_mark")
+            late = F.col("was_seen") | F.coalesce(passed, F.lit(False))
+        else:
+            done = _with_expiring_marks(cut(done), seen, settings.dedup_ttl_sec)
+            late = F.col("late")
         skipped = F.when(~F.col("force") & late, F.lit("skipped_duplicate"))
     success = "updated" if settings.incremental else "ok"
     status = F.coalesce(
@@ -174,47 +177,119 @@ def _asked(requests: DataFrame, settings: Settings, robots: DataFrame | None) ->
     return cut(robots_allowed(asked, robots))
 
 
-def _with_hashes(asked: DataFrame, pages: DataFrame) -> DataFrame:
-    """Add `fetched` and the content hash; the HTML is read here, not moved."""
-    hashes = pages.select(
-        "url", has_body().alias("has_body"), content_sha1("html").alias("content_sha1")
-    )
-    fetched = F.col("allowed") & F.coalesce("has_body", F.lit(False))
-    return cut(
-        asked.join(hashes, "url", "left").withColumn("fetched", fetched).drop("has_body")
+def _with_version(asked: DataFrame, records: DataFrame) -> DataFrame:
+    """Add the (fetched_at, seq) of the page version each request sees; null if there is none.
+
+    Versions and requests are put in one order, once from the end and once from the start, so that
+    each request finds the version next to it. Even numbers are requests, odd ones versions.
+    """
+    have = records.select("url", *VERSION).distinct()
+    micros = lambda name: F.unix_micros(F.col(name).cast("timestamp"))
+
+    def nearest(sign: int, out: str) -> DataFrame:
+        at = lambda name: F.timestamp_micros(sign * micros(name)).alias("at")
+        points = have.select(
+            "url", at("fetched_at"), (2 * sign * F.col("version_seq") - 1).alias("n"),
+            F.lit(True).alias("is_version"),
+        ).unionByName(
+            asked.select("url", at("arrived_at"), (2 * sign * F.col("seq")).alias("n")).distinct()
+            .withColumn("is_version", F.lit(False))
+        )
+        found = with_latest_mark(cut(points), "url", "at", "n", "is_version", "mark")
+        return found.filter("not is_version and mark is not null").select(
+            "url",
+            F.timestamp_micros(sign * F.unix_micros("at")).alias("arrived_at"),
+            F.expr(f"{sign} * (n div 2)").alias("seq"),
+            F.struct(
+                F.timestamp_micros(sign * F.unix_micros("mark.ts")).alias("fetched_at"),
+                F.expr(f"{sign} * ((mark.seq + 1) div 2)").alias("version_seq"),
+            ).alias(out),
+        )
+
+    on = ["url", *ORDER]
+    kind = asked.schema["arrived_at"].dataType
+    after, before = (
+        nearest(sign, out).withColumn("arrived_at", F.col("arrived_at").cast(kind))
+        for sign, out in ((-1, "after"), (1, "before"))
     )
+    near = asked.join(after, on, "left").join(before, on, "left")
+    chosen = F.coalesce("after", "before")
+    kinds = {name: records.schema[name].dataType for name in VERSION}
+    return near.withColumns({name: chosen[name].cast(kinds[name]) for name in VERSION}).drop("after", "before")
 
 
 def _with_changed(
-    asked: DataFrame, settings: Settings, stored_hashes: DataFrame | None
+    done: DataFrame, settings: Settings, stored_hashes: DataFrame | None
 ) -> DataFrame:
-    checked = asked.filter("fetched and not force")
-    rest = asked.filter("not (fetched and not force)")
+    """Add `changed` to the fetched requests that are not forced; the test sees narrow rows."""
+    checked = done.filter("fetched and not force").select("url_key", "content_sha1", *ORDER)
     flagged = content_changed_ttl(
         checked, settings.content_hash_ttl_sec, stored_hashes, ts="arrived_at"
     )
-    unknown = F.lit(None).cast("boolean")
-    return cut(flagged.unionByName(rest.withColumn("changed", unknown)))
+    on = ["url_key", *ORDER]
+    return done.join(flagged.select(*on, "changed"), on, "left")
 
 
-def _records(wanted: DataFrame, pages: DataFrame, replies: DataFrame | None) -> DataFrame:
-    """(url, use_ai, has_body, fields) of the wanted URLs that have a page.
+def _records(pages: DataFrame, replies: DataFrame | None) -> DataFrame:
+    """(url, use_ai, has_body, content_sha1, fields) per page, with its version if pages have one."""
+    versioned = "fetched_at" in pages.columns
+    version = [F.col("fetched_at"), F.col("seq").alias("version_seq")] if versioned else []
+    bodies = pages.select(
+        "url", *version, has_body().alias("has_body"), content_sha1("html").alias("content_sha1"), "html"
+    )
+    kept = ["url", *(VERSION if versioned else ()), "has_body", "content_sha1"]
+    records = extract_records(bodies).select(*kept, F.lit(False).alias("use_ai"), *ITEM_FIELDS)
+    if replies is not None:
+        by_model = extract_from_replies(bodies.select(*kept), replies)
+        records = records.unionByName(
+            by_model.select(*kept, F.lit(True).alias("use_ai"), *ITEM_FIELDS)
+        )
+    # Rows of one version: any of equal rows, else the one of least hash.
+    one = [name for name in kept if name not in ("has_body", "content_sha1")]
+    rest = ["has_body", "content_sha1", *ITEM_FIELDS]
+    order = F.struct(F.col("content_sha1").isNull(), "content_sha1")
+    return (
+        records.groupBy(*one, "use_ai")
+        .agg(F.min_by(F.struct(*rest), order).alias("row"))
+        .select(*one, "use_ai", *[F.col(f"row.{name}").alias(name) for name in rest])
+    )
+
+
+def _with_expiring_marks(done: DataFrame, seen: DataFrame | None, ttl: int) -> DataFrame:
+    """Add `late`: at this request its key had a mark that had not expired.
 
-    Each is parsed once; the semi-join is the only shuffle that carries HTML.
+    A request that passes and is fetched marks its key; a forced one that parses always does, so
+    each of these starts a run of its own, inside which the gate with expiring marks decides.
     """
-    by_page = wanted.filter("not use_ai").select("url")
-    mine = pages.select("url", "html").join(by_page, "url", "left_semi")
-    parsed = extract_records(mine.withColumn("has_body", has_body()))
-    records = parsed.select("url", F.lit(False).alias("use_ai"), "has_body", *ITEM_FIELDS)
-    if replies is None:
-        return records
-    bodies = pages.select("url", has_body().alias("has_body"))
-    by_model = bodies.join(wanted.filter("use_ai").select("url"), "url", "left_semi")
-    return records.unionByName(
-        extract_from_replies(by_model, replies).select(
-            "url", F.lit(True).alias("use_ai"), "has_body", *ITEM_FIELDS
-        )
+    marking = F.col("fetched") & (~F.col("force") | F.col("parsed"))
+    rows = done.select(
+        "url_key", *ORDER, "force", marking.alias("marking"), (marking & F.col("force")).alias("forced")
     )
+    runs = with_latest_mark(cut(rows), "url_key", *ORDER, "forced", "_force")
+    runs = cut(runs.withColumn("run", F.coalesce(F.col("_force.seq").cast("string"), F.lit(""))).drop("_force"))
+    forced = runs.filter("forced").select("url_key", "run", *ORDER)
+    held = forced.select("url_key", "run", "arrived_at")
+    kind = done.schema["arrived_at"].dataType
+    if seen is not None:
+        earlier = seen.select("url_key", F.lit("").alias("run"), F.col("seen_at").cast(kind).alias("arrived_at"))
+        held = held.unionByName(earlier)
+    accepted = ttl_first_seen(
+        runs.filter("marking and not force"), ttl, keys=("url_key", "run"), ts="arrived_at", seq="seq", marked=held
+    )
+    marks = accepted.select("url_key", *ORDER).unionByName(forced.select("url_key", *ORDER))
+    on = ["url_key", *ORDER]
+    flagged = runs.select(*on).join(marks.withColumn("own", F.lit(True)), on, "left")
+    flagged = cut(flagged.withColumn("own", F.coalesce("own", F.lit(False))))
+    near = with_latest_mark(flagged, "url_key", *ORDER, "own", "_near")
+    if seen is not None:
+        last = seen.groupBy("url_key").agg(F.max(F.col("seen_at").cast(kind)).alias("_seen"))
+        near = look_up(near, last, "url_key")
+    else:
+        near = near.withColumn("_seen", F.lit(None).cast(kind))
+    mark = F.coalesce("_near.ts", "_seen")
+    age = F.unix_micros(F.col("arrived_at").cast("timestamp")) - F.unix_micros(mark.cast("timestamp"))
+    late = ~F.col("own") & F.coalesce(age <= F.lit(ttl * 1_000_000), F.lit(False))
+    return done.join(near.select(*on, late.alias("late")), on)
 
 
 def _key_marks(done: DataFrame, seen: DataFrame | None) -> DataFrame:

@@ -30,9 +30,10 @@ from pagemill.operators.select import element, page_text, within
 from pagemill.plans.catalog import crawl_catalog
 from pagemill.plans.local import run_batch
 from pagemill.plans.scrape import scrape
+from pagemill.schemas import item_defect
 from pagemill.session import shared_folder
 from pagemill.sources.stores import BatchTable, CrawlStore, ItemStore
-from pagemill.sources.tables import spread, stream_table, without_body
+from pagemill.sources.tables import stream_table, without_body
 from pagemill.streaming import first_seen as seen_stream
 from pagemill.streaming import routing, stateful
 
@@ -42,6 +43,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 SITE = "https://shop.example"
+U_HOST = "shop.example"
+NO_EXPIRY = Settings(dedup_ttl_sec=None)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -62,11 +65,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages"))
+    return table(spark, sf_dir, "pages")
 
 
 def product_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "part"))
+    return table(spark, sf_dir, "part")
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -584,14 +587,14 @@ def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
 WITH {VISIT_SQL},
-late AS (SELECT url_key, min(seq) AS seq FROM visits WHERE ts >= '2024-01-03' GROUP BY url_key)
+late AS (SELECT url_key, min(seq) AS seq FROM visits WHERE ts >= '2024-01-01 12:00:00' GROUP BY url_key)
 SELECT url_key, seq FROM late l
-WHERE NOT EXISTS (SELECT 1 FROM visits v WHERE v.ts < '2024-01-03' AND v.url_key = l.url_key)"""
+WHERE NOT EXISTS (SELECT 1 FROM visits v WHERE v.ts < '2024-01-01 12:00:00' AND v.url_key = l.url_key)"""
 )
 def unseen_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = dedup.with_key(visits(spark, sf_dir))
     return dedup.first_seen(
-        keyed.filter("arrived_at >= '2024-01-03'"), keyed.filter("arrived_at < '2024-01-03'")
+        keyed.filter("arrived_at >= '2024-01-01 12:00:00'"), keyed.filter("arrived_at < '2024-01-01 12:00:00'")
     ).select("url_key", "seq")
 
 
@@ -638,9 +641,14 @@ def content_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change.content_changed(observations(spark, sf_dir)).select("url_key", "seq", "changed")
 
 
+def repeated_hash() -> Column:
+    """The hash of a content that the visits of a URL often repeat: the kind of visit."""
+    return U.content_sha1("event_type").alias("content_sha1")
+
+
 CHANGED_TTL_SQL = f"""
 WITH RECURSIVE {VISIT_SQL},
-o AS (SELECT url_key, ts, seq, length(props) AS content,
+o AS (SELECT url_key, ts, seq, sha1(event_type) AS content,
              row_number() OVER (PARTITION BY url_key ORDER BY ts, seq) AS rn FROM visits),
 walk AS (
   SELECT url_key, rn, seq, content, ts AS set_at, true AS changed FROM o WHERE rn = 1
@@ -658,7 +666,7 @@ def content_changed_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = dedup.with_key(visits(spark, sf_dir))
     rows = keyed.select(
         "url_key",
-        F.length("props").cast("string").alias("content_sha1"),
+        repeated_hash(),
         F.col("arrived_at").alias("fetched_at"),
         "seq",
     )
@@ -680,9 +688,9 @@ def content_hashes_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT sha1(lower(url)) AS url_key, starts_with(url, 'https:') AS might_be_seen FROM pages")
 def bloom_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    # Room for far more keys than there are, so a false positive is practically impossible.
-    shape = bloom.Shape(capacity=2_000_000, error_rate=1e-6)
     keyed = dedup.with_key(pages.select("url"))
+    # An error rate far below one in the number of keys: a false positive is practically impossible.
+    shape = bloom.Shape(capacity=max(1, pages.count()), error_rate=1e-12)
     # Two earlier runs took the secure pages, those of one language and the others.
     secure, english = F.startswith(F.col("url"), F.lit("https:")), F.contains(F.col("url"), F.lit("/en/"))
     sketch = bloom.merge_sketches(
@@ -983,10 +991,106 @@ SELECT seq, url, status, CASE WHEN status = 'ok' THEN title END AS title,
 )
 def scrape_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests, pages = run_inputs(spark, sf_dir)
-    run = scrape(requests, pages, seen=seen_sevens(requests))
+    run = scrape(requests, pages, NO_EXPIRY, seen=seen_sevens(requests))
     return run.outcome.select("seq", "url", "status", "title", "price")
 
 
+@query(
+    f"""
+WITH RECURSIVE {RUN_SQL},
+o AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts, seq) AS rn FROM asked),
+walk AS (
+  SELECT url, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS seq, '' AS status,
+         CASE WHEN any_value(user_id) % 10 = 7 THEN TIMESTAMP '2023-12-31 20:00:00' END AS mark
+  FROM o GROUP BY url
+  UNION ALL
+  SELECT o.url, o.rn, o.seq,
+         CASE WHEN NOT o.force AND coalesce(o.ts <= w.mark + INTERVAL 1 DAY, false)
+              THEN 'skipped_duplicate'
+              WHEN NOT o.fetched THEN 'fetch_failed' WHEN NOT o.parsed THEN 'parse_failed' ELSE 'ok' END,
+         CASE WHEN o.fetched AND (o.parsed OR NOT o.force)
+                   AND (o.force OR NOT coalesce(o.ts <= w.mark + INTERVAL 1 DAY, false))
+              THEN o.ts ELSE w.mark END
+  FROM walk w JOIN o ON o.url = w.url AND o.rn = w.rn + 1)
+SELECT seq, url, status FROM walk WHERE rn > 0"""
+)
+def scrape_run_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks expire after a day, those of earlier runs too; each page lies there twice."""
+    requests, pages = run_inputs(spark, sf_dir)
+    seen = seen_sevens(requests).withColumn("seen_at", F.lit("2023-12-31 20:00:00").cast("timestamp"))
+    run = scrape(requests, pages.unionByName(pages), Settings(dedup_ttl_sec=86_400), seen=seen)
+    return run.outcome.select("seq", "url", "status")
+
+
+@query(
+    f"""
+WITH {RUN_SQL.replace("user_id % 10 <> 0 AS fetched, user_id % 10 > 1 AS parsed",
+    "user_id % 10 <> 0 AND NOT CAST(user_id AS VARCHAR) LIKE '1%' AS fetched, "
+    "user_id % 10 > 1 AND NOT CAST(user_id AS VARCHAR) LIKE '1%' AS parsed")}
+SELECT seq, url, status FROM stated"""
+)
+def scrape_run_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The site's rules deny every product whose number starts with 1."""
+    requests, pages = run_inputs(spark, sf_dir)
+    files = spark.createDataFrame(
+        [(U_HOST, 200, "User-agent: *\nDisallow: /p/1\n")], "host string, status int, body string"
+    )
+    run = scrape(requests, pages, NO_EXPIRY, seen=seen_sevens(requests), robots=robots.default_rules(files))
+    return run.outcome.select("seq", "url", "status")
+
+
+@query(
+    f"""
+WITH RECURSIVE {VISIT_SQL},
+o AS (SELECT url, ts, seq, event_type AS content,
+             row_number() OVER (PARTITION BY url ORDER BY ts, seq) AS rn
+      FROM visits WHERE event_type <> 'view'),
+walk AS (
+  SELECT url, rn, seq, content, ts AS set_at, true AS changed FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.url, o.rn, o.seq, o.content,
+         CASE WHEN o.content <> w.content OR o.ts > w.set_at + INTERVAL 7 DAY THEN o.ts ELSE w.set_at END,
+         o.content <> w.content OR o.ts > w.set_at + INTERVAL 7 DAY
+  FROM walk w JOIN o ON o.url = w.url AND o.rn = w.rn + 1)
+SELECT v.seq, v.url, CASE WHEN v.event_type = 'view' THEN 'fetch_failed'
+       WHEN NOT w.changed THEN 'skipped_unchanged' WHEN v.event_type = 'error' THEN 'parse_failed'
+       ELSE 'updated' END AS status
+FROM visits v LEFT JOIN walk w ON w.url = v.url AND w.seq = v.seq"""
+)
+def incremental_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each visit fetches its own version of the page, a minute later; versions lie there twice."""
+    rows = visits(spark, sf_dir).withColumn("arrived_at", F.col("arrived_at").cast("timestamp"))
+    kind = F.col("event_type")
+    html = F.when(kind == "view", "").when(kind == "error", "<p>no title</p>").otherwise(
+        text_of("<h1>", kind, "</h1>")
+    )
+    pages = rows.select("url", html.alias("html"), F.col("arrived_at").alias("fetched_at"), "seq")
+    requests = rows.select(
+        "url", F.lit(False).alias("force"), F.lit(False).alias("use_ai"), "arrived_at", "seq"
+    )
+    run = scrape(requests, pages.unionByName(pages), Settings(incremental=True))
+    return run.outcome.select("seq", "url", "status")
+
+
+@query(
+    """
+SELECT doc_id, CASE WHEN text IS NULL THEN 'title is missing' WHEN n_chars % 7 = 0 THEN 'price is missing'
+       WHEN length(text) > 512 THEN 'title is longer than 512'
+       WHEN length(source) * 30 > 128 THEN 'availability is longer than 128' END AS defect
+FROM documents"""
+)
+def item_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as item rows: which the item table would refuse, and why."""
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        text_of(f"{SITE}/d/", F.col("doc_id")).alias("url"),
+        F.col("text").alias("title"),
+        F.when(F.col("n_chars") % 7 != 0, 1.0).alias("price"),
+        F.repeat("source", 30).alias("availability"),
+    )
+    return rows.select("doc_id", item_defect().alias("defect"))
+
+
 @query(
     f"""
 WITH {RUN_SQL},
@@ -1027,7 +1131,7 @@ def local_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
 WITH {PLAN_SQL}
-SELECT url, walk * 16777216 + ordinal AS seq,
+SELECT url, row_number() OVER (ORDER BY walk, ordinal) AS seq,
        CASE WHEN p_partkey % 10 = 0 THEN 'fetch_failed' WHEN p_partkey % 10 = 1 THEN 'parse_failed'
             ELSE 'ok' END AS status,
        CASE WHEN p_partkey % 10 > 1 THEN p_retailprice END AS price
@@ -1036,7 +1140,7 @@ FROM plan"""
 def catalog_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     listings = listing_pages(product_table(spark, sf_dir))
     _, pages = run_inputs(spark, sf_dir)
-    crawl = crawl_catalog(seeds(listings), listings.select("url", "html"), pages)
+    crawl = crawl_catalog(seeds(listings), listings.select("url", "html"), pages, NO_EXPIRY)
     return crawl.run.outcome.select("url", "seq", "status", "price")
 
 
@@ -1057,7 +1161,8 @@ def completion_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     reply = F.when(F.col("p_partkey") % 2 == 0, answer).otherwise("[]")
     replies = parts.select(product_url().alias("url"), reply.alias("reply"))
     crawl = crawl_catalog(
-        seeds(listings), listings.select("url", "html"), css_pages(parts), use_ai=True, replies=replies
+        seeds(listings), listings.select("url", "html"), css_pages(parts), NO_EXPIRY, use_ai=True,
+        replies=replies,
     )
     return crawl.event(use_ai=True)
 
@@ -1134,16 +1239,27 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/pagemill-{uuid4().hex}"
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of files."""
-    kept = table(spark, sf_dir, "events").schema
-    ddl = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in kept)
-    # A pattern, so that one file and a folder of files are both taken.
-    return stream_table(spark, f"{sf_dir}/[e]vents.parquet", ddl, files_per_trigger=64)
+#: The landed slices of a stream, each a micro-batch of its own.
+SLICES = ("2024-01-05", "2024-01-11", "2024-01-20")
+
+
+def land(rows: DataFrame, ts: str, path: str) -> DataFrame:
+    """Land rows in slices of time, one file each, and stream them file by file."""
+    bounds = [None, *SLICES, None]
+    for low, high in zip(bounds, bounds[1:]):
+        part = rows
+        if low is not None:
+            part = part.filter(F.col(ts) >= F.lit(low).cast("timestamp"))
+        if high is not None:
+            part = part.filter(F.col(ts) < F.lit(high).cast("timestamp"))
+        part.coalesce(1).write.mode("append").parquet(path)
+    ddl = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in rows.schema)
+    return stream_table(rows.sparkSession, path, ddl, files_per_trigger=1)
 
 
 def streamed_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_stream(spark, sf_dir).select(
+    events = land(table(spark, sf_dir, "events"), "ts", f"{scratch(spark)}/events")
+    return events.select(
         text_of(f"{SITE}/u/", F.col("user_id")).alias("url"),
         F.col("ts").alias("arrived_at"),
         F.col("event_id").alias("seq"),
@@ -1201,7 +1317,7 @@ def stream_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark)
     rows = dedup.with_key(streamed_visits(spark, sf_dir)).select(
         "url_key",
-        F.length("props").cast("string").alias("content_sha1"),
+        repeated_hash(),
         F.col("arrived_at").alias("fetched_at"),
         "seq",
     )
@@ -1231,11 +1347,12 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
 WITH {VISIT_SQL}, landed AS (
-  SELECT *, arg_max(event_type, seq) OVER (PARTITION BY url) AS body,
-         row_number() OVER (PARTITION BY url ORDER BY ts, seq) AS nth FROM visits)
-SELECT url, CASE WHEN body = 'error' THEN 'fetch_failed' WHEN nth > 1 THEN 'skipped_duplicate'
-       WHEN body = 'view' THEN 'parse_failed' ELSE 'ok' END AS status, count(*) AS n
-FROM landed WHERE body <> 'error' GROUP BY ALL"""
+  SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts, seq) AS nth FROM visits),
+marked AS (
+  SELECT *, min(CASE WHEN event_type <> 'error' THEN nth END) OVER (PARTITION BY url) AS first FROM landed)
+SELECT url, CASE WHEN nth > first THEN 'skipped_duplicate' WHEN event_type = 'view' THEN 'parse_failed'
+       ELSE 'ok' END AS status, count(*) AS n
+FROM marked WHERE nth >= first GROUP BY ALL"""
 )
 def stream_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark)
@@ -1252,7 +1369,7 @@ def stream_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "seq",
     )
     store = CrawlStore(spark, f"{folder}/store")
-    finish(routing.routed_stream(rows, store), folder)
+    finish(routing.routed_stream(rows, store, NO_EXPIRY), folder)
     return store.results.read().groupBy("url", "status").agg(F.count("*").alias("n"))
 
 
@@ -1265,10 +1382,8 @@ FROM outcomes WHERE outcome = 'failed'"""
 def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts land as files and are streamed; URLs without a page end as dead letters."""
     folder = scratch(spark)
-    log = attempts(spark, sf_dir)
-    log.write.parquet(f"{folder}/log")
-    ddl = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in log.schema)
     store = CrawlStore(spark, f"{folder}/store")
-    stream = stream_table(spark, f"{folder}/log", ddl, files_per_trigger=1_000)
-    finish(routing.attempts_stream(stream, store), folder)
+    stream = land(attempts(spark, sf_dir), "attempted_at", f"{folder}/log")
+    finish(routing.attempts_stream(stream, store, NO_EXPIRY), folder)
+    routing.settle_attempts(store, len(SLICES) + 1, NO_EXPIRY)
     return store.dead_letters.read().select("task", "url", "error")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,22 +36,69 @@ def build_session(app: str = "pagemill", **extra: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a local one only where none is named."""
+    """The folder the cluster names for checkpoints.
+
+    Where none is named, a run on one machine gets a temporary one. On several machines each
+    would write to its own disk, so there the lack of a name is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="pagemill-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
+_roots: dict[str, str] = {}
+_inner = threading.local()
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Where `cut` writes: the folder of the innermost `tables_of_run`, or else the session's."""
+    open_folders = getattr(_inner, "folders", [])
+    if open_folders:
+        return open_folders[-1]
+    session = f"{spark.sparkContext.applicationId} {shared_folder(spark)}"
+    if session not in _roots:
+        _roots[session] = f"{shared_folder(spark)}/pagemill-{uuid4().hex}"
+        atexit.register(_remove, spark, _roots[session])
+    return _roots[session]
+
+
+@contextmanager
+def tables_of_run(spark: SparkSession) -> Iterator[str]:
+    """Tables that `cut` writes inside go to a folder of their own, which is removed at the end.
+
+    What is read from them must be written elsewhere before that.
+    """
+    path = f"{run_folder(spark)}/run-{uuid4().hex}"
+    _inner.folders = [*getattr(_inner, "folders", []), path]
+    try:
+        yield path
+    finally:
+        _inner.folders = _inner.folders[:-1]
+        _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # the session has ended already; the folder is the cluster's to clear
+        return
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared checkpoint folder and read it from there.
 
     Used where an expensive stage feeds several branches. The table lies in shared storage, so a
     lost executor costs only the tasks that were running; it is columnar, and its size is known
-    to the planner. `checkpoint()` would work out the rows twice, once to count them.
+    to the planner. `checkpoint()` would work out the rows twice, once to count them. The table
+    goes when its run ends (`tables_of_run`), or with the driver.
     """
-    path = f"{shared_folder(df.sparkSession)}/pagemill-{uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -31,14 +31,14 @@ class BatchTable:
     def write(self, df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/batches/batch_id={batch_id}")
 
-    def read(self, before: int | None = None) -> DataFrame:
+    def read(self, before: int | None = None, keep_batch: bool = False) -> DataFrame:
         """The rows of all batches, or of those before one, from the last snapshot on."""
         upto = self._last_snapshot(before)
-        batches = self._rows("batches", before)
-        if upto is None:
-            return batches.drop("batch_id")
-        snapshot = self._rows("snapshots").filter(F.col("batch_id") == upto)
-        return snapshot.unionByName(batches.filter(F.col("batch_id") > upto)).drop("batch_id")
+        rows = self._rows("batches", before)
+        if upto is not None:
+            snapshot = self._rows("snapshots").filter(F.col("batch_id") == upto)
+            rows = snapshot.unionByName(rows.filter(F.col("batch_id") > upto))
+        return rows if keep_batch else rows.drop("batch_id")
 
     def read_batch(self, batch_id: int) -> DataFrame:
         return self._rows("batches").filter(F.col("batch_id") == batch_id).drop("batch_id")
@@ -50,7 +50,7 @@ class BatchTable:
         """
         if self._last_snapshot(upto + 1) == upto:
             return
-        rows = fold(self.read(before=upto + 1))
+        rows = fold(self.read(before=upto + 1, keep_batch=True))
         rows.write.mode("overwrite").parquet(f"{self.path}/snapshots/batch_id={upto}")
         marker = self.spark.range(1).select(F.lit(upto).cast("long").alias("upto"))
         marker.write.mode("append").parquet(f"{self.path}/complete")
@@ -130,10 +130,13 @@ class CrawlStore:
 
     def current_content_state(self, before: int | None = None) -> DataFrame:
         """The latest hash per key over all batches."""
-        return latest_hashes(self.content_state.read(before))
+        return latest_hashes(self.content_state.read(before, keep_batch=True))
 
     def compact(self, upto: int) -> None:
-        """Fold what a run reads back: items, marks, hashes and counters up to a batch."""
+        """Fold what a run reads back: items, marks, hashes and counters up to a batch.
+
+        A key is marked again once its mark has expired, so the last mark is the one that holds.
+        """
         self.items.compact(upto)
         self.seen.compact(
             upto, lambda rows: rows.groupBy("url_key").agg(F.max("seen_at").alias("seen_at"))
@@ -145,8 +148,9 @@ class CrawlStore:
 
 
 def latest_hashes(rows: DataFrame) -> DataFrame:
+    """The last hash per key; `rows` have their `batch_id`, and a batch has one row per key."""
     return (
         rows.groupBy("url_key")
-        .agg(F.max_by(F.struct("content_sha1", "set_at"), "set_at").alias("s"))
+        .agg(F.max_by(F.struct("content_sha1", "set_at"), F.struct("set_at", "batch_id")).alias("s"))
         .select("url_key", "s.content_sha1", "s.set_at")
     )

@@ -21,16 +21,6 @@ def stream_table(
     return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A plain table scan with at least one partition per core.
-
-    Reading HTML costs far more time than moving it, so a table of few splits is spread before
-    it. A large table has more splits than the cluster has cores and is left as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
 def has_body(html: str = "html") -> Column:
     return F.coalesce(F.col(html), F.lit("")) != ""
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from pagemill.operators.change import content_changed_ttl, content_state
 from pagemill.operators.dedup import first_seen, ttl_first_seen
-from pagemill.session import cut
+from pagemill.session import cut, tables_of_run
 from pagemill.sources.stores import BatchTable, latest_hashes
 
 
@@ -27,6 +27,10 @@ def first_seen_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        with tables_of_run(batch.sparkSession):
+            route(batch, batch_id)
+
+    def route(batch: DataFrame, batch_id: int) -> None:
         marks = seen.read(before=batch_id)
         if ttl_sec is None:
             rows = first_seen(batch, marks, ts=ts, seq=seq)
@@ -49,7 +53,11 @@ def changed_stream(
     """Write (url_key, content_sha1, ts, seq, changed) batch by batch; `state` holds the hashes."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        stored = latest_hashes(state.read(before=batch_id))
+        with tables_of_run(batch.sparkSession):
+            route(batch, batch_id)
+
+    def route(batch: DataFrame, batch_id: int) -> None:
+        stored = latest_hashes(state.read(before=batch_id, keep_batch=True))
         rows = cut(batch.select("url_key", "content_sha1", ts, seq))
         flagged.write(content_changed_ttl(rows, ttl_sec, stored, ts=ts, seq=seq), batch_id)
         state.write(content_state(flagged.read_batch(batch_id), ts=ts, seq=seq), batch_id)
