@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import resolve_url
@@ -45,40 +45,45 @@ def listing_links(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def walk_listings(seeds: DataFrame, listings: DataFrame, max_pages: int = 5) -> DataFrame:
-    """(walk, page_depth, url, links): the pages a walk from each seed reaches.
+    """(walk, page_depth, url, links_before, links): the pages a walk from each seed reaches.
 
     `seeds` is (url, seq) and `seq` names the walk, so walks may share a start. `listings` is the
     output of `listing_links`, one row per URL. A missing page, or one without a next link, ends
-    a walk; a cycle ends at `max_pages`. Pages are read and parsed once; a step joins the walks'
-    narrow front with them.
+    a walk; a cycle ends at `max_pages`. Pages are read and parsed once. A step joins the walks'
+    front with (url, next_url), is written, and is the last one if no walk goes on; the links are
+    fetched in one join at the end. `links_before` counts the links of a walk's earlier pages.
     """
     pages = cut(listings.select("url", "links", "next_url"))
+    steps = pages.select("url", "next_url", F.size("links").cast("long").alias("n_links"))
     visits = []
-    front = seeds.select(F.col("seq").alias("walk"), "url")
+    front = seeds.select(
+        F.col("seq").alias("walk"), "url", F.lit(0).cast("long").alias("links_before")
+    )
     for depth in range(max_pages):
-        step = front.join(pages, "url").withColumn("page_depth", F.lit(depth))
-        visits.append(step.select("walk", "page_depth", "url", "links"))
+        step = cut(front.join(steps, "url").withColumn("page_depth", F.lit(depth)))
+        visits.append(step.select("walk", "page_depth", "url", "links_before"))
         front = step.filter(F.col("next_url").isNotNull()).select(
-            "walk", F.col("next_url").alias("url")
+            "walk",
+            F.col("next_url").alias("url"),
+            (F.col("links_before") + F.col("n_links")).alias("links_before"),
         )
-    return reduce(DataFrame.unionByName, visits)
+        if front.isEmpty():
+            break
+    reached = reduce(DataFrame.unionByName, visits)
+    return reached.join(pages.select("url", "links"), "url").select(
+        "walk", "page_depth", "url", "links_before", "links"
+    )
 
 
 def frontier(visits: DataFrame, chunk_size: int = 10) -> DataFrame:
     """(walk, page_depth, pos, ordinal, chunk_id, url): every link of a walk in order.
 
-    Ordinals add up link counts over the pages of one walk, of which there are at most
-    `max_pages`; the links themselves are numbered within their page.
+    Links are numbered within their page, on from the links of the walk's earlier pages.
     """
-    before = F.sum(F.size("links")).over(
-        Window.partitionBy("walk")
-        .orderBy("page_depth")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    links = visits.withColumn("_before", F.coalesce(before, F.lit(0))).select(
-        "walk", "page_depth", "_before", F.posexplode("links").alias("pos", "url")
+    links = visits.select(
+        "walk", "page_depth", "links_before", F.posexplode("links").alias("pos", "url")
     )
-    ordinal = F.col("_before") + F.col("pos") + 1
+    ordinal = F.col("links_before") + F.col("pos") + 1
     return links.withColumn("ordinal", ordinal).select(
         "walk", "page_depth", "pos", "ordinal", chunk_id(chunk_size), "url"
     )
