@@ -29,16 +29,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagemill.llm.common import Memo, map_batches, words_of
+from pagemill.llm.common import Memo, free_names, map_batches, words_of
 from pagemill.session import cut
 
 WORDS, SIMILARITY = 5, 0.8
 COORDINATES, FEWEST = 64, 36
 RUNS, CHOSEN, DEPTH = 6, 2, 5
 BUCKET, BLOCK = 4096, 128
+#: Bits of the filter that says which texts to move, and of one run of them.
+SIEVE_BITS, SIEVE_RUN = 1 << 26, 32_768
 #: A child bucket with so much of its parent is a cluster and is not split again.
 WHOLE = 0.8
 
@@ -365,9 +368,11 @@ def classes(docs: DataFrame, sketches: DataFrame, similarity: float = SIMILARITY
     groups = components(candidates(reps))
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
     members = cut(groups.join(sizes, "component").join(reps.select("key", "first_id", "copies"), "key"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text")
+    # Only texts that may be wanted are moved.
+    sieve = _sieve(members.select(F.col("first_id").alias("doc_id")))
+    texts = _sifted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")), sieve, True)
     # A null id cannot be looked up; sets known only by rows without ids are compared by none.
-    rows = members.filter("first_id IS NOT NULL").join(texts, "first_id")
+    rows = members.filter("first_id IS NOT NULL").join(texts.withColumnRenamed("doc_id", "first_id"), "first_id")
     dealt = _dealt(rows, "component", "size", "key", BLOCK).select("component", "low", "high", "block", "key", "copies", "text")
     found = cut(dealt.mapInArrow(_exact(similarity), "key long, links long, root long, across long"))
     # Sets of a component of several blocks may be tied by chains through several units.
@@ -392,6 +397,38 @@ def classes(docs: DataFrame, sketches: DataFrame, similarity: float = SIMILARITY
     )
 
 
+def _positions(doc_id: Column) -> Column:
+    return F.array(*[F.pmod(F.xxhash64(doc_id, F.lit(i)), F.lit(SIEVE_BITS)) for i in range(3)])
+
+
+def _sieve(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the ids, of fixed size: with very many ids it lets more through."""
+    place = F.explode(_positions(F.col("doc_id")))
+    runs = (
+        ids.select(place.alias("place"))
+        .groupBy(F.floor(F.col("place") / SIEVE_RUN).alias("run"))
+        .agg(F.bitmap_construct_agg(F.col("place") % SIEVE_RUN).alias("bits"))
+    )
+    out = np.zeros((SIEVE_BITS // SIEVE_RUN, SIEVE_RUN // 8), np.uint8)
+    for row in runs.toLocalIterator():  # at most SIEVE_BITS / 8 bytes in all
+        out[row["run"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return out.ravel()
+
+
+def _sifted(docs: DataFrame, sieve: np.ndarray, inside: bool) -> DataFrame:
+    """The rows whose id is in the filter, or those whose id is not. Decides before any shuffle."""
+    shared, columns = docs.sparkSession.sparkContext.broadcast(sieve), len(docs.columns)
+    (places_name,) = free_names(docs, "sieve_places")
+    marked = docs.withColumn(places_name, _positions(F.col("doc_id").cast("long")))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        places = batch.column(columns).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, 3)
+        held = ((shared.value[places >> 3] >> (places & 7).astype(np.uint8)) & 1).all(1)
+        return batch.select(list(range(columns))).filter(pa.array(held == inside))
+
+    return map_batches(marked, work, docs.schema)
+
+
 def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, n_links), one row per input row.
 
@@ -427,23 +464,26 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         .select("component", "stays")
     )
     # For each key of a class of several rows: the row that stays.
+    own, key, stays_id, stays_key = free_names(docs, "fate_own", "fate_key", "fate_id", "fate_stays")
     fate = cut(
         found.join(several, "component").select(
-            F.col("key").alias("fate_key"), F.col("stays.doc_id").alias("fate_id"), F.col("stays.key").alias("fate_stays")
+            F.col("key").alias(key), F.col("stays.doc_id").alias(stays_id), F.col("stays.key").alias(stays_key)
         )
     )
+    sieve = _sieve(rows.join(fate, rows["key"] == fate[key], "left_semi").select("doc_id"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = []
         for text in batch.column(at):
             shingles = hasher.get().shingles(text.as_py())
             keys.append(hasher.get().key(shingles) if len(shingles) else None)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*columns, "fate_own"])
-
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "fate_own long"])
-    marked = map_batches(docs, work, fields).join(fate, F.col("fate_own") == F.col("fate_key"), "left")
-    alone = marked.filter("fate_key IS NULL")
-    first = marked.filter(
-        F.col("fate_key").isNotNull() & (F.col("fate_own") == F.col("fate_stays")) & F.col("doc_id").cast("long").eqNullSafe(F.col("fate_id"))
-    ).dropDuplicates(["fate_own"])
-    return alone.select(columns).unionByName(first.select(columns))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*columns, own])
+
+    # Rows that are certainly alone are not moved.
+    fields = T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())])
+    marked = map_batches(_sifted(docs, sieve, True), work, fields)
+    marked = marked.join(fate, F.col(own) == F.col(key), "left")
+    alone = marked.filter(F.col(key).isNull())
+    stays = (F.col(own) == F.col(stays_key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(stays_id))
+    first = marked.filter(F.col(key).isNotNull() & stays).dropDuplicates([own])
+    return _sifted(docs, sieve, False).unionByName(alone.select(columns)).unionByName(first.select(columns))

@@ -67,7 +67,7 @@ def test_against_all_pairs(spark, rows, monkeypatch, bucket, block):
 
 
 def test_one_of_each_class_stays(spark, rows):
-    docs = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, fate int, key string")
+    docs = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, fate_own int, sieve_places string")
     kept = keep_one(docs)
     assert kept.columns == docs.columns
     wanted = [i for i, name, _ in brute(rows) if i == name and i is not None]
