@@ -124,15 +124,28 @@ def _past_marks(
 
 
 def _fold(rows: DataFrame, keys: tuple[str, ...], ttl: int, hot_rows: int) -> DataFrame:
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    # At most (all rows / hot_rows) keys are above the limit, so they fit a broadcast.
-    hot = cut(counts.filter(F.col("n") > hot_rows).select(*keys))
-    if hot.isEmpty():
-        return _fold_sorted(rows, keys, ttl)
-    cold = _fold_sorted(rows.join(F.broadcast(hot), list(keys), "left_anti"), keys, ttl)
-    return cold.unionByName(
-        _follow(rows.join(F.broadcast(hot), list(keys), "left_semi"), keys, ttl)
+    """Keys whose rows lie within one `ttl` accept their first row, which an aggregate finds.
+
+    Only the rows of the others are shuffled and folded. The lists of keys are written, so the
+    planner broadcasts them only while they are small.
+    """
+    names = list(keys)
+    spans = cut(
+        rows.groupBy(*names).agg(
+            F.count("*").alias("n"),
+            F.min(F.struct("at", "seq")).alias("first"),
+            F.max("at").alias("last"),
+        )
     )
+    is_short = F.col("last") <= F.col("first.at") + F.lit(ttl)
+    accepted = spans.filter(is_short).select(*names, "first.at", "first.seq")
+    long = spans.filter(~is_short)
+    cold = rows.join(long.filter(F.col("n") <= hot_rows).select(*names), names, "left_semi")
+    accepted = accepted.unionByName(_fold_sorted(cold, keys, ttl))
+    hot = long.filter(F.col("n") > hot_rows).select(*names)
+    if hot.isEmpty():
+        return accepted
+    return accepted.unionByName(_follow(rows.join(hot, names, "left_semi"), keys, ttl))
 
 
 def _follow(rows: DataFrame, keys: tuple[str, ...], ttl: int) -> DataFrame:
