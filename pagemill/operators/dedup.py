@@ -58,18 +58,6 @@ def unseen(df: DataFrame, seen: DataFrame, key: str = "url_key") -> DataFrame:
     return df.join(seen.select(key), key, "left_anti")
 
 
-def already_seen(df: DataFrame, seen: DataFrame, key: str = "url_key") -> DataFrame:
-    return df.join(seen.select(key), key, "left_semi")
-
-
-def unexpired(seen: DataFrame, now: Column, ttl_sec: float | None) -> DataFrame:
-    """The marks that still hold at `now`; a mark expires strictly later than its time to live."""
-    if ttl_sec is None:
-        return seen
-    age = F.unix_micros(now) - F.unix_micros(F.col("seen_at").cast("timestamp"))
-    return seen.filter(age <= F.lit(int(ttl_sec * 1_000_000)))
-
-
 def mark_seen(seen: DataFrame, marks: DataFrame) -> DataFrame:
     """The seen table after adding `marks`; a key keeps its first time."""
     both = seen.select("url_key", "seen_at").unionByName(marks.select("url_key", "seen_at"))

@@ -62,10 +62,6 @@ def storable(records: DataFrame) -> DataFrame:
     return records.filter(item_defect().isNull())
 
 
-def not_storable(records: DataFrame) -> DataFrame:
-    return records.withColumn("error", item_defect()).filter(F.col("error").isNotNull())
-
-
 def count_items(items: DataFrame) -> DataFrame:
     return items.agg(F.count("*").alias("items"))
 

@@ -11,6 +11,7 @@ from pagemill.functions.values import status_line
 from pagemill.operators.dedup import first_seen, with_key
 from pagemill.operators.extract import extract_records
 from pagemill.operators.frontier import frontier, listing_links, walk_listings
+from pagemill.operators.items import storable
 from pagemill.plans.catalog import as_requests
 from pagemill.schemas import item_defect
 from pagemill.session import cut
@@ -69,7 +70,7 @@ def run_site(
     lines = cut(run_batch(requests, pages, seen))
     refused = (F.col("status") == "ok") & item_defect().isNotNull()
     lines = lines.withColumn("status", F.when(refused, F.lit("store_failed")).otherwise(F.col("status")))
-    done = lines.filter("status = 'ok'")
+    done = storable(lines.filter("status = 'ok'"))
     items.upsert(done.select("url", *FIELDS, F.col("arrived_at").alias("fetched_at"), "seq"), batch_id)
     return LocalRun(lines, tally(lines))
 

@@ -30,7 +30,7 @@ from pagemill.operators.select import element, page_text, within
 from pagemill.plans.catalog import crawl_catalog
 from pagemill.plans.local import run_batch, run_site
 from pagemill.plans.scrape import scrape
-from pagemill.schemas import item_defect
+from pagemill.schemas import CONTENT_STATE, item_defect
 from pagemill.session import shared_folder
 from pagemill.sources.stores import BatchTable, CrawlStore, ItemStore
 from pagemill.sources.tables import stream_table, without_body
@@ -1269,7 +1269,7 @@ def scratch(spark: SparkSession) -> str:
 
 
 #: The landed slices of a stream, each a micro-batch of its own.
-SLICES = ("2024-01-05", "2024-01-11", "2024-01-20")
+SLICES = ("2024-01-08", "2024-01-18")
 
 
 def land(rows: DataFrame, ts: str, path: str) -> DataFrame:
@@ -1355,6 +1355,21 @@ def stream_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(flagged.schema).parquet(f"{folder}/out").drop("fetched_at")
 
 
+@query(CHANGED_TTL_SQL)
+def stream_changed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark)
+    rows = dedup.with_key(streamed_visits(spark, sf_dir)).select(
+        "url_key", repeated_hash(), F.col("arrived_at").alias("fetched_at"), "seq"
+    )
+    state = BatchTable(spark, f"{folder}/state", CONTENT_STATE)
+    flagged = BatchTable(
+        spark, f"{folder}/flagged",
+        "url_key string, content_sha1 string, fetched_at timestamp_ntz, seq long, changed boolean",
+    )
+    finish(seen_stream.changed_stream(rows, state, flagged, ttl_sec=86_400), folder)
+    return flagged.read().select("url_key", "seq", "changed")
+
+
 @query(f"WITH {ITEM_SQL} SELECT id, url, title, price, description FROM numbered")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark)

@@ -84,18 +84,9 @@ def test_first_seen_leaves_out_seen_keys(spark):
     marks = passed.select("url_key", F.col("fetched_at").alias("seen_at"))
     after = dedup.mark_seen(seen, marks)
     assert after.count() == len(ordered(rows))
-    assert dedup.already_seen(passed, after).count() == len(expected)
     assert dedup.unseen(passed, after).count() == 0
 
 
-def test_unexpired_marks(spark):
-    rows = [("old", T0), ("edge", T0 + timedelta(seconds=1)), ("new", T0 + timedelta(seconds=9))]
-    seen = spark.createDataFrame(rows, "url_key string, seen_at timestamp")
-    now = F.lit(T0 + timedelta(seconds=11)).cast("timestamp")
-    assert {r["url_key"] for r in dedup.unexpired(seen, now, 10).collect()} == {"edge", "new"}
-    assert dedup.unexpired(seen, now, None).count() == 3
-
-
 @pytest.mark.parametrize("hot_rows", [10, 1_000])
 @pytest.mark.parametrize("ttl", [0, 3_600, 86_400])
 def test_ttl_gate_matches_a_fold(spark, ttl, hot_rows):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagemill.operators import items, report
 from pagemill.schemas import DEAD_LETTER
+from pagemill.schemas import item_defect
 from pagemill.sources.stores import CrawlStore, ItemStore
 
 T0 = datetime(2024, 1, 1)
@@ -68,7 +69,8 @@ def test_pages(spark, monkeypatch):
 def test_row_checks(spark):
     rows = records(spark, ("u", "t" * 513, 0, 1), ("u", "t" * 512, 0, 2), ("u" * 1025, "t", 0, 3), ("u", None, 0, 4))
     assert [r["seq"] for r in items.storable(rows).collect()] == [2]
-    bad = {r["seq"]: r["error"] for r in items.not_storable(rows).collect()}
+    judged = rows.select("seq", item_defect().alias("error")).filter("error is not null")
+    bad = {r["seq"]: r["error"] for r in judged.collect()}
     assert bad == {
         1: "title is longer than 512", 3: "url is longer than 1024", 4: "title is missing"
     }

@@ -19,10 +19,10 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", registry.QUERIES)
 def test_query(spark, duck, name):
-    df = entry.queries()[name](spark, SF_DIR)
-    assert compare(df, entry.oracle_sql()[name], duck) is None
+    df = registry.QUERIES[name](spark, SF_DIR)
+    assert compare(df, registry.ORACLES[name], duck) is None
 
 
 def test_every_oracle_has_a_query():
