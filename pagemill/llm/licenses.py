@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import bind
+from pagemill.session import cut
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -111,7 +112,8 @@ def scan(
         raise ValueError(f"a notice needs {WORDS} words")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("body"))
     every = sorted({x for row in known for x in row.notice_shingles})
-    near = rows.select("doc_id", shingles(F.col("body")).alias("found")).filter(F.arrays_overlap("found", _longs(every)))
+    # Few documents, with their shingles: written once, for the classes of window sizes to share.
+    near = cut(rows.select("doc_id", shingles(F.col("body")).alias("found")).filter(F.arrays_overlap("found", _longs(every))))
     parts = []
     for stride in sorted({row.stride for row in known}):
         own = [row for row in known if row.stride == stride]
