@@ -90,6 +90,16 @@ def test_walk(spark, following, cap, path):
     assert [r["chunk_id"] for r in urls] == [n // 2 for n in range(len(path))]
 
 
+def test_a_long_walk_has_a_small_plan_and_stops_early(spark):
+    following = {chr(97 + n): chr(98 + n) for n in range(12)} | {chr(109): None}
+    read = frontier.listing_links(chain(spark, following))
+    visits = frontier.walk_listings(seed(spark, f"{SITE}/a"), read, 1_000)
+    assert visits.count() == 13
+    # The fronts are written tables; what is left is the one join that fetches the links.
+    plan = visits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 13
+
+
 @pytest.mark.parametrize(("chunk", "mode", "chunks"), [(2, "chunked", 3), (1, "per_url", None)])
 def test_catalog(spark, chunk, mode, chunks):
     first = f"{SITE}/catalogue/page-1.html"
