@@ -83,8 +83,8 @@ class Automaton:
         """Empty tables; they fill as words need them, within a bound."""
         self.table: dict[int, bool] = {}
         self.trie, self.longest = self._trie(), max(map(len, self.labels))
-        self.words = Memo(self._after_space, 500_000)
-        self.pieces = Memo(lambda piece: self._pack(self.encode_word(piece.encode())), 100_000)
+        self.words = Memo(self._after_space, 300_000)
+        self.pieces = Memo(lambda piece: self._pack(self.encode_word(piece.encode())), 60_000)
         self.pattern = regex.compile(self.split)
 
     def __getstate__(self) -> dict:
@@ -132,7 +132,7 @@ class Automaton:
 
     def follows(self, last: int, token: int) -> bool:
         """Fill one cell of the transition table: whether `token` may follow `last`."""
-        if len(self.table) > 2_000_000:
+        if len(self.table) > 500_000:
             self.table.clear()
         known = self.table[last << 20 | token] = self.has_arc(self.goal[last], token)
         return known

@@ -12,6 +12,13 @@ from pyspark.sql.types import StructType
 
 WORD = re.compile(r"\w+")
 
+# Texts are long: a batch of the usual ten thousand would take an executor's memory several times
+# over, in the JVM, on the way, and in each Python worker.
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 1_000,
+    "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20,
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,7 +38,11 @@ def fold(key: str | Column, n: int) -> Column:
 def map_batches(
     df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType
 ) -> DataFrame:
-    """Run `work` on each Arrow batch; partitions are independent and nothing is shuffled."""
+    """Run `work` on each Arrow batch; partitions are independent and nothing is shuffled.
+
+    The session's batches are made no larger than BATCH, which stays set.
+    """
+    limit_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -43,6 +54,14 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def limit_batches(spark: SparkSession) -> None:
+    for name, most in BATCH.items():
+        now = spark.conf.get(name).lower().removesuffix("b")
+        # A size in another unit is somebody's choice.
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores behind it as keep it apart from df's columns."""
     taken, out = {x.lower() for x in df.columns}, []

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import Memo, free_names, map_batches, words_of
+from pagemill.llm.common import Memo, free_names, limit_batches, map_batches, words_of
 from pagemill.session import cut
 
 WORDS, SIMILARITY = 5, 0.8
@@ -53,7 +53,7 @@ class Hasher:
         draw = np.random.default_rng(20240229)
         self.odd = draw.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
         self.mix = draw.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
-        self.word = Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")), 300_000)
+        self.word = Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")), 150_000)
 
     def shingles(self, text: str | None) -> np.ndarray:
         """Distinct hashes of five words in a row, sorted; a shorter text is one shingle."""
@@ -227,6 +227,7 @@ def _agreeing(sigs: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndar
 def candidates(reps: DataFrame) -> DataFrame:
     """(a, b) with a > b: a spanning forest of the candidate pairs of every bucket."""
     rows = _buckets(reps).join(reps.select("key", "sig"), "key")
+    limit_batches(reps.sparkSession)
     dealt = _dealt(rows, "path", "size", "key", BUCKET).select("path", "low", "high", "block", "key", "sig")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,8 +416,14 @@ def _sieve(ids: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _sifted(docs: DataFrame, sieve: np.ndarray, inside: bool) -> DataFrame:
-    """The rows whose id is in the filter, or those whose id is not. Decides before any shuffle."""
+def _sifted(
+    docs: DataFrame, sieve: np.ndarray, inside: bool, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None,
+    schema: T.StructType | None = None,
+) -> DataFrame:
+    """The rows whose id is in the filter, or those whose id is not, and then `finish` of these.
+
+    Decides before any shuffle.
+    """
     shared, columns = docs.sparkSession.sparkContext.broadcast(sieve), len(docs.columns)
     (places_name,) = free_names(docs, "sieve_places")
     marked = docs.withColumn(places_name, _positions(F.col("doc_id").cast("long")))
@@ -424,9 +431,10 @@ def _sifted(docs: DataFrame, sieve: np.ndarray, inside: bool) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         places = batch.column(columns).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, 3)
         held = ((shared.value[places >> 3] >> (places & 7).astype(np.uint8)) & 1).all(1)
-        return batch.select(list(range(columns))).filter(pa.array(held == inside))
+        kept = batch.select(list(range(columns))).filter(pa.array(held == inside))
+        return finish(kept) if finish else kept
 
-    return map_batches(marked, work, docs.schema)
+    return map_batches(marked, work, schema or docs.schema)
 
 
 def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -481,8 +489,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     # Rows that are certainly alone are not moved.
     fields = T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())])
-    marked = map_batches(_sifted(docs, sieve, True), work, fields)
-    marked = marked.join(fate, F.col(own) == F.col(key), "left")
+    marked = _sifted(docs, sieve, True, work, fields).join(fate, F.col(own) == F.col(key), "left")
     alone = marked.filter(F.col(key).isNull())
     stays = (F.col(own) == F.col(stays_key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(stays_id))
     first = marked.filter(F.col(key).isNotNull() & stays).dropDuplicates([own])

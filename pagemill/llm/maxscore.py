@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import limit_batches
 from pagemill.session import cut
 
 SHARD, BLOCK = 1 << 15, 1 << 12
@@ -171,6 +172,7 @@ def top_k(vectors: DataFrame, is_query: str, k: int) -> DataFrame:
                 arrays = [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array([b.tobytes() for b in bodies], pa.binary()), pa.array(found, pa.int64()), pa.array(scores, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["query_id", "copies", "query", "vec_id", "score"])
 
+    limit_batches(rows.sparkSession)
     found = dealt.mapInArrow(search, "query_id long, copies long, query binary, vec_id long, score long")
     # Equal query rows are one group here; each shard sends k rows of it at most.
     order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")

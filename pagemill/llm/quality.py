@@ -160,7 +160,7 @@ class Scorer:
         self.ready()
 
     def ready(self) -> None:
-        self.of_word = Memo(lambda word: float(self.weights[word_buckets(word)].sum()), 400_000)
+        self.of_word = Memo(lambda word: float(self.weights[word_buckets(word)].sum()), 200_000)
 
     def __getstate__(self) -> tuple:
         return self.weights, self.bias

@@ -62,7 +62,7 @@ class Model:
 
     def ready(self) -> None:
         # A word's own weight and those of its beginnings.
-        self.of_word = Memo(lambda word: [(x, self.weights[x]) for x in features_of(word) if x in self.weights], 400_000)
+        self.of_word = Memo(lambda word: [(x, self.weights[x]) for x in features_of(word) if x in self.weights], 150_000)
 
     def __getstate__(self) -> tuple:
         return self.weights, self.bias
