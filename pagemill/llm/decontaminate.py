@@ -2,7 +2,8 @@
 
 Items (question and answer) form an inverted index. A posting's impact is the term's BM25 weight in
 the item over the least score that a passage holding `SIMILARITY` of the item's five-word shingles
-can have: the item's whole score without its heaviest terms, as many as lost shingles can uncover.
+can have: the item's whole score without its heaviest terms, as many as lost shingles can uncover
+(_least).
 So one threshold, 1, fits all items and loses none that the check below would accept.
 
 Passages are overlapping windows of each document's words, long enough that an item lies whole in
@@ -73,8 +74,7 @@ class Index:
             for term, tf in Counter(q + a).items():
                 idf = math.log(1 + (n - found[term] + 0.5) / (found[term] + 0.5))
                 weights[term] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[i] / mean))
-            heavy = sorted(weights.values(), reverse=True)[: self._lost(q + a)]
-            least = math.fsum(weights.values()) - math.fsum(heavy)
+            least = self._least(q + a, weights)
             for term, weight in weights.items():
                 rows[self.vocabulary[term]].append((i, weight / least))
         self.postings = [rows[t] for t in range(len(self.vocabulary))]
@@ -85,11 +85,28 @@ class Index:
         self.most = np.array([m for x in maxima for _, m in x], np.float64)
 
     @staticmethod
-    def _lost(words: list[str]) -> int:
-        """How many terms a passage can lack that still holds enough of the item's shingles."""
-        times = sorted(Counter(shingles(words)).values())
+    def _least(words: list[str], weights: dict[str, float]) -> float:
+        """The least score of a passage that still holds enough of the item's shingles; above 0.
+
+        A term is lacking only if all shingles with it are lost. So the lost shingles bound the number
+        of lacking terms by their occurrences, and the shingles that all lacking terms are in, added
+        up, by the terms of the fullest ones. The second bound leaves some weight in any text, as
+        not all shingles are lost; the first is the closer one where shingles hardly repeat.
+        """
+        times = Counter(shingles(words))
         may = len(times) - math.ceil(SIMILARITY * len(times) - 1e-9)
-        return sum(times[-may:]) if may else 0
+        if not may:
+            return math.fsum(weights.values())
+        within = Counter(t for x in times for t in set(x))
+        lost = sum(sorted(times.values())[-may:])
+        light = sorted((t for t in weights if within[t] <= may), key=weights.get, reverse=True)[lost:]
+        by_number = math.fsum(w for t, w in weights.items() if within[t] > may) + math.fsum(map(weights.get, light))
+        room, kept = sum(sorted(len(set(x)) for x in times)[-may:]), []
+        for term in sorted(weights, key=lambda t: weights[t] / within[t], reverse=True):
+            gone = min(room, within[term]) if within[term] <= may else 0
+            room -= gone
+            kept.append(weights[term] * (within[term] - gone) / within[term])
+        return max(by_number, math.fsum(kept))
 
     @staticmethod
     def _maxima(postings: list[tuple[int, float]]) -> dict[int, float]:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import itertools
+import math
 import random
 
 import pytest
@@ -80,6 +82,39 @@ def test_several_indexes_find_the_same(spark, data, monkeypatch):
     assert sorted(find_leaks(docs, items).collect(), key=repr) == rows
 
 
+def test_repetitive_items(spark):
+    items = [
+        (1, "0 1 " * 8, "what comes next"), (2, "la " * 12 + "what is the name", "of this song"),
+        (3, "yes no " * 20 + "please pick", "the right one"), (4, "a b " * 100 + " ".join(f"w{i}" for i in range(40)), ""),
+        (5, "na " * 9, "na"), (6, "an item of the usual kind without", "a repeated word"),
+    ]
+    docs = [(i, f"some words before {q} {a} and some after") for i, q, a in items]
+    docs += [(10 + i, " ".join([*q.split()[1:], *a.split()[:-1]])) for i, q, a in items]
+    docs += [(20 + i, " ".join(["other", *q.split()[4:], *a.split()])) for i, q, a in items]
+    docs += [(30, "la la yes no a b 0 1 na"), (31, "a b " * 90 + " ".join(f"w{i}" for i in range(34)))]
+    frame_of_docs, frame_of_items = frames(spark, (docs, items))
+    index = Index(items)
+    got = sorted((False, *tuple(r)) for r in find_leaks(frame_of_docs, frame_of_items).collect())
+    assert got == brute(docs, items, index.overlap, index.stride)
+    assert {(i, i) for i, _, _ in items} <= {x[1:3] for x in got}
+    assert drop_leaks(frame_of_docs, frame_of_items).count() == len(docs) - len({x[1] for x in got})
+
+
+def test_least_score_is_below_every_passage():
+    """Against every set of lost shingles, for items of few different words."""
+    pick = random.Random(4)
+    for _ in range(150):
+        words = [f"t{pick.randrange(pick.choice((2, 4, 9)))}" for _ in range(pick.randrange(1, 17))]
+        weights = {t: pick.random() + 1e-3 for t in words}
+        found = sorted(set(shingles(words)))
+        may = len(found) - math.ceil(0.8 * len(found) - 1e-9)
+        scores = [
+            sum(weights[t] for t in {t for x in found if x not in lost for t in x})
+            for lost in itertools.combinations(found, may)
+        ]
+        assert 0 < Index._least(words, weights) <= min(scores) + 1e-9
+
+
 def test_empty_tables(spark, data):
     docs, items = frames(spark, data)
     assert find_leaks(docs.limit(0), items).count() == 0
