@@ -1,7 +1,8 @@
 """Main text of web pages, with a host suffix array of what pages repeat.
 
 Pages are cut into blocks. What is inside the article is the article's, also where it repeats;
-what is marked as page furniture (menus, adverts, footers, ...) goes. The rest of the page is
+what is marked as page furniture (menus, adverts, footers, ...) by its tag or by a whole known name in
+class, id or role goes, unless it holds most of the main run. The rest of the page is
 judged by repetition: the token streams of a host's pages, without their articles, are put
 together, and substrings of `DEPTH` tokens or more that occur on several pages are boilerplate.
 
@@ -43,22 +44,40 @@ INLINE = frozenset(
     "small span strike strong sub sup time tt u var wbr input".split()
 )
 SCOPE = frozenset("article main".split())
-# Names in class, id and role of furniture, as whole words of the name.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner banners "
-    "nav navbar navigation navigational menu menus breadcrumb breadcrumbs pagination pager toolbar topbar "
-    "footer sidebar sidebars aside complementary contentinfo widget widgets "
-    "cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription "
-    "signup login search form comment comments commentlist respond reply replies disqus discussion "
-    "share sharing social related recommended recommendations skip masthead".split()
+# Names in class, id and role of furniture, each a whole name in lower case with hyphens.
+# FIRM ones may be longer than the article; the others are also given to wrappers of whole pages.
+FIRM = frozenset(
+    "ad ads advert adverts advertisement advertisements ad-slot ad-container ad-wrapper ad-unit ad-banner ad-box sponsor sponsored "
+    "breadcrumb breadcrumbs pagination pager cookie-banner cookie-consent cookie-notice cookies gdpr "
+    "comments commentlist comment-list comments-area comments-section comment-form comment-respond disqus disqus-thread".split()
 )
-MARK_OUTSIDE = frozenset("header head top".split())
+MARKS = FIRM | frozenset(
+    "nav navbar navigation main-nav main-navigation site-nav site-navigation primary-nav nav-menu nav-bar nav-links "
+    "menu menus main-menu menu-list menu-item banner banners toolbar topbar footer site-footer page-footer main-footer "
+    "sidebar sidebars side-bar left-sidebar right-sidebar sidebar-left sidebar-right complementary contentinfo widget widgets "
+    "widget-area cookie consent popup modal overlay newsletter newsletter-signup subscribe signup login login-form search "
+    "search-form search-box promo comment respond share sharing share-buttons share-links social social-links social-share "
+    "social-media related related-posts related-articles related-links recommended recommended-articles recommendations "
+    "skip skip-link skip-links masthead".split()
+)
+# An id is often the subject of a section ("search", "modal"), so only these count there.
+IDS = FIRM | frozenset(
+    "navbar main-nav main-navigation site-nav site-navigation primary-nav nav-menu nav-bar main-menu topbar footer site-footer page-footer "
+    "main-footer sidebar sidebars side-bar left-sidebar right-sidebar sidebar-left sidebar-right newsletter-signup login-form "
+    "search-form search-box share-buttons social-links social-share related-posts related-articles masthead".split()
+)
+MARK_OUTSIDE = frozenset("header head site-header main-header".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# How far into the main run an element leads.
+MAIN, ARTICLE, BODY = 1, 2, 3
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
-NAMES = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# One attribute with its value, so that no name is looked for inside a value.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NAMED = frozenset("class id role itemprop hidden aria-hidden style".split())
 WORD_ENDS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -72,33 +91,75 @@ class Block:
     furniture: bool
 
 
-def _role(name: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
-    """(unseen, furniture, article) of an element; `inside` an article its header is its own."""
-    unseen, furniture, article = name in UNSEEN, name in FURNITURE, name in SCOPE
-    if name == "header" and not inside:
-        furniture = True
-    for match in NAMES.finditer(attributes):
+@dataclass
+class Mark:
+    """An element marked as furniture: what it holds decides whether that can be so."""
+
+    firm: bool
+    level: int  # of the main run around it
+    deepest: int  # of the main run in it
+    chars: int = 0
+
+
+def _names(value: str) -> set[str]:
+    return {"-".join(filter(None, WORD_ENDS.split(x))).lower() for x in value.split()}
+
+
+def _role(name: str, attributes: str, inside: bool) -> tuple[bool, bool, bool, int]:
+    """(unseen, furniture, firmly so, level) of an element; `inside` an article its header is its own."""
+    unseen, level = name in UNSEEN, {"main": MAIN, "article": ARTICLE}.get(name, 0)
+    furniture = name in FURNITURE or (name == "header" and not inside)
+    firm = furniture and name not in ("form", "header")
+    named = name not in HEADINGS
+    for match in ATTRIBUTE.finditer(attributes):
         key, value = match[1].lower(), match[2] or match[3] or match[4] or ""
+        if key not in NAMED:
+            continue
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             unseen = True
         elif key == "style":
             unseen = unseen or HIDDEN.search(value) is not None
         elif key == "itemprop":
-            article = article or value.lower() == "articlebody"
+            level = max(level, BODY * (value.lower() == "articlebody"))
         elif key == "role" and value.lower() in ("main", "article"):
-            article = True
-        else:
-            words = {x.lower() for x in WORD_ENDS.split(value)}
-            furniture = furniture or bool(words & MARKS) or (not inside and bool(words & MARK_OUTSIDE) and name != "body")
-    return unseen, furniture, article and not furniture
+            level = max(level, MAIN if value.lower() == "main" else ARTICLE)
+        elif key != "aria-hidden" and named:
+            found = _names(value)
+            furniture = furniture or bool(found & (IDS if key == "id" else MARKS)) or (not inside and bool(found & MARK_OUTSIDE))
+            firm = firm or bool(found & FIRM)
+    if name in ("html", "body"):
+        return False, False, False, level
+    if level == MAIN:
+        furniture = firm = False
+    return unseen, furniture, firm, level
+
+
+def _unmark(blocks: list[Block], within: list[tuple[int, ...]], marks: list[Mark]) -> None:
+    """Set `furniture`: an element with most of the main run, or of a page without one, is no furniture.
+
+    One that is firmly marked is, unless a further part of the main run begins in it.
+    """
+    scoped = any(x.article for x in blocks)
+    total = 0
+    for block, held in zip(blocks, within, strict=True):
+        if block.article or not scoped:
+            total += len(block.text)
+            for i in held:
+                marks[i].chars += len(block.text)
+    real = [2 * x.chars <= total or (x.firm and x.deepest <= x.level) for x in marks]
+    for block, held in zip(blocks, within, strict=True):
+        block.furniture = any(real[i] for i in held)
 
 
 def blocks_of(source: str | None) -> list[Block]:
     """The visible blocks of a page, in order, with character references decoded."""
     source = source or ""
     lower: str | None = None
-    open_tags: list[tuple[str, int, int, int]] = []  # name, and what was in force before it
-    unseen = furniture = article = 0
+    open_tags: list[tuple[str, int, tuple[int, ...], int]] = []  # name, and what was in force before it
+    unseen = level = 0
+    furniture: tuple[int, ...] = ()
+    marked: list[Mark] = []
+    within: list[tuple[int, ...]] = []
     out: list[Block] = []
     parts: list[str] = []
 
@@ -106,7 +167,8 @@ def blocks_of(source: str | None) -> list[Block]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            out.append(Block(text, article > 0, furniture > 0))
+            out.append(Block(text, level > 0, False))
+            within.append(furniture)
 
     at, size = 0, len(source)
     while at < size:
@@ -131,26 +193,33 @@ def blocks_of(source: str | None) -> list[Block]:
         if close:
             for i in range(len(open_tags) - 1, -1, -1):
                 if open_tags[i][0] == name:
-                    _, unseen, furniture, article = open_tags[i]
+                    _, unseen, furniture, level = open_tags[i]
                     del open_tags[i:]
                     break
             continue
         if name in VOID or attributes.endswith("/") and name not in RAW and name not in SCOPE and name not in FURNITURE:
             continue
-        marks = _role(name, attributes, article > 0) if attributes or name not in INLINE else (False, False, False)
+        marks = _role(name, attributes, level > 0) if attributes or name not in INLINE else (False, False, False, 0)
         if name in INLINE and not any(marks):
             continue
         if name in INLINE:
             end()
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and open_tags and open_tags[-1][0] == name:
-            _, unseen, furniture, article = open_tags.pop()
-        open_tags.append((name, unseen, furniture, article))
-        unseen, furniture, article = unseen + marks[0], furniture + marks[1], article + marks[2]
+            _, unseen, furniture, level = open_tags.pop()
+        open_tags.append((name, unseen, furniture, level))
+        if marks[3]:
+            for i in furniture:
+                marked[i].deepest = max(marked[i].deepest, marks[3])
+        if marks[1]:
+            furniture = (*furniture, len(marked))
+            marked.append(Mark(marks[2], level, level))
+        unseen, level = unseen + marks[0], max(level, marks[3])
         if name in RAW:
             lower = source.lower() if lower is None else lower
             stop = lower.find("</" + name, at) if len(lower) == size else source.find("</" + name, at)
             at = size if stop < 0 else stop
     end()
+    _unmark(out, within, marked)
     return out
 
 

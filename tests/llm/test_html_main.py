@@ -32,6 +32,40 @@ def test_blocks(source, want):
     assert text_of(source) == want
 
 
+LONG = "the text of the page " * 9
+
+
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        (f'<body class="right-sidebar" style="visibility:hidden"><article><p>{LONG}</p></article></body>', LONG),
+        (f"<form action=x><nav>n</nav><article><p>{LONG}</p><form>f</form></article><footer>f</footer></form>", LONG),
+        (f'<div class="page sidebar"><main><div class="widget"><article>{LONG}</article></div></main><nav>n</nav></div>', LONG),
+        (f'<article><section id="discussion">{LONG}</section><h2 id="modal-logic">Modal logic</h2><h3 class="search">S</h3></article>', f"{LONG}|Modal logic|S"),
+        (f'<article data-title="The hidden cost" title=\'a class="ad" b\'>{LONG}</article>', LONG),
+        (f'<article class="post has-sidebar ad-hoc">{LONG}<p class="share-price menu-engineering">m</p></article>', f"{LONG}|m"),
+        (f'<main id="menu" class="menu">{LONG}<p class="notice">n</p></main>', f"{LONG}|n"),
+        (f'<article class="widget">{LONG}</article><article class="promo">p</article>', LONG),
+        (f'<article>a<section id="comments"><article>{LONG}</article></section></article>', "a"),
+        (f'<main>a<section id="comments">{LONG}</section></main>', "a"),
+        (f'<aside><article>teaser</article></aside><article>{LONG}</article>', LONG),
+        (f'<article><div class="cookieBanner">c</div><div CLASS=social_links>s</div><div class="x ad">b</div>{LONG}</article>', LONG),
+    ],
+)
+def test_marks_are_whole_names_and_not_of_wrappers(source, want):
+    assert text_of(source) == "\n\n".join(x.strip() for x in want.split("|"))
+
+
+def test_pages_without_an_article():
+    hasher = html_main._hasher()
+    for source, want in [
+        (f'<form id="aspnetForm"><div class="sidebar">s</div><div>{LONG}</div></form>', LONG.strip()),
+        (f"<nav>{LONG}</nav>", ""),
+        (f'<div class="content sidebar">{LONG}</div><footer>f</footer>', LONG.strip()),
+    ]:
+        assert html_main.main_text(source, set(), hasher) == want
+
+
 def brute(rows):
     """Repetition found by comparing every stretch of DEPTH tokens of every two pages of a host."""
     def stream(source):
