@@ -4,12 +4,13 @@ Pages are cut into blocks. What is inside the article is the article's, also whe
 what is marked as page furniture (menus, adverts, footers, ...) by its tag or by a whole known name in
 class, id or role goes, unless it holds most of the main run. The rest of the page is
 judged by repetition: the token streams of a host's pages, without their articles, are put
-together, and substrings of `DEPTH` tokens or more that occur on several pages are boilerplate.
+together, and substrings of `DEPTH` tokens or more that occur on a `SHARE` of its pages, and on
+`LEAST_PAGES` or most of a small host's, are boilerplate.
 
 The suffix array is truncated at DEPTH tokens, where it already tells which suffixes agree so far,
 and it is made by grouping equal truncated suffixes of a host instead of sorting them: a group is a
-run of neighbours in the array whose common prefix is DEPTH or longer, and it repeats across pages
-if its first and last page differ. That is a partial aggregate, so neither a hot host nor a menu on
+run of neighbours in the array whose common prefix is DEPTH or longer, and it is boilerplate if it is
+on enough of the host's pages: a few copies of an article are not. That is a partial aggregate, so neither a hot host nor a menu on
 every page meets in one task. A block is boilerplate when repeated substrings cover at least
 `COVERED` of its tokens; unique runs stay. Groups go back only to pages that have blocks to be
 judged, by (host, suffix), and each page gets its own suffixes, never its host's.
@@ -33,6 +34,8 @@ from pagemill.llm.common import Memo, map_batches
 from pagemill.session import cut
 
 DEPTH, COVERED = 8, 0.6
+#: Boilerplate is on this share of the host's pages and on so many of them, or on more than half of a small host.
+SHARE, LEAST_PAGES = 0.05, 5
 
 # Elements of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -304,11 +307,19 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source
             "host string, key long, found array<long>, judged array<long>",
         )
     )
-    repeated = (
-        streams.select("host", "key", F.explode("found").alias("suffix"))
+    # Rows with the same address and HTML are one page.
+    pages_of = streams.groupBy("key").agg(F.first("host").alias("host"), F.first("found").alias("found"))
+    totals = cut(streams.select("host", "key").distinct().groupBy("host").agg(F.count("*").alias("total")))
+    shared = (
+        pages_of.select("host", F.explode("found").alias("suffix"))
         .groupBy("host", "suffix")
-        .agg(F.min("key").alias("first"), F.max("key").alias("last"))
-        .filter(F.col("first") != F.col("last"))
+        .agg(F.count("*").alias("pages"))
+        .filter(F.col("pages") > 1)
+    )
+    most = F.least(F.lit(LEAST_PAGES), F.floor(F.col("total") / 2) + 1)
+    repeated = (
+        shared.join(totals, "host")
+        .filter((F.col("pages") >= most) & (F.col("pages") >= SHARE * F.col("total")))
         .select("host", "suffix")
     )
     per_page = cut(

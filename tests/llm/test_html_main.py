@@ -114,6 +114,22 @@ def test_repetition_against_all_pairs(spark):
     assert extract(pages.limit(0)).count() == 0
 
 
+def test_copied_articles_stay(spark):
+    pick = random.Random(3)
+    words = lambda n: " ".join(f"k{pick.randrange(3000)}" for _ in range(n))
+    legal, copied, section = words(20), words(60), words(20)
+    rows = [(i, f"http://a.example/{i}", f"<div>{copied if i in (3, 9) else words(40)}</div><p>{legal}</p>") for i in range(150)]
+    # The share counts: on 6 of 150 pages, one of them twice under its address.
+    rows = [(i, u, s + (f"<div>{section}</div>" if 20 <= i < 26 else "")) for i, u, s in rows] + [(200, *rows[9][1:])] * 9
+    rows += [(300 + i, f"http://b.example/{i}", f"<p>{words(20)}</p><div>{legal}</div>") for i in range(3)]
+    rows += [(400, "http://c.example/", f"<p>{copied}</p>")]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [copied in got[i] for i in (3, 9, 200, 400)] == [True] * 4
+    assert all(section in got[i] for i in range(20, 26))
+    assert not any(legal in x for x in got.values())
+    assert all(got[i] for i in got)
+
+
 def test_host(spark):
     urls = ["HTTP://u:p@A.example:80/x", "https://b.example?q", "no", None]
     rows = spark.createDataFrame([(x,) for x in urls], "url string").select(host_of(F.col("url")).alias("h")).collect()
