@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import decontaminate, html_main, jaccard, licenses, quality
+from pagemill.llm import decontaminate, html_main, jaccard, licenses, quality, repetition
 from pagemill.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,8 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.train(docs))
+
+
+@query(repetition.oracle())
+def op11_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judge(table(spark, sf_dir, "documents"))
