@@ -186,12 +186,12 @@ def oracle() -> str:
     """DuckDB SQL for `judge` over documents."""
     lengths = [BASE_WINDOW, *WINDOW_PERCENT]
     seen = [
-        f"""
-        CASE WHEN pos + {n - 1} <= size THEN row_number() OVER w{n} END AS nth_{n},
-        CASE WHEN pos + {n - 1} <= size THEN count(*) OVER (PARTITION BY row_id, run_{n}) END AS of_{n}"""
+        f"CASE WHEN run_{n} IS NOT NULL THEN row_number() OVER w{n} END AS nth_{n}, "
+        f"CASE WHEN run_{n} IS NOT NULL THEN count(*) OVER (PARTITION BY row_id, run_{n}) END AS of_{n}"
         for n in lengths
     ]
-    runs = [f"CASE WHEN pos + {n - 1} <= size THEN array_to_string(list_slice(words, pos, pos + {n - 1}), ' ') END AS run_{n}" for n in lengths]
+    # Null where the text ends before the window does.
+    runs = ["word" + "".join(f" || ' ' || lead(word, {j}) OVER text" for j in range(1, n)) + f" AS run_{n}" for n in lengths]
     frames = [f"w{n} AS (PARTITION BY row_id, run_{n} ORDER BY pos)" for n in lengths]
     cover = [
         f"max(CASE WHEN {'of' if n == BASE_WINDOW else 'nth'}_{n} > 1 THEN 1 ELSE 0 END) OVER "
@@ -204,8 +204,8 @@ def oracle() -> str:
     return f"""
     WITH page AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents),
     cut AS (SELECT row_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM page),
-    spread AS (SELECT row_id, words, len(words) AS size, unnest(range(1, len(words) + 1)) AS pos FROM cut),
-    runs AS (SELECT row_id, pos, size, words[pos] AS word, {", ".join(runs)} FROM spread),
+    spread AS (SELECT row_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM cut),
+    runs AS (SELECT row_id, pos, word, {", ".join(runs)} FROM spread WINDOW text AS (PARTITION BY row_id ORDER BY pos)),
     seen AS (SELECT row_id, pos, word, {", ".join(seen)} FROM runs WINDOW {", ".join(frames)}),
     cover AS (SELECT row_id, word, {", ".join(cover)} FROM seen),
     counted AS (
