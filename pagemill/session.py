@@ -90,16 +90,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write `df` once to the shared checkpoint folder and read it from there.
 
     Used where an expensive stage feeds several branches. The table lies in shared storage, so a
     lost executor costs only the tasks that were running; it is columnar, and its size is known
     to the planner. `checkpoint()` would work out the rows twice, once to count them. The table
-    goes when its run ends (`tables_of_run`), or with the driver.
+    goes when its run ends (`tables_of_run`), or with the driver. With `by`, a folder per value of
+    that column lets a reader of one value skip the rest.
     """
     path = f"{run_folder(df.sparkSession)}/{uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
