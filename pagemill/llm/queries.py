@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import decontaminate, html_main, jaccard, licenses, quality, repetition
+from pagemill.llm import collocations, decontaminate, html_main, jaccard, licenses, merkle, quality, repetition
 from pagemill.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(repetition.oracle())
 def op11_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(table(spark, sf_dir, "documents"))
+
+
+@query(collocations.oracle())
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query(merkle.oracle())
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.check_table(table(spark, sf_dir, "documents"))
