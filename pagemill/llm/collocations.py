@@ -14,8 +14,13 @@ with a vocabulary. Phrases that share a cell may be activated early or in vain,
 and changes no count: the cycle of a phrase is read from the same cells in every scan. The array
 does not grow with the corpus; with many more frequent phrases than cells it screens less.
 
+Scans name a phrase by a 64-bit hash, which keeps what is shuffled narrow. Phrases that share one
+are counted together, so a count is never too low. One more scan then counts the phrases that are
+left by their words, exactly; it knows them by a bitmap of fixed size (`BITS`, two bits a phrase).
+
 A scan counts inside each Arrow batch, then per task, and then by phrase, so a phrase that a third
-of the corpus holds is one row per task. Everything between scans is a written table.
+of the corpus holds is one row per task. Everything between scans is a written table. The driver
+gets bitmaps of what is new, of fixed size, and no phrase.
 """
 
 from __future__ import annotations
@@ -35,10 +40,11 @@ from pagemill.session import cut, look_up
 # What ends a piece, and what parts words.
 BREAKS, SPACES = r"[.,;:!?\x0A-\x0D]+", r"[\x20\x09]+"
 LEAST, LONGEST, TOP, INSIDE_PERCENT, UNKNOWN = 10, 3, 2_000, 50, "und"
-SHARDS, CELLS = 4, 1 << 23
+SHARDS, CELLS, BITS = 2, 1 << 24, 1 << 26
 UNFILLED = 255
 
-COUNTED = "lang string, size int, phrase string, cell int, since int, n long"
+HASHED = "h long, size int, since int, n long"
+NAMED = "lang string, size int, phrase string, n long"
 
 
 def _mixed(value: np.ndarray) -> np.ndarray:
@@ -49,7 +55,7 @@ def _mixed(value: np.ndarray) -> np.ndarray:
 class Phrases:
     """The words of a batch in a row, with breaks between pieces, and what is counted of them."""
 
-    def __init__(self, langs: pa.Array, texts: pa.Array, cells: int) -> None:
+    def __init__(self, langs: pa.Array, texts: pa.Array) -> None:
         spaced = pc.replace_substring_regex(pc.ascii_lower(texts), BREAKS, " \n ")
         # Every text begins with a break, so no phrase spans two texts.
         parts = pc.split_pattern_regex(pc.binary_join_element_wise("\n", spaced, " "), SPACES)
@@ -59,26 +65,30 @@ class Phrases:
         self.vocabulary, self.word = words.dictionary, words.indices.to_numpy().astype(np.int64)
         self.langs = langs.dictionary_encode()
         self.lang = self.langs.indices.to_numpy().astype(np.int64)[owner]
-        self.cells = np.uint64(cells)
-        hashes = pd.util.hash_array(self.vocabulary.to_numpy(zero_copy_only=False), categorize=False)
-        of_lang = pd.util.hash_array(self.langs.dictionary.to_numpy(zero_copy_only=False), categorize=False)
-        self.word_hash = hashes[self.word] if len(hashes) else np.zeros(0, np.uint64)
-        self.hash = _mixed(self.word_hash ^ _mixed(of_lang[self.lang])) if len(of_lang) else self.word_hash
-        breaks = pc.fill_null(pc.equal(self.vocabulary, "\n"), False).to_numpy(zero_copy_only=False)
-        self.whole = ~breaks[self.word] if len(breaks) else np.zeros(0, bool)
+        hashes, of_lang = (
+            pd.util.hash_array(x.to_numpy(zero_copy_only=False), categorize=False) for x in (self.vocabulary, self.langs.dictionary)
+        )
+        self.word_hash = hashes[self.word]
+        self.hash = _mixed(self.word_hash ^ _mixed(of_lang[self.lang]))
+        self.whole = ~pc.equal(self.vocabulary, "\n").to_numpy(zero_copy_only=False)[self.word]
         self.size = 1
 
-    def cell(self) -> np.ndarray:
-        return (self.hash % self.cells).astype(np.int32)
-
     def lengthen(self) -> None:
         """From phrases of some words at each position to those of one word more."""
         self.hash = _mixed(self.hash[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.word_hash[self.size :])
         self.whole = self.whole[:-1] & self.whole[1:]
         self.size += 1
 
-    def count(self, at: np.ndarray, since: np.ndarray) -> list[pa.Array]:
-        """Rows of COUNTED for the phrases at these positions; phrases are told apart by their words."""
+    def count_hashes(self, at: np.ndarray, since: np.ndarray) -> list[pa.Array]:
+        """Rows of HASHED for the phrases at these positions."""
+        names, hashes = pd.factorize(self.hash[at])
+        begun = np.zeros(len(hashes), np.int32)
+        begun[names] = since
+        n = np.bincount(names, minlength=len(hashes)).astype(np.int64)
+        return [pa.array(hashes.view(np.int64)), pa.array(np.full(len(n), self.size, np.int32)), pa.array(begun), pa.array(n)]
+
+    def count_words(self, at: np.ndarray) -> list[pa.Array]:
+        """Rows of NAMED for the phrases at these positions, told apart by their words."""
         names = self.lang[at] * len(self.vocabulary) + self.word[at]
         for j in range(1, self.size):
             names = pd.factorize(names)[0] * len(self.vocabulary) + self.word[at + j]
@@ -91,36 +101,63 @@ class Phrases:
             self.langs.dictionary.take(pa.array(self.lang[place])),
             pa.array(np.full(len(place), self.size, np.int32)),
             pc.binary_join_element_wise(*texts, " ") if self.size > 1 else texts[0],
-            pa.array(self.cell()[place]),
-            pa.array(since[first].astype(np.int32)),
             pa.array(np.bincount(names, minlength=len(several)).astype(np.int64)),
         ]
 
     def totals(self) -> list[pa.Array]:
-        """A row per language with its number of words, as a phrase of no words."""
+        """A row of NAMED per language with its number of words, as a phrase of no words."""
         n = np.bincount(self.lang[self.whole], minlength=len(self.langs.dictionary)).astype(np.int64)
-        zeros = pa.array(np.zeros(len(n), np.int32))
-        return [self.langs.dictionary, zeros, pa.array([""] * len(n), pa.string()), zeros, zeros, pa.array(n)]
+        return [self.langs.dictionary, pa.array(np.zeros(len(n), np.int32)), pa.array([""] * len(n), pa.string()), pa.array(n)]
+
 
+def _batch(rows: list[list[pa.Array]], schema: str) -> pa.RecordBatch | None:
+    names = [x.split()[0] for x in schema.split(", ")]
+    batches = [pa.RecordBatch.from_arrays(x, names) for x in rows if len(x[0])]
+    return pa.concat_batches(batches) if batches else None
 
-def scan(langs: pa.Array, texts: pa.Array, filled: np.ndarray, step: int, shards: int, longest: int) -> pa.RecordBatch:
+
+def scan(langs: pa.Array, texts: pa.Array, filled: np.ndarray, step: int, shards: int, longest: int) -> pa.RecordBatch | None:
     """The counts of one batch in one scan: of the phrases whose cycle this scan belongs to."""
-    phrases = Phrases(langs, texts, len(filled))
+    phrases = Phrases(langs, texts)
     rows = []
     if step < shards:
-        rows.append(phrases.totals())
         at = np.flatnonzero(phrases.whole)
-        rows.append(phrases.count(at, np.zeros(len(at))))
-    while phrases.size < longest and len(phrases.word) > phrases.size:
-        reached = filled[phrases.cell()]
+        rows.append(phrases.count_hashes(at, np.zeros(len(at), np.int32)))
+    while phrases.size < longest and len(phrases.hash) > 1:
+        reached = filled[phrases.hash & np.uint64(len(filled) - 1)]
         phrases.lengthen()
-        last = np.maximum(reached[:-1], reached[1:]).astype(np.int64)
+        last = np.maximum(reached[:-1], reached[1:]).astype(np.int32)
         at = np.flatnonzero(phrases.whole & (last != UNFILLED) & (last + 1 > step - shards))
-        if len(at):
-            rows.append(phrases.count(at, last[at] + 1))
-    names = [x.split()[0] for x in COUNTED.split(", ")]
-    batches = [pa.RecordBatch.from_arrays(x, names) for x in rows]
-    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0] if batches and any(map(len, batches)) else None
+        rows.append(phrases.count_hashes(at, last[at] + 1))
+    return _batch(rows, HASHED)
+
+
+def recount(langs: pa.Array, texts: pa.Array, bitmap: np.ndarray, longest: int) -> pa.RecordBatch | None:
+    """The counts of one batch by words: of all phrases the bitmap knows, and of all words together."""
+    phrases = Phrases(langs, texts)
+    rows, bits = [phrases.totals()], np.uint64(8 * len(bitmap) - 1)
+    while True:
+        known = phrases.whole.copy()
+        for place in (phrases.hash & bits, (phrases.hash >> np.uint64(32)) & bits):
+            known &= (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        rows.append(phrases.count_words(np.flatnonzero(known)))
+        if phrases.size == longest or len(phrases.hash) < 2:
+            return _batch(rows, NAMED)
+        phrases.lengthen()
+
+
+def _bitmap(places: DataFrame, size: int) -> np.ndarray:
+    """Bytes in which bit i says whether i, from 0 to `size`, is among `places`; put together in tasks."""
+    at = F.col("place") + 1
+    rows = places.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")
+    )
+    out = np.zeros(max(1, size // 8), np.uint8)
+    for row in rows.collect():
+        bits = np.frombuffer(row["bits"], np.uint8)
+        begin = (row["part"] - 1) * len(bits)
+        out[begin : begin + len(bits)] = bits[: len(out) - begin]
+    return out
 
 
 @dataclass(frozen=True)
@@ -134,17 +171,15 @@ class Counts:
 
 def count_phrases(
     docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, cells: int = CELLS,
-    lang: str = "lang", text: str = "text",
+    bits: int = BITS, lang: str = "lang", text: str = "text",
 ) -> Counts:
     """Count contiguous phrases of up to `longest` words, per language, by interleaved scans.
 
-    A null language is `und`. Null texts hold no words. There are at most `longest` * `shards`
-    scans of a shard. Per scan the driver takes in the cells that were newly filled: at most
-    `cells` numbers over the whole run.
+    A null language is `und`. Null texts hold no words. A cycle is `shards` scans, and there are at
+    most `longest` cycles, and the recount. `cells` and `bits` are powers of two, at least 64.
     """
     if longest * shards >= UNFILLED:
         raise ValueError("too many scans for a byte")
-    spark = docs.sparkSession
     dealt = cut(
         docs.select(
             F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"),
@@ -160,25 +195,23 @@ def count_phrases(
         counted = counted.withColumn("reached", F.lit(False))
         if totals is not None:
             counted = totals.withColumn("reached", F.col("n") >= least).drop("fresh").unionByName(counted)
-        agreed = counted.groupBy("lang", "size", "phrase", "cell", "since").agg(
-            F.sum("n").alias("n"), F.max("reached").alias("reached")
-        )
-        enough = (F.col("n") >= least) | (F.col("size") == 0)
+        agreed = counted.groupBy("h", "size", "since").agg(F.sum("n").alias("n"), F.max("reached").alias("reached"))
+        enough = F.col("n") >= least
         in_cycle = F.col("since") + shards - 1 > step
         totals = cut(agreed.filter(enough | in_cycle).withColumn("fresh", enough & ~F.col("reached")).drop("reached"))
-        new = totals.filter(F.col("fresh") & F.col("size").between(1, longest - 1)).select("cell").distinct()
-        found = new.toPandas()["cell"].to_numpy()
-        found = found[filled[found] == UNFILLED]
-        if len(found):
-            filled[found] = step
+        fresh = totals.filter(F.col("fresh") & (F.col("size") < longest))
+        new = _bitmap(fresh.select(F.col("h").bitwiseAND(cells - 1).alias("place")), cells)
+        new = np.unpackbits(new, bitorder="little")[:cells].astype(bool) & (filled == UNFILLED)
+        if new.any():
+            filled[new] = step
             last = max(last, step + shards)
         step += 1
-    known = totals.select("lang", "size", "phrase", "n")
-    return Counts(
-        known.filter("size > 0"),
-        known.filter("size = 0").select("lang", "n"),
-        step,
-    )
+    places = F.explode(F.array(F.col("h").bitwiseAND(bits - 1), F.shiftrightunsigned("h", 32).bitwiseAND(bits - 1)))
+    bitmap = _bitmap(totals.select(places.alias("place")), bits)
+    named = cut(_recount(dealt, bitmap, longest).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).filter(
+        (F.col("n") >= least) | (F.col("size") == 0)
+    ))
+    return Counts(named.filter("size > 0"), named.filter("size = 0").select("lang", "n"), step)
 
 
 def _scan_shard(shard: DataFrame, filled: np.ndarray, step: int, shards: int, longest: int) -> DataFrame:
@@ -187,7 +220,16 @@ def _scan_shard(shard: DataFrame, filled: np.ndarray, step: int, shards: int, lo
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         return scan(batch.column(0), batch.column(1), shared.value, step, shards, longest)
 
-    return map_batches(shard.select("lang", "text"), work, COUNTED)
+    return map_batches(shard.select("lang", "text"), work, HASHED)
+
+
+def _recount(dealt: DataFrame, bitmap: np.ndarray, longest: int) -> DataFrame:
+    shared = dealt.sparkSession.sparkContext.broadcast(bitmap)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        return recount(batch.column(0), batch.column(1), shared.value, longest)
+
+    return map_batches(dealt.select("lang", "text"), work, NAMED)
 
 
 def score(a: Column, left: Column, right: Column) -> Column:
@@ -234,7 +276,7 @@ def inside_longer(counts: Counts, longest: int = LONGEST) -> DataFrame:
 
 def collocations(
     docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, inside_percent: int = INSIDE_PERCENT,
-    shards: int = SHARDS, cells: int = CELLS,
+    shards: int = SHARDS, cells: int = CELLS, bits: int = BITS,
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first `top` phrases of each language.
 
@@ -243,7 +285,7 @@ def collocations(
     they occur; empty texts and tables give no row. Ranks are limited in each task before the
     shuffle, so a language that most rows have sends `top` rows from each.
     """
-    counts = count_phrases(docs, least, longest, shards, cells)
+    counts = count_phrases(docs, least, longest, shards, cells, bits)
     rows = scored(counts)
     if longest > 2:
         rows = rows.join(cut(inside_longer(counts, longest)), ["lang", "phrase"], "left")

@@ -54,12 +54,12 @@ def corpus(seed: int, n: int) -> list[tuple]:
     return rows + [("en", None), ("en", ""), ("fr", None), ("it", "one word"), ("en", " . ,\n"), ("en", "long tail " * 3000)]
 
 
-@pytest.mark.parametrize(("shards", "cells", "longest"), [(4, 1 << 16, 3), (3, 7, 3), (1, 1 << 10, 4), (2, 64, 2)])
+@pytest.mark.parametrize(("shards", "cells", "longest"), [(4, 1 << 16, 3), (3, 64, 3), (1, 1 << 10, 4), (2, 256, 2)])
 def test_against_brute_force(spark, shards, cells, longest):
     rows = corpus(shards, 150)
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
     docs = docs.withColumns({"phrase": F.lit(1), "n": F.lit(2), "shard": F.lit("x")})
-    got = [tuple(r) for r in collocations(docs, 5, longest, 12, shards=shards, cells=cells).collect()]
+    got = [tuple(r) for r in collocations(docs, 5, longest, 12, shards=shards, cells=cells, bits=cells).collect()]
     assert sorted(got) == sorted(brute(rows, 5, longest, 12))
 
 
