@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.session import cut
+from pagemill.sources.places import PLACE, read_at, with_places
+
 # Status codes worth another attempt after a wait.
 RETRYABLE = (403, 429, 503)
 
@@ -26,22 +29,22 @@ def fetch_outcomes(
 ) -> DataFrame:
     """One row per URL: `outcome` ok or failed, why, attempts used, and the body if ok.
 
-    The first deciding attempt within the limit counts. A 200 without a body is a failure.
-    Bodies of other attempts are dropped before the shuffle.
+    The first deciding attempt within the limit counts. A 200 without a body is a failure. The
+    outcome is decided without the bodies; those of the deciding attempts are then read where they
+    lie, and are in no shuffle.
     """
-    tried = log.filter(F.col("attempt").between(1, max_retries))
+    tried = with_places(log.filter(F.col("attempt").between(1, max_retries)))
     decides = is_deciding("status")
-    order = F.when(decides, F.struct("attempt", "attempted_at"))
-    body = F.when(F.col("status") == 200, F.col("body"))
+    first = F.when(decides, F.struct("attempt", "attempted_at", PLACE))
+    has_body = F.coalesce(F.col("body"), F.lit("")) != ""
     per_url = tried.groupBy(*keys).agg(
-        F.min_by(F.struct("attempt", "status", body.alias("body")), order).alias("first"),
+        F.min_by(F.struct("attempt", "attempted_at", "status", has_body.alias("has_body"), PLACE), first).alias("first"),
         F.max("attempt").alias("last_attempt"),
         F.max_by("error", F.struct("attempt", "attempted_at")).alias("last_error"),
         F.max_by("status", F.struct("attempt", "attempted_at")).alias("last_status"),
     )
     status = F.col("first.status")
-    has_body = F.coalesce(F.col("first.body"), F.lit("")) != ""
-    ok = F.coalesce((status == 200) & has_body, F.lit(False))
+    ok = F.coalesce((status == 200) & F.col("first.has_body"), F.lit(False))
     reason = (
         F.when(ok, F.lit("ok"))
         .when(status == 200, F.lit("empty body"))
@@ -53,13 +56,26 @@ def fetch_outcomes(
             )
         )
     )
-    return per_url.select(
-        *keys,
-        F.when(ok, F.lit("ok")).otherwise(F.lit("failed")).alias("outcome"),
-        reason.alias("reason"),
-        F.coalesce("first.attempt", "last_attempt").alias("attempts"),
-        F.when(ok, F.col("first.body")).alias("html"),
+    decided = cut(
+        per_url.select(
+            *keys,
+            F.when(ok, F.lit("ok")).otherwise(F.lit("failed")).alias("outcome"),
+            reason.alias("reason"),
+            F.coalesce("first.attempt", "last_attempt").alias("attempts"),
+            F.col("first.attempted_at").alias("attempted_at"),
+            F.col(f"first.{PLACE}").alias(PLACE),
+        )
+    )
+
+    def bodies(rows: DataFrame) -> DataFrame:
+        won = F.lit("ok")
+        return rows.select(*keys, won.alias("outcome"), won.alias("reason"), F.col("attempt").alias("attempts"), F.col("body").alias("html"))
+
+    failed = decided.filter("outcome = 'failed'").select(
+        *keys, "outcome", "reason", "attempts", F.lit(None).cast("string").alias("html")
     )
+    winners = decided.filter("outcome = 'ok'").withColumn("attempt", F.col("attempts"))
+    return read_at(tried, winners, bodies, by=(*keys, "attempt", "attempted_at")).unionByName(failed)
 
 
 def failed_fetches(outcomes: DataFrame) -> DataFrame:

@@ -34,11 +34,13 @@ def current_items(
 
 
 def new_versions(
-    records: DataFrame, current: DataFrame, fields: tuple[str, ...] = ITEM_FIELDS
+    records: DataFrame, current: DataFrame, fields: tuple[str, ...] = ITEM_FIELDS,
+    top: int | None = None,
 ) -> DataFrame:
     """The rows to append for a batch of records: one per URL, with its old or a new id.
 
-    New ids continue after the highest one in the order of first arrival (`seq`).
+    New ids continue after the highest one, `top`, in the order of first arrival (`seq`). `current`
+    may hold the URLs of the records only if `top` is given.
     """
     latest = records.groupBy("url").agg(
         F.min("seq").alias("_first"),
@@ -47,7 +49,8 @@ def new_versions(
         ),
     )
     matched = cut(latest.join(current.select("url", "id"), "url", "left"))
-    top = current.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0]
+    if top is None:
+        top = current.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0]
     added = number_rows(matched.filter(F.col("id").isNull()), "_first", out="_n")
     added = added.withColumn("id", F.lit(top) + F.col("_n")).drop("_n")
     known = matched.filter(F.col("id").isNotNull())

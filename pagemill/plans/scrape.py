@@ -1,8 +1,9 @@
 """One run: requests and fetched pages in, one outcome row per request out.
 
-The HTML is not shuffled. Pages are parsed and hashed where they are scanned, and what leaves the
-parser is narrow: a record per page version, written once. Requests choose their version by time,
-and the gates run on narrow rows (keys, times, flags, hashes).
+The HTML is not shuffled, and only what the run needs of it is read. Requests choose their page
+version by URL and time alone. The bodies of these versions are read for their hash, the gates run
+on narrow rows (keys, times, flags, hashes), and only pages that a request behind the gates asks
+for are parsed, in a second read of just their rows (`sources.places`).
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pagemill.operators.ordering import with_latest_mark
 from pagemill.operators.robots import robots_allowed
 from pagemill.schemas import ITEM_FIELDS, item_defect
 from pagemill.session import cut, look_up
+from pagemill.sources.places import PLACE, read_at, with_places
 from pagemill.sources.tables import has_body
 
 ORDER = ("arrived_at", "seq")
@@ -105,36 +107,47 @@ def scrape(
     """
     settings = settings or Settings()
     asked = _asked(requests, settings, robots)
-    records = cut(_records(pages, replies))
-    if "fetched_at" in pages.columns:
-        asked = _with_version(asked, records)
-        on = ["url", "use_ai", *VERSION]
-    else:
-        on = ["url", "use_ai"]
-    done = asked.join(records, on, "left").drop(*VERSION)
-    done = done.withColumns(
-        {
-            "parsed": F.col("title").isNotNull(),
-            "fetched": F.col("allowed") & F.coalesce("has_body", F.lit(False)),
-        }
-    )
+    version = VERSION if "fetched_at" in pages.columns else ()
+    pages = with_places(pages.withColumnRenamed("seq", "version_seq") if version else pages)
+    on = ["url", *version]
+    wanted = cut(pages.select(*on, PLACE).join(cut(asked.select("url").distinct()), "url", "left_semi"))
+    if version:
+        asked = cut(_with_version(asked, wanted))
+        wanted = cut(wanted.join(cut(asked.select(*on).distinct()), on, "left_semi"))
+    done = cut(_with_heads(asked, _heads(pages, wanted, on), on, replies is not None))
+
+    def read(rows: DataFrame) -> DataFrame:
+        return _fields(pages, rows, on, replies)
+
     if settings.incremental:
-        done = _with_changed(cut(done), settings, stored_hashes)
-        skipped = F.when(
-            F.col("fetched") & ~F.col("force") & ~F.col("changed"), F.lit("skipped_unchanged")
-        )
+        done = cut(_with_changed(done, settings, stored_hashes).withColumn("late", F.lit(False)))
+        skips = F.col("fetched") & ~F.col("force") & ~F.col("changed")
+        skipped = F.when(skips, F.lit("skipped_unchanged"))
+        fields = read(done.filter("fetched and (force or changed)"))
     else:
-        done = done.withColumns(
+        # Whether a forced request marks its key depends on its page being parsed; no other does.
+        forced = done.filter("fetched and force")
+        fields = None if forced.isEmpty() else cut(read(forced))
+        done = _with_parsed(done, fields, on).withColumns(
             {"content_sha1": F.lit(None).cast("string"), "changed": F.lit(None).cast("boolean")}
         )
         if settings.dedup_ttl_sec is None:
             done = look_up(done, _key_marks(done, seen), "url_key")
             passed = F.struct(*ORDER) > F.col("first_mark")
             late = F.col("was_seen") | F.coalesce(passed, F.lit(False))
+            done = cut(done.withColumn("late", late).drop("was_seen", "first_mark"))
         else:
-            done = _with_expiring_marks(cut(done), seen, settings.dedup_ttl_sec)
-            late = F.col("late")
-        skipped = F.when(~F.col("force") & late, F.lit("skipped_duplicate"))
+            done = cut(_with_expiring_marks(cut(done), seen, settings.dedup_ttl_sec))
+        skipped = F.when(~F.col("force") & F.col("late"), F.lit("skipped_duplicate"))
+        rest = done.filter("fetched and not force and not late")
+        if fields is None:
+            fields = read(rest)
+        else:
+            page = [*on, "use_ai"]
+            fields = fields.unionByName(read(rest.join(fields.select(*page), page, "left_anti")))
+        done = done.drop("parsed")
+    done = done.join(cut(fields), [*on, "use_ai"], "left").drop(*version, PLACE)
+    done = done.withColumn("parsed", F.col("title").isNotNull())
     success = "updated" if settings.incremental else "ok"
     status = F.coalesce(
         skipped,
@@ -230,29 +243,58 @@ def _with_changed(
     return done.join(flagged.select(*on, "changed"), on, "left")
 
 
-def _records(pages: DataFrame, replies: DataFrame | None) -> DataFrame:
-    """(url, use_ai, has_body, content_sha1, fields) per page, with its version if pages have one."""
-    versioned = "fetched_at" in pages.columns
-    version = [F.col("fetched_at"), F.col("seq").alias("version_seq")] if versioned else []
-    bodies = pages.select(
-        "url", *version, has_body().alias("has_body"), content_sha1("html").alias("content_sha1"), "html"
-    )
-    kept = ["url", *(VERSION if versioned else ()), "has_body", "content_sha1"]
-    records = extract_records(bodies).select(*kept, F.lit(False).alias("use_ai"), *ITEM_FIELDS)
-    if replies is not None:
-        by_model = extract_from_replies(bodies.select(*kept), replies)
-        records = records.unionByName(
-            by_model.select(*kept, F.lit(True).alias("use_ai"), *ITEM_FIELDS)
-        )
-    # Rows of one version: any of equal rows, else the one of least hash.
-    one = [name for name in kept if name not in ("has_body", "content_sha1")]
-    rest = ["has_body", "content_sha1", *ITEM_FIELDS]
+def _heads(pages: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """(url, version, has_body, content_sha1, place) of each page version at the places `wanted`.
+
+    Of several rows of a version it is the one of least hash.
+    """
+
+    def work(rows: DataFrame) -> DataFrame:
+        return rows.select(*on, PLACE, has_body().alias("has_body"), content_sha1("html").alias("content_sha1"))
+
+    rows = read_at(pages, wanted.select(PLACE), work)
     order = F.struct(F.col("content_sha1").isNull(), "content_sha1")
-    return (
-        records.groupBy(*one, "use_ai")
-        .agg(F.min_by(F.struct(*rest), order).alias("row"))
-        .select(*one, "use_ai", *[F.col(f"row.{name}").alias(name) for name in rest])
-    )
+    head = F.min_by(F.struct("has_body", "content_sha1", PLACE), order).alias("head")
+    return rows.groupBy(*on).agg(head).select(*on, "head.*")
+
+
+def _with_heads(asked: DataFrame, heads: DataFrame, on: list[str], by_model: bool) -> DataFrame:
+    """The requests with the head of their page, and whether it counts as fetched.
+
+    Without replies, a request that is to be read by the model has no page.
+    """
+    readable = ~F.col("use_ai") | F.lit(by_model)
+    has_one = F.col("allowed") & readable & F.coalesce("has_body", F.lit(False))
+    done = asked.join(cut(heads), on, "left")
+    return done.withColumns(
+        {"fetched": has_one, "content_sha1": F.when(readable, F.col("content_sha1"))}
+    ).drop("has_body", "allowed")
+
+
+def _fields(pages: DataFrame, rows: DataFrame, on: list[str], replies: DataFrame | None) -> DataFrame:
+    """(url, version, use_ai, item fields) for the pages of these requests, one row per page.
+
+    Only their rows of `pages` are parsed; a request for the model takes the reply instead.
+    """
+    chosen = cut(rows.select(*on, "use_ai", PLACE).distinct())
+
+    def parse(bodies: DataFrame) -> DataFrame:
+        return extract_records(bodies.select(*on, "html")).select(*on, F.lit(False).alias("use_ai"), *ITEM_FIELDS)
+
+    records = read_at(pages, chosen.filter("not use_ai").select(PLACE), parse)
+    if replies is not None:
+        by_model = extract_from_replies(chosen.filter("use_ai").select(*on), replies)
+        records = records.unionByName(by_model.select(*on, F.lit(True).alias("use_ai"), *ITEM_FIELDS))
+    one = F.min(F.struct(F.col("title").isNull(), *ITEM_FIELDS)).alias("row")
+    return records.groupBy(*on, "use_ai").agg(one).select(*on, "use_ai", *[F.col(f"row.{x}").alias(x) for x in ITEM_FIELDS])
+
+
+def _with_parsed(done: DataFrame, fields: DataFrame | None, on: list[str]) -> DataFrame:
+    """Add `parsed`: the page has been read, and has a title."""
+    if fields is None:
+        return done.withColumn("parsed", F.lit(False))
+    titled = fields.filter("title is not null").select(*on, "use_ai", F.lit(True).alias("parsed"))
+    return done.join(titled, [*on, "use_ai"], "left").withColumn("parsed", F.coalesce("parsed", F.lit(False)))
 
 
 def _with_expiring_marks(done: DataFrame, seen: DataFrame | None, ttl: int) -> DataFrame:
@@ -312,12 +354,15 @@ def run_requests(
     replies: DataFrame | None = None,
 ) -> Mapping[str, DataFrame]:
     """Run a batch against a `CrawlStore` and write all its tables; safe to repeat."""
+    store.compact_due(batch_id)
+    keys = cut(with_key(requests).select("url_key").distinct())
+    incremental = settings is not None and settings.incremental
     run = scrape(
         requests,
         pages,
         settings,
-        seen=store.seen.read(before=batch_id),
-        stored_hashes=store.current_content_state(before=batch_id),
+        seen=None if incremental else store.seen.matching(keys, before=batch_id),
+        stored_hashes=store.current_content_state(before=batch_id, keys=keys) if incremental else None,
         robots=robots,
         replies=replies,
     )

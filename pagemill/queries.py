@@ -30,12 +30,13 @@ from pagemill.operators.select import element, page_text, within
 from pagemill.plans.catalog import crawl_catalog
 from pagemill.plans.local import run_batch, run_site
 from pagemill.plans.scrape import scrape
-from pagemill.schemas import CONTENT_STATE, item_defect
+from pagemill.schemas import item_defect
 from pagemill.session import shared_folder
 from pagemill.sources.stores import BatchTable, CrawlStore, ItemStore
 from pagemill.sources.tables import stream_table, without_body
 from pagemill.streaming import first_seen as seen_stream
 from pagemill.streaming import routing, stateful
+from pagemill.streaming.attempts import crawls_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1268,22 +1269,25 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/pagemill-{uuid4().hex}"
 
 
-#: The landed slices of a stream, each a micro-batch of its own.
-SLICES = ("2024-01-08", "2024-01-18")
+#: Landed rows are streamed in so many micro-batches, and a file has about so many rows.
+SLICES, FILE_ROWS = 3, 1_000_000
 
 
 def land(rows: DataFrame, ts: str, path: str) -> DataFrame:
-    """Land rows in slices of time, one file each, and stream them file by file."""
-    bounds = [None, *SLICES, None]
-    for low, high in zip(bounds, bounds[1:]):
-        part = rows
-        if low is not None:
-            part = part.filter(F.col(ts) >= F.lit(low).cast("timestamp"))
-        if high is not None:
-            part = part.filter(F.col(ts) < F.lit(high).cast("timestamp"))
-        part.coalesce(1).write.mode("append").parquet(path)
+    """Land rows in slices of time, and stream them slice by slice.
+
+    The bounds come from the data, so that slices have about as many rows, and as many files, each;
+    rows without a time are in the first.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    shares = F.array(*[F.lit(n / SLICES) for n in range(1, SLICES)])
+    bounds, n = rows.agg(F.percentile_approx(at, shares), F.count("*")).first()
+    files = 1 + n // (SLICES * FILE_ROWS)
+    reached = F.filter(F.array(*map(F.lit, bounds or [])), lambda x: F.coalesce(x <= at, F.lit(False)))
+    for slice_no in range(SLICES):
+        rows.filter(F.size(reached) == slice_no).repartition(files).write.mode("append").parquet(path)
     ddl = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in rows.schema)
-    return stream_table(rows.sparkSession, path, ddl, files_per_trigger=1)
+    return stream_table(rows.sparkSession, path, ddl, files_per_trigger=files)
 
 
 def streamed_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1298,6 +1302,20 @@ def streamed_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Seconds without an attempt that end a crawl, and by which landed slices may overlap.
+DAY, LATE = 86_400, 100 * 86_400
+
+
+def land_log(log: DataFrame, path: str) -> DataFrame:
+    """Land a fetch log, and behind it a row of no attempt that lets the last crawls end."""
+    stateful.use_rocksdb(log.sparkSession)
+    stream = land(log, "attempted_at", path)
+    end = log.agg(F.max("attempted_at").alias("at")).select((F.col("at") + F.make_dt_interval(F.lit(2 * LATE // DAY))).alias("attempted_at"))
+    tick = end.withColumns({"url": F.lit(""), "attempt": F.lit(0)})
+    log.limit(0).unionByName(tick, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(path)
+    return stream
+
+
 def finish(writer, folder: str) -> None:
     running = writer.option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True)
     started = running.start()
@@ -1309,7 +1327,7 @@ def finish(writer, folder: str) -> None:
 @query(f"WITH {VISIT_SQL} SELECT url_key, min(seq) AS seq FROM visits GROUP BY url_key")
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark)
-    seen = BatchTable(spark, f"{folder}/seen", "url_key string, seen_at timestamp")
+    seen = CrawlStore(spark, folder).seen
     passed = BatchTable(
         spark, f"{folder}/passed", "url_key string, arrived_at timestamp_ntz, seq long"
     )
@@ -1331,7 +1349,7 @@ def stream_ttl_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(TTL_SQL)
 def stream_ttl_first_seen_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark)
-    seen = BatchTable(spark, f"{folder}/seen", "url_key string, seen_at timestamp")
+    seen = CrawlStore(spark, folder).seen
     passed = BatchTable(
         spark, f"{folder}/passed", "url_key string, arrived_at timestamp_ntz, seq long"
     )
@@ -1361,7 +1379,7 @@ def stream_changed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dedup.with_key(streamed_visits(spark, sf_dir)).select(
         "url_key", repeated_hash(), F.col("arrived_at").alias("fetched_at"), "seq"
     )
-    state = BatchTable(spark, f"{folder}/state", CONTENT_STATE)
+    state = CrawlStore(spark, folder).content_state
     flagged = BatchTable(
         spark, f"{folder}/flagged",
         "url_key string, content_sha1 string, fetched_at timestamp_ntz, seq long, changed boolean",
@@ -1424,10 +1442,24 @@ SELECT 'pagemill.scrape' AS task, url, concat('FetchError(''Fetch failed: ', url
 FROM outcomes WHERE outcome = 'failed'"""
 )
 def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attempts land as files and are streamed; URLs without a page end as dead letters."""
+    """Attempts land as files and are streamed; crawls without a page end as dead letters."""
     folder = scratch(spark)
     store = CrawlStore(spark, f"{folder}/store")
-    stream = land(attempts(spark, sf_dir), "attempted_at", f"{folder}/log")
-    finish(routing.attempts_stream(stream, store, NO_EXPIRY), folder)
-    routing.settle_attempts(store, len(SLICES) + 1, NO_EXPIRY)
+    stream = land_log(attempts(spark, sf_dir), f"{folder}/log")
+    finish(routing.attempts_stream(stream, store, NO_EXPIRY, DAY, LATE), folder)
     return store.dead_letters.read().select("task", "url", "error")
+
+
+@query(
+    f"""
+WITH {ATTEMPT_SQL}
+SELECT regexp_replace(o.url, '/[^/]*$', '') AS url, a.seq, o.attempts, o.html
+FROM outcomes o JOIN attempts a ON a.url = o.url AND a.attempt = 1"""
+)
+def stream_recrawl_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A URL per user, crawled anew every day: each crawl has an outcome of its own."""
+    folder = scratch(spark)
+    log = attempts(spark, sf_dir).withColumn("url", F.regexp_replace("url", "/[^/]*$", ""))
+    crawls = crawls_stream(land_log(log, f"{folder}/log"), 3, DAY, LATE)
+    finish(crawls.writeStream.format("parquet").option("path", f"{folder}/out"), folder)
+    return spark.read.schema(crawls.schema).parquet(f"{folder}/out").drop("arrived_at")

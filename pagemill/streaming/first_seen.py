@@ -23,7 +23,8 @@ def first_seen_stream(
     """Write the rows that pass the gate, batch by batch; the seen table is the state.
 
     `requests` has url_key, `ts`, `seq`. Marks never expire, or do so after `ttl_sec`. A batch
-    reads the marks of the batches before it, so a batch that runs again gives the same rows.
+    reads the marks that earlier batches left on its keys, so a batch that runs again gives the
+    same rows.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -31,12 +32,14 @@ def first_seen_stream(
             route(batch, batch_id)
 
     def route(batch: DataFrame, batch_id: int) -> None:
-        marks = seen.read(before=batch_id)
+        batch = cut(batch)
+        seen.compact_due(batch_id)
+        marks = seen.matching(batch, before=batch_id)
         if ttl_sec is None:
             rows = first_seen(batch, marks, ts=ts, seq=seq)
         else:
             marks = marks.withColumnRenamed("seen_at", ts)
-            rows = ttl_first_seen(cut(batch), ttl_sec, ts=ts, seq=seq, marked=marks)
+            rows = ttl_first_seen(batch, ttl_sec, ts=ts, seq=seq, marked=marks)
         passed.write(rows, batch_id)
         new = passed.read_batch(batch_id).select(
             "url_key", F.col(ts).cast("timestamp").alias("seen_at")
@@ -57,8 +60,9 @@ def changed_stream(
             route(batch, batch_id)
 
     def route(batch: DataFrame, batch_id: int) -> None:
-        stored = latest_hashes(state.read(before=batch_id, keep_batch=True))
         rows = cut(batch.select("url_key", "content_sha1", ts, seq))
+        state.compact_due(batch_id)
+        stored = latest_hashes(state.matching(rows, before=batch_id, keep_batch=True))
         flagged.write(content_changed_ttl(rows, ttl_sec, stored, ts=ts, seq=seq), batch_id)
         state.write(content_state(flagged.read_batch(batch_id), ts=ts, seq=seq), batch_id)
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from pagemill.config import Settings
-from pagemill.operators.fetchlog import fetch_outcomes, is_deciding
 from pagemill.plans.scrape import run_requests
 from pagemill.session import cut, tables_of_run
-from pagemill.sources.stores import BatchTable, CrawlStore, ItemStore
+from pagemill.sources.stores import CrawlStore, ItemStore
+from pagemill.streaming.attempts import GAP_SEC, LATE_SEC, crawls_stream
 
 
 def upsert_stream(records: DataFrame, items: ItemStore) -> DataStreamWriter:
@@ -50,69 +50,23 @@ def routed_stream(
 ATTEMPTS = "url string, attempt int, status int, error string, body string, attempted_at timestamp, seq long"
 
 
-def _open_attempts(store: CrawlStore) -> BatchTable:
-    """After each batch, the attempts of the URLs that are not settled."""
-    return BatchTable(store.spark, f"{store.path}/open_attempts", ATTEMPTS)
-
-
-def _settled(store: CrawlStore) -> BatchTable:
-    return BatchTable(store.spark, f"{store.path}/settled", "url string")
-
-
 def attempts_stream(
-    log: DataFrame, store: CrawlStore, settings: Settings | None = None
+    log: DataFrame, store: CrawlStore, settings: Settings | None = None,
+    gap_sec: float = GAP_SEC, late_sec: float = LATE_SEC,
 ) -> DataStreamWriter:
     """Fetch-log rows, which may come in any batches, into the same tables.
 
-    A URL is settled once its attempts up to the deciding one, or up to the last allowed one, are
-    all there; until then they wait in a table of the store. A URL whose attempts give no page
-    becomes one dead letter. `log` has a `seq` besides the columns of the fetch log. URLs that
-    are still open when the log has ended are settled by `settle_attempts`.
+    Each crawl of a URL is one request and the page it got, if any, so a URL that is crawled again
+    has another outcome, and a crawl without a page is a dead letter. `log` has the columns of
+    ATTEMPTS. A crawl whose attempts stay away is closed by a timer, `gap_sec` after its last one.
     """
     limits = settings or Settings()
 
     def route(batch: DataFrame, batch_id: int) -> None:
         with tables_of_run(batch.sparkSession):
-            names = [field.split()[0] for field in ATTEMPTS.split(", ")]
-            body = F.when(F.col("status") == 200, F.col("body"))
-            landed = batch.withColumn("body", body).select(names)
-            before = _open_attempts(store).read_batch(batch_id - 1).select(names)
-            tried = landed.filter(F.col("attempt").between(1, limits.max_retries))
-            done = _settled(store).read(before=batch_id)
-            rows = cut(before.unionByName(tried).join(done, "url", "left_anti"))
-            first = F.min(F.when(is_deciding("status"), F.col("attempt")))
-            upto = F.coalesce(first, F.lit(limits.max_retries))
-            numbers = F.collect_set("attempt")  # at most max_retries of them
-            ready = (
-                rows.groupBy("url")
-                .agg(upto.alias("upto"), numbers.alias("numbers"))
-                .filter(F.size(F.filter("numbers", lambda n: n <= F.col("upto"))) == F.col("upto"))
-                .select("url")
-            )
-            ready = cut(ready)
-            _open_attempts(store).write(rows.join(ready, "url", "left_anti"), batch_id)
-            _settled(store).write(ready, batch_id)
-            _run_attempts(rows.join(ready, "url", "left_semi"), store, batch_id, limits)
-
-    return log.writeStream.foreachBatch(route)
-
-
-def settle_attempts(store: CrawlStore, batch_id: int, settings: Settings | None = None) -> None:
-    """Settle what is still open after the last batch of a log, as one more batch."""
-    limits = settings or Settings()
-    with tables_of_run(store.spark):
-        rows = cut(_open_attempts(store).read_batch(batch_id - 1))
-        _open_attempts(store).write(rows.limit(0), batch_id)
-        _settled(store).write(rows.select("url").distinct(), batch_id)
-        _run_attempts(rows, store, batch_id, limits)
-
-
-def _run_attempts(rows: DataFrame, store: CrawlStore, batch_id: int, limits: Settings) -> None:
-    pages = fetch_outcomes(rows, limits.max_retries).select("url", "html")
-    requests = rows.groupBy("url").agg(
-        F.min("attempted_at").alias("arrived_at"), F.min("seq").alias("seq")
-    )
-    requests = requests.select(
-        "url", F.lit(False).alias("force"), F.lit(False).alias("use_ai"), "arrived_at", "seq"
-    )
-    run_requests(store, requests, pages, batch_id, limits)
+            crawls = cut(batch)
+            pages = crawls.select("url", "html", F.col("arrived_at").alias("fetched_at"), "seq")
+            forms = [F.lit(False).alias("force"), F.lit(False).alias("use_ai")]
+            run_requests(store, crawls.select("url", *forms, "arrived_at", "seq"), pages, batch_id, limits)
+
+    return crawls_stream(log, limits.max_retries, gap_sec, late_sec).writeStream.foreachBatch(route)

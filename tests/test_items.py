@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pagemill.operators import items, report
 from pagemill.schemas import DEAD_LETTER
 from pagemill.schemas import item_defect
+from pagemill.sources import stores
 from pagemill.sources.stores import CrawlStore, ItemStore
 
 T0 = datetime(2024, 1, 1)
@@ -49,6 +51,72 @@ def test_upserts_keep_ids_and_the_latest_version(spark, tmp_path):
     assert items.count_items(store.current()).first()[0] == 5
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def seen_store(spark, tmp_path, n=600):
+    store = CrawlStore(spark, str(tmp_path)).seen
+    marks = spark.range(n).select(F.sha1(F.col("id").cast("string")).alias("url_key"), F.lit(T0).alias("seen_at"))
+    store.write(marks, 0)
+    store.compact(0)
+    return store, marks.select("url_key")
+
+
+def test_few_keys_open_only_their_buckets(spark, tmp_path):
+    store, keys = seen_store(spark, tmp_path)
+    # Off, the plan shows the buckets; on, they are passed over all the same.
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", False)
+    try:
+        found = store.matching(keys.limit(2).unionByName(keys.limit(2)))
+        assert found.count() == 2
+        assert re.search(r"SelectedBucketsCount: [12] out of 64", plan_of(found))
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+
+
+def test_many_keys_meet_the_snapshot_where_it_lies(spark, tmp_path, monkeypatch):
+    store, keys = seen_store(spark, tmp_path)
+    monkeypatch.setattr(stores, "FEW_KEYS", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = store.matching(keys.limit(500).unionByName(spark.createDataFrame([("new",)], "url_key string")))
+        assert found.count() == 500
+        plan = plan_of(found)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The snapshot's side of the join has no exchange; the batches behind it are a scan of their own.
+    join = plan[plan.index("SortMergeJoin"):]
+    left = join[: join.index("Exchange")]
+    assert "Bucketed: true" in left or "SelectedBucketsCount: 64 out of 64" in left
+
+
+def test_batches_fold_themselves(spark, tmp_path):
+    store = ItemStore(spark, str(tmp_path))
+    want = {}
+    for batch in range(10):
+        rows = [("hot", f"h{batch}", batch, 3 * batch), (f"u{batch % 4}", f"v{batch}", batch, 3 * batch + 1), (f"n{batch}", "n", batch, 3 * batch + 2)]
+        for _ in range(2 if batch in (8, 9) else 1):
+            store.upsert(records(spark, *rows), batch)
+        for url, title, *_ in rows:
+            want[url] = (want.get(url, (len(want) + 1, ""))[0], title)
+    assert table(store.current()) == want
+    last = store.versions._last_snapshot(None)
+    assert (last["upto"], last["buckets"], last["top"]) == (7, 64, max(n for n, _ in (want[u] for u in want if u not in ("n8", "n9"))))
+    # Each batch reads, besides the snapshot, what came after it.
+    assert store.versions._layers(9)[1].select("batch_id").distinct().count() == 1
+
+
+def test_a_snapshot_that_was_cut_short_is_not_read(spark, tmp_path):
+    store, keys = seen_store(spark, tmp_path, 20)
+    store.write(spark.createDataFrame([("late", T0)], "url_key string, seen_at timestamp"), 1)
+    name = store._snapshot_table(1, 8)
+    spark.createDataFrame([("half", T0)], "url_key string, seen_at timestamp").write.insertInto(name, overwrite=True)
+    assert store.read().count() == 21
+    store.compact(1)
+    assert store.read().count() == 21 and store.matching(keys).count() == 20
+
+
 def test_a_tie_in_time_is_decided_by_seq(spark, tmp_path):
     store = ItemStore(spark, str(tmp_path))
     store.upsert(records(spark, ("a", "first", 1, 1), ("a", "second", 1, 2)), 0)

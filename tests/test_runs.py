@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import random
 import re
+from dataclasses import astuple
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
@@ -11,14 +13,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.config import Settings
+from pagemill.operators.extract import extract_records
 from pagemill.operators.ordering import number_rows
 from pagemill.plans import scrape as scrape_plan
 from pagemill.plans.catalog import as_requests
 from pagemill.plans.scrape import scrape
 from pagemill.session import cut, shared_folder, tables_of_run
+from pagemill.sources import places
+from pagemill.sources.places import PLACE, with_places
 from pagemill.sources.stores import CrawlStore, latest_hashes
 from pagemill.sources.tables import stream_table
 from pagemill.streaming import routing
+from pagemill.streaming.attempts import Attempt, Crawl, settle
 
 T0 = datetime(2024, 1, 1)
 LANDED = "url string, html string, force boolean, use_ai boolean, arrived_at timestamp, seq long"
@@ -31,9 +37,10 @@ def finish(writer, folder):
     assert query.exception() is None
 
 
-def land(spark, rows, schema, folder):
-    for row in rows:
-        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(folder)
+def land(spark, rows, schema, folder, each=1):
+    """A file for every `each` rows, in order."""
+    for at in range(0, len(rows), each):
+        spark.createDataFrame(rows[at : at + each], schema).coalesce(1).write.mode("append").parquet(folder)
 
 
 def test_no_folder_on_a_cluster_is_an_error():
@@ -58,7 +65,7 @@ def test_tables_of_a_run_go_with_it(spark):
 def test_routed_rows_do_not_depend_on_the_trigger(spark, tmp_path, files, incremental):
     bodies = ["<h1>a</h1>", "<h1>b</h1>", "<h1>b</h1>", "", "<p>none</p>"]
     rows = [("u", b, False, False, T0 + timedelta(minutes=i), i) for i, b in enumerate(bodies)]
-    land(spark, rows, LANDED, f"{tmp_path}/in")
+    land(spark, rows, LANDED, f"{tmp_path}/in", each=2)
     store = CrawlStore(spark, f"{tmp_path}/store")
     settings = Settings(incremental=incremental, dedup_ttl_sec=None)
     stream = stream_table(spark, f"{tmp_path}/in", LANDED, files_per_trigger=files)
@@ -71,24 +78,76 @@ def test_routed_rows_do_not_depend_on_the_trigger(spark, tmp_path, files, increm
     assert store.dead_letters.read().count() == (1 if incremental else 0)
 
 
+def minute(n):
+    return T0 + timedelta(minutes=n)
+
+
 @pytest.mark.parametrize("files", [1, 1000])
 def test_attempts_are_settled_across_batches(spark, tmp_path, files):
     rows = [
-        ("a", 1, 503, None, None, T0, 0), ("b", 1, None, "timeout", None, T0, 1),
-        ("c", 2, 200, None, "<h1>c</h1>", T0, 2), ("a", 2, 200, None, "<h1>a</h1>", T0, 3),
-        ("b", 2, 503, None, None, T0, 4), ("d", 1, 404, None, None, T0, 5), ("c", 1, 429, None, None, T0, 6),
-        ("b", 3, 500, None, None, T0, 7), ("a", 3, 200, None, "<h1>late</h1>", T0, 8), ("e", 1, 503, None, None, T0, 9),
+        ("a", 1, 503, None, None, minute(0), 0), ("b", 1, None, "timeout", None, minute(0), 1),
+        ("c", 2, 200, None, "<h1>c</h1>", minute(2), 2), ("a", 2, 200, None, "<h1>a</h1>", minute(3), 3),
+        ("b", 2, 503, None, None, minute(4), 4), ("d", 1, 404, None, None, minute(5), 5), ("c", 1, 429, None, None, minute(1), 6),
+        ("b", 3, 500, None, None, minute(7), 7), ("a", 3, 200, None, "<h1>late</h1>", minute(8), 8), ("e", 1, 503, None, None, minute(9), 9),
     ]
-    land(spark, rows, routing.ATTEMPTS, f"{tmp_path}/log")
+    land(spark, rows, routing.ATTEMPTS, f"{tmp_path}/log", each=4)
     store = CrawlStore(spark, f"{tmp_path}/store")
-    stream = stream_table(spark, f"{tmp_path}/log", routing.ATTEMPTS, files_per_trigger=files)
-    finish(routing.attempts_stream(stream, store, NO_EXPIRY), tmp_path / "offsets")
+
+    def go_on():
+        stream = stream_table(spark, f"{tmp_path}/log", routing.ATTEMPTS, files_per_trigger=files)
+        finish(routing.attempts_stream(stream, store, NO_EXPIRY, gap_sec=3_600, late_sec=7_200), tmp_path / "offsets")
+
+    go_on()
     assert sorted(r.url for r in store.dead_letters.read().collect()) == ["b", "d"]
-    routing.settle_attempts(store, 10 if files == 1 else 1, NO_EXPIRY)
+    # The clock moves on: what is open is closed, and the rest of a decided crawl is none.
+    land(spark, [("z", 0, None, None, None, T0 + timedelta(days=2), 10)], routing.ATTEMPTS, f"{tmp_path}/log")
+    go_on()
     assert sorted(r.url for r in store.dead_letters.read().collect()) == ["b", "d", "e"]
     assert sorted((r.url, r.title) for r in store.items.current().collect()) == [("a", "a"), ("c", "c")]
 
 
+def test_a_url_is_crawled_again(spark, tmp_path):
+    rows = [
+        ("u", 1, 200, None, "<h1>old</h1>", T0, 0),
+        ("u", 1, 503, None, None, T0 + timedelta(days=60), 1), ("u", 2, 200, None, "<h1>new</h1>", T0 + timedelta(days=60, minutes=1), 2),
+        ("u", 1, 404, None, None, T0 + timedelta(days=61), 3),
+    ]
+    land(spark, rows, routing.ATTEMPTS, f"{tmp_path}/log", each=2)
+    store = CrawlStore(spark, f"{tmp_path}/store")
+    stream = stream_table(spark, f"{tmp_path}/log", routing.ATTEMPTS, files_per_trigger=1)
+    finish(routing.attempts_stream(stream, store, Settings(incremental=True)), tmp_path / "offsets")
+    assert sorted(r.status for r in store.results.read().collect()) == ["updated", "updated"]
+    assert [r.title for r in store.items.current().collect()] == ["new"]
+    assert store.dead_letters.read().count() == 1
+
+
+def test_crawls_of_shuffled_attempts():
+    """However the attempts are dealt into batches, each crawl comes out once."""
+    rng = random.Random(3)
+    for _ in range(400):
+        want, rows, at = [], [], 0
+        for seq in range(0, 40, 10):
+            n, kind = rng.choice([1, 2, 3]), rng.choice(["page", "gone", "open"])
+            n = 3 if kind == "open" else n
+            first = at
+            for number in range(1, n + 1):
+                last = number == n and kind != "open"
+                rows.append(Attempt(at, seq + number, number, last, "x" if last and kind == "page" else None))
+                at += rng.randrange(1, 50)
+            want.append(Crawl(first, seq + 1, n, "x" if kind == "page" else None))
+            rows += [Attempt(at, seq + 9, n + 1, True, "late")] if n < 3 and rng.random() < 0.3 else []
+            at += rng.randrange(150, 300)
+        rng.shuffle(rows)
+        got, waiting, spans = [], [], []
+        while rows:
+            k = rng.randrange(1, 4)
+            batch, rows = rows[:k] + rng.sample(rows[:k], 1), rows[k:]
+            done, waiting, spans = settle(waiting + batch, spans, 3, 100)
+            got += done
+        done, waiting, _ = settle(waiting, spans, 3, 100, closed_before=1 << 40)
+        assert sorted(map(astuple, got + done), key=str) == sorted(map(astuple, want), key=str) and not waiting
+
+
 def test_each_request_sees_its_version(spark):
     pages = [("u", f"<h1>v{m}</h1>", T0 + timedelta(minutes=m), m) for m in (0, 10, 20)]
     asked = [("u", True, False, T0 + timedelta(minutes=m), m) for m in (0, 1, 10, 15, 25)]
@@ -114,17 +173,60 @@ def test_marks_of_earlier_runs_expire(spark):
     assert [r.status for r in again.collect()] == ["ok"]
 
 
-def test_no_shuffle_carries_html(spark):
+def formatted(spark, df):
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)
+
+
+def test_no_shuffle_carries_html(spark, tmp_path):
     pages = spark.range(50).select(F.col("id").cast("string").alias("url"), F.lit("<h1>t</h1>").alias("html"))
-    plan = scrape_plan._records(pages, None)._jdf.queryExecution().executedPlan().toString()
-    exchanges = re.findall(r"Exchange.*", plan)
-    assert exchanges
-    explained = scrape_plan._records(pages, None)._jdf.queryExecution().explainString(
-        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    pages.write.parquet(f"{tmp_path}/pages")
+    placed = with_places(spark.read.parquet(f"{tmp_path}/pages"))
+    wanted = cut(placed.select("url", PLACE))
+    heads = scrape_plan._heads(placed, wanted, ["url"])
+    fields = scrape_plan._fields(placed, wanted.withColumn("use_ai", F.lit(False)), ["url"], None)
+    for plan in (formatted(spark, heads), formatted(spark, fields)):
+        parts = [x for x in re.split(r"\n\n+", plan) if re.match(r"\(\d+\) Exchange", x)]
+        assert parts and not any("html#" in x for x in parts)
+    # Choosing the pages does not read them.
+    assert "html:string" not in formatted(spark, placed.select("url", PLACE))
+
+
+@pytest.mark.parametrize("settings", [NO_EXPIRY, Settings(), Settings(incremental=True)])
+def test_only_pages_that_are_needed_are_parsed(spark, tmp_path, monkeypatch, settings):
+    pages = spark.range(2_000).select(F.format_string("u%d", "id").alias("url"), F.format_string("<h1>t%d</h1>", "id").alias("html"))
+    pages.repartition(4).write.parquet(f"{tmp_path}/pages")
+    parsed = []
+
+    def counted(rows):
+        parsed.append(rows.count())
+        return extract_records(rows)
+
+    monkeypatch.setattr(scrape_plan, "extract_records", counted)
+    asked = [(f"u{n}", n % 5 == 0, False, T0, n) for n in range(0, 2_000, 100)]
+    asked += [(f"u{n}", False, False, minute(1), 5_000 + n) for n in range(0, 2_000, 200)]
+    requests = spark.createDataFrame(asked, "url string, force boolean, use_ai boolean, arrived_at timestamp, seq long")
+    run = scrape(requests, spark.read.parquet(f"{tmp_path}/pages"), settings)
+    assert run.items().count() == 20 and sum(parsed) == 20
+    # A second run finds all marks, or all hashes, and reads no page that is not forced.
+    parsed.clear()
+    again = [(f"u{n}", n == 100, False, minute(2), n) for n in range(0, 2_000, 100)]
+    run = scrape(
+        spark.createDataFrame(again, requests.schema), spark.read.parquet(f"{tmp_path}/pages"), settings,
+        seen=run.marks(), stored_hashes=run.outcome.filter("content_sha1 is not null").select("url_key", "content_sha1", F.col("arrived_at").alias("set_at")).distinct(),
     )
-    for part in re.split(r"\n\n+", explained):
-        if re.match(r"\(\d+\) Exchange", part):
-            assert "html#" not in part
+    assert run.items().count() == 1 and sum(parsed) == 1
+
+
+@pytest.mark.parametrize("most", [1, 7, 1_000])
+def test_rows_are_read_in_rounds(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(places, "BLOCK", 5)
+    spark.range(40).select("id", F.format_string("wide %d", "id").alias("wide")).repartition(3).write.parquet(f"{tmp_path}/t")
+    table = with_places(spark.read.parquet(f"{tmp_path}/t"))
+    chosen = cut(table.filter("id % 3 = 0").select(PLACE))
+    got = places.read_at(table, chosen, lambda rows: rows.select("id", "wide"), most=most)
+    assert sorted(r.id for r in got.collect()) == list(range(0, 40, 3))
+    assert places.read_at(table, chosen.limit(0), lambda rows: rows.select("id")).count() == 0
 
 
 def test_numbers_of_far_apart_walks_do_not_meet(spark):
