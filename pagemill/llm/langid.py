@@ -8,9 +8,13 @@ estimate the cross entropy of the text under the language; the lowest wins.
 The automata are laid out as one table, (state, letter) to (next state, whether a phrase broke),
 in which a missing transition already points to where the next phrase goes on. So a batch of
 texts is parsed against all languages at once, one table look-up for each letter and language.
+Every letter of the training text is told apart. A language has columns for its `COLUMNS` most
+frequent letters; transitions by its other letters, as scripts of thousands of signs have them, are
+looked up in a sorted list.
 
 Training text is bounded: `docs_each` documents per language, those of smallest hash of their id,
-`doc_chars` characters from each, and `total_chars` over all languages.
+`doc_chars` characters from each, and `lang_chars` of a language, however many languages there
+are. A worker's tables take up to 15 MB a language.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ from pagemill.llm.common import map_batches
 
 OUT = "doc_id long, held_out boolean, lang_pred string, score double"
 UNKNOWN = "und"
-#: Classes of letters: 0 for what is not a letter, the last for rare letters.
-CLASSES = 64
+#: Letters of a language that have a column of the table; column 0 is for what is not a letter.
+COLUMNS = 62
 #: Texts are parsed in pieces of so many letters; a phrase ends with its piece.
 PIECE = 1024
 
@@ -63,6 +67,54 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return step
 
 
+class _Table:
+    """One language's automaton: rows of its frequent letters, and a sorted list for the others.
+
+    A cell is the row of the next state, doubled, and 1 if a phrase broke before the letter.
+    """
+
+    def __init__(self, step: list[dict[int, int]], symbols: np.ndarray, known: int, base: int) -> None:
+        found = np.bincount(symbols, minlength=known + 1)
+        found[0] = 0
+        order = np.lexsort((np.arange(known + 1), -found))
+        frequent = order[: min(COLUMNS, int((found > 0).sum()))]
+        other = len(frequent) + 1
+        self.base, self.width, self.known = base, other + 1, known
+        # The last column is for all letters without one.
+        self.column = np.full(known + 1, other, np.uint8)
+        self.column[0], self.column[frequent] = 0, np.arange(1, other)
+        self.is_rare = (found > 0) & (self.column == other)
+        # One more state, the last: behind a letter that the training text lacks.
+        first = np.full(self.width, self._row(len(step)) << 1 | 1, np.int64)
+        for symbol, there in step[0].items():
+            if not self.is_rare[symbol]:
+                first[self.column[symbol]] = self._row(there) << 1 | 1
+        table = np.tile(first, (len(step) + 1, 1))
+        table[0] -= 1
+        rare: list[tuple[int, int]] = []
+        for state, row in enumerate(step):
+            for symbol, there in row.items():
+                if self.is_rare[symbol]:
+                    rare.append((state * (known + 1) + symbol, self._row(there)))
+                else:
+                    table[state, self.column[symbol]] = self._row(there) << 1
+        self.rows: np.ndarray | None = table.ravel()
+        rare.sort()
+        self.keys = np.array([x for x, _ in rare], np.int64)
+        self.there = np.array([x for _, x in rare], np.int64)
+
+    def _row(self, state: int) -> int:
+        return self.base + state * self.width
+
+    def rare_steps(self, at: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Cells for letters of this language that have no column; the root has a step for each."""
+        keys = (at.astype(np.int64) - self.base) // self.width * (self.known + 1) + symbols
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[place] == keys
+        from_root = np.searchsorted(self.keys, symbols)
+        return np.where(known, self.there[place] << 1, self.there[from_root] << 1 | 1)
+
+
 class Model:
     """Training text by language; the tables are built where they are used."""
 
@@ -77,36 +129,30 @@ class Model:
         self.texts, self.table = texts, None
 
     def build(self) -> None:
-        letters = Counter(x for text in self.texts.values() for x in text.lower() if x.isalpha())
-        known = [x for x, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: CLASSES - 2]]
-        self.class_of = np.zeros(0x110000, np.uint8)
+        letters = sorted({x for text in self.texts.values() for x in text.lower() if x.isalpha()})
+        #: 0 is no letter, the last a letter that no language has.
+        self.known = len(letters) + 1
+        self.class_of = np.zeros(0x110000, np.int32)
         for code in range(0x110000):
             if chr(code).isalpha():
-                self.class_of[code] = CLASSES - 1
-        for i, x in enumerate(known, 1):
+                self.class_of[code] = self.known
+        for i, x in enumerate(letters, 1):
             self.class_of[ord(x)] = i
-        self.names, self.roots, self.bits, tables, base = [], [], [], [], 0
+        self.names, self.bits, self.parts, tables, base = [], [], [], [], 0
         for name, text in self.texts.items():
             symbols = self.symbols(text)
-            step = suffix_automaton(symbols.tolist())
-            # One more state, the last: behind a letter that the training text lacks.
-            first = np.full(CLASSES, ((base + len(step)) * CLASSES) << 1 | 1, np.int64)
-            for symbol, there in step[0].items():
-                first[symbol] = ((base + there) * CLASSES) << 1 | 1
-            table = np.tile(first, (len(step) + 1, 1))
-            table[0] -= 1
-            for state, row in enumerate(step):
-                for symbol, there in row.items():
-                    table[state, symbol] = ((base + there) * CLASSES) << 1
+            part = _Table(suffix_automaton(symbols.tolist()), symbols, self.known, base)
             self.names.append(name)
-            self.roots.append(base * CLASSES)
             self.bits.append(math.log2(max(2, len(symbols))))
-            tables.append(table.astype(np.int32).ravel())
-            base += len(step) + 1
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+            self.parts.append(part)
+            tables.append(part.rows)
+            base += len(part.rows)
+            part.rows = None
+        wide = np.int32 if 2 * base < 1 << 31 else np.int64
+        self.table = np.concatenate(tables).astype(wide) if tables else np.zeros(0, wide)
 
     def symbols(self, text: str | None) -> np.ndarray:
-        """Classes of the letters, lower case; a run of anything else is one 0."""
+        """Numbers of the letters, lower case; a run of anything else is one 0."""
         codes = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
         classes = self.class_of[codes]
         gap = classes == 0
@@ -124,13 +170,21 @@ class Model:
         length = np.minimum(PIECE, sizes[owner] - within * PIECE)
         order = np.argsort(-length, kind="stable")
         owner, start, length = owner[order], start[order], length[order]
-        everything = np.concatenate([*texts, np.zeros(0, np.uint8)])
-        at = np.repeat(np.array(self.roots, np.int32)[:, None], len(owner), 1)
+        everything = np.concatenate([*texts, np.zeros(0, np.int32)])
+        columns = np.stack([part.column[everything] for part in self.parts])
+        rare = {i: part.is_rare[everything] for i, part in enumerate(self.parts) if part.is_rare.any()}
+        roots = np.array([part.base for part in self.parts], self.table.dtype)
+        at = np.repeat(roots[:, None], len(owner), 1)
         counts = np.ones((len(self.names), len(owner)), np.int32)
         live = np.searchsorted(-length, -np.arange(PIECE), "left")  # pieces longer than t
         for t in range(int(length[0]) if len(length) else 0):
             k = live[t]
-            value = self.table.take(at[:, :k] + everything[start[:k] + t])
+            here = start[:k] + t
+            value = self.table.take(at[:, :k] + columns[:, here])
+            for i, flags in rare.items():
+                places = np.flatnonzero(flags[here])
+                if len(places):
+                    value[i, places] = self.parts[i].rare_steps(at[i, places], everything[here[places]])
             counts[:, :k] += value & 1
             at[:, :k] = value >> 1
         total = np.zeros((len(self.names), len(texts)), np.int64)
@@ -162,7 +216,7 @@ class Model:
 
 
 def train(
-    docs: DataFrame, usable: Column, docs_each: int = 64, doc_chars: int = 2_000, total_chars: int = 160_000
+    docs: DataFrame, usable: Column, docs_each: int = 64, doc_chars: int = 2_000, lang_chars: int = 40_000
 ) -> Model:
     """Learn from the documents for which `usable` holds and whose text and lang are not null.
 
@@ -186,8 +240,7 @@ def train(
         parts.setdefault(row["name"], []).append(row["body"])
     texts = {name: "\n".join(found) for name, found in parts.items()}
     texts = {name: text for name, text in texts.items() if any(map(str.isalpha, text))}
-    each = total_chars // max(1, len(texts))
-    return Model({name: text[:each] for name, text in texts.items()})
+    return Model({name: text[:lang_chars] for name, text in texts.items()})
 
 
 def identify(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
@@ -198,13 +251,15 @@ def identify(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    languages = max(1, len(model.texts))
+
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found: list[tuple[str, float]] = []
         texts, size = [], 0
         for x in batch.column(2):
             texts.append(x.as_py())
             size += len(texts[-1] or "")
-            if size > 4_000_000:  # bounds the arrays of letters, not what is parsed
+            if size * languages > 16_000_000:  # bounds the arrays of letters, not what is parsed
                 found += shared.value.predict(texts)
                 texts, size = [], 0
         found += shared.value.predict(texts) if texts else []

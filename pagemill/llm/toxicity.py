@@ -1,13 +1,15 @@
 """Toxicity: a linear classifier trained with counterfactual regularisation.
 
 Features are the presence of words and of their first four and five letters. The labelled sample
-is counted by Spark, and features whose presence depends on the label (G-test) are kept, together
-with the identity terms. Logistic regression on them gets, besides the ridge, a penalty on the
-squared change of the log-odds when the identity terms of a labelled sentence are swapped for
-others of their group, so that naming a group does not move the score by itself.
-
-The sample is bounded by `sample` labelled documents, those of smallest hash of their id; the
-kept features by `most` and the swapped sentences by `swaps`. Everything else covers all rows.
+is counted by Spark; of the features that toxic texts hold more often than others, the `most` that
+tell most by a G-test are kept, whatever the size of the sample, together with the identity terms.
+Logistic regression on them gets, besides the ridge, a penalty on the squared change of the
+log-odds when the identity terms of a labelled sentence are swapped for others of their group, so
+that naming a group does not move the score by itself.
+
+The sample is bounded by `sample` labelled documents, those of smallest hash of their id, the kept
+features by `most`, and the swapped sentences by `swaps`, those of smallest hash over all sentences
+of the sample. Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -109,10 +110,14 @@ def fit_weights(
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, sample: int = 12_000, most: int = 600, swaps: int = 2_000,
-    least_g: float = 40.0, groups: tuple[list[str], ...] = IDENTITY,
+    docs: DataFrame, labels: DataFrame, sample: int = 12_000, most: int = 200, swaps: int = 2_000,
+    groups: tuple[list[str], ...] = IDENTITY,
 ) -> Model:
-    """Fit on (doc_id, toxic 0/1) rows. Without labels of both kinds the model is a constant."""
+    """Fit on (doc_id, toxic 0/1) rows. Without labels of both kinds the model is a constant.
+
+    An id with several labels is toxic if one of them says so; one with several texts is learned by
+    the last of them in byte order. A feature that one document alone holds is not kept.
+    """
     chosen = (
         labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -141,10 +146,10 @@ def train(
         map_batches(texts.select("toxic", "text"), emit, "feature string, toxic int")
         .groupBy("feature")
         .agg(F.count("*").alias("found"), F.sum("toxic").alias("found_toxic"))
-        .filter("found >= 8")
+        .filter("found >= 2")
     )
-    g = _g_column(n, n_toxic)
-    kept = [r.feature for r in counts.withColumn("g", g).filter(F.col("g") >= least_g).orderBy(F.desc("g"), "feature").limit(most).collect()]
+    telling = counts.filter(F.col("found_toxic") * n > F.col("found") * n_toxic).withColumn("g", _g_column(n, n_toxic))
+    kept = [r.feature for r in telling.orderBy(F.desc("g"), "feature").limit(most).collect()]
     kept += [x for x in dict.fromkeys(t for group in groups for t in group) if x not in set(kept)]
     place = {x: i for i, x in enumerate(kept)}
 
@@ -159,15 +164,19 @@ def train(
                 for other in swapped(words, groups):
                     a, b = ({place[f] for w in ws for f in features_of(w) if f in place} for ws in (words, other))
                     found.append([*(i + 1 for i in sorted(b - a)), *(-i - 1 for i in sorted(a - b))])
-            pairs.append(found[:20])
+            pairs.append(found)
         arrays = [batch.column(0), pa.array(own, pa.list_(pa.int32())), pa.array(pairs, pa.list_(pa.list_(pa.int32())))]
         return pa.RecordBatch.from_arrays(arrays, ["toxic", "own", "pairs"])
 
-    rows = map_batches(texts.select("toxic", "text"), vectors, "toxic int, own array<int>, pairs array<array<int>>").collect()
+    found = cut(map_batches(texts.select("toxic", "text"), vectors, "toxic int, own array<int>, pairs array<array<int>>"))
+    rows = found.select("toxic", "own").collect()
     x, y = np.zeros((len(rows), len(kept)), np.float32), np.array([r.toxic for r in rows], np.float64)
     for i, row in enumerate(rows):
         x[i, row.own] = 1
-    moves = list(islice((p for row in rows for p in row.pairs if p), swaps))
+    # By position as well, so that a swap that many sentences share is chosen as often as it occurs.
+    pairs = found.select(F.xxhash64("own").alias("of"), F.posexplode("pairs").alias("at", "pair")).filter(F.size("pair") > 0)
+    chosen = pairs.orderBy(F.xxhash64("of", "at", "pair"), "of", "at", "pair").limit(swaps)
+    moves = [row.pair for row in chosen.select("pair").collect()]
     changes = np.zeros((len(moves), len(kept)))
     for i, move in enumerate(moves):
         for k in move:

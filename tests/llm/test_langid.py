@@ -18,10 +18,10 @@ def text_in(lang: str, words: int, seed: int) -> str:
 
 def brute_phrases(text: list[int], training: list[int]) -> int:
     """Longest matches found by search, piece by piece."""
-    known = bytes(training)
+    known = "".join(map(chr, training))
     count = 0
     for start in range(0, len(text), langid.PIECE):
-        piece, at = bytes(text[start : start + langid.PIECE]), 0
+        piece, at = "".join(map(chr, text[start : start + langid.PIECE])), 0
         while at < len(piece):
             end = at + 1
             while end <= len(piece) and piece[at:end] in known:
@@ -44,6 +44,37 @@ def test_phrases_against_search():
         assert got[i].tolist() == want
 
 
+SCRIPTS = {"latin": 0x61, "greek": 0x3B1, "cyrillic": 0x430, "armenian": 0x561, "arabic": 0x628, "hebrew": 0x5D0, "devanagari": 0x915, "signs": 0x4E00, "more signs": 0x5E00}
+
+
+def script_text(name: str, words: int, seed: int) -> str:
+    pick = random.Random(f"{name}{seed}")
+    letters = [chr(SCRIPTS[name] + i) for i in range(900 if "signs" in name else 24)]
+    weights = [1 / (i + 1) for i in range(len(letters))]
+    return " ".join("".join(pick.choices(letters, weights, k=pick.randrange(1, 6))) for _ in range(words))
+
+
+def test_many_scripts_and_thousands_of_letters(spark):
+    texts = {name: script_text(name, 900, 0) for name in SCRIPTS}
+    model = Model(texts)
+    model.build()
+    probes = [script_text(name, n, n) for name in SCRIPTS for n in (3, 40, 300)]
+    symbols = [model.symbols(x) for x in probes]
+    got = model.phrases(symbols)
+    for i, name in enumerate(model.names):
+        training = model.symbols(texts[name]).tolist()
+        assert got[i].tolist() == [brute_phrases(x.tolist(), training) for x in symbols]
+    rows = [(i, script_text(name, 60, i), name) for i in range(12) for name in SCRIPTS]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(docs, F.col("doc_id") < 8)
+    out = identify(docs.filter("doc_id >= 8").withColumnRenamed("lang", "real"), model, F.lit(True))
+    tried = out.join(docs.select("doc_id", "text", "lang"), "doc_id").count()
+    assert tried == 4 * len(SCRIPTS) ** 2
+    want = {(i, script_text(name, 60, i)): name for i, _, name in rows}
+    found = [model.predict([text])[0][0] == name for (i, text), name in want.items() if i >= 8]
+    assert sum(found) >= 0.95 * len(found)
+
+
 def test_automaton_accepts_the_substrings():
     pick = random.Random(3)
     word = [pick.randrange(3) for _ in range(40)]

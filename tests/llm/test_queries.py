@@ -93,3 +93,16 @@ def test_op10(spark, tables):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     clean = [r for r in rows if known.get(r.doc_id) == 0]
     assert sum(r.predicted for r in clean) <= 0.05 * len(clean)
+    # Nine toxic documents are learned from here, so words of the held-out ones may be new.
+    toxic = [r for r in rows if known.get(r.doc_id) == 1]
+    assert sum(r.predicted for r in toxic) >= 0.7 * len(toxic)
+
+
+def test_op10_on_more_labels(spark):
+    sf_dir = SF_DIR.replace("0.001", "0.01")
+    known = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{sf_dir}/labels.parquet'").fetchall())
+    rows = [r for r in QUERIES["op10_toxicity"](spark, sf_dir).collect() if r.doc_id in known]
+    for held_out, least in ((False, 0.8), (True, 0.6)):
+        toxic = [r.predicted for r in rows if r.held_out == held_out and known[r.doc_id] == 1]
+        clean = [r.predicted for r in rows if r.held_out == held_out and known[r.doc_id] == 0]
+        assert sum(toxic) >= least * len(toxic) and sum(clean) <= 0.02 * len(clean)
