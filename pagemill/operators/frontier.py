@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,28 +47,46 @@ def walk_listings(seeds: DataFrame, listings: DataFrame, max_pages: int = 5) ->
 
     `seeds` is (url, seq) and `seq` names the walk, so walks may share a start. `listings` is the
     output of `listing_links`, one row per URL. A missing page, or one without a next link, ends
-    a walk; a cycle ends at `max_pages`. Pages are read and parsed once. A step joins the walks'
-    front with (url, next_url), is written, and is the last one if no walk goes on; the links are
-    fetched in one join at the end. `links_before` counts the links of a walk's earlier pages.
+    a walk; a cycle ends at `max_pages`. `links_before` counts the links of a walk's earlier pages.
+
+    Pages are read and parsed once. Walks grow by doubling: in round k every page that a walk has
+    reached leaps 2^k pages on, and two leaps make one of the next round, so `max_pages` are reached
+    in log2(max_pages) rounds, each one written table. The last round is the one that finds nothing.
     """
     pages = cut(listings.select("url", "links", "next_url"))
-    steps = pages.select("url", "next_url", F.size("links").cast("long").alias("n_links"))
-    visits = []
-    front = seeds.select(
-        F.col("seq").alias("walk"), "url", F.lit(0).cast("long").alias("links_before")
+    leaps = pages.filter(F.col("next_url").isNotNull()).select(
+        "url", F.col("next_url").alias("to"), F.size("links").cast("long").alias("n_links")
+    )
+    visits = seeds.select(
+        F.col("seq").alias("walk"), F.lit(0).alias("page_depth"), "url",
+        F.lit(0).cast("long").alias("links_before"),
     )
-    for depth in range(max_pages):
-        step = cut(front.join(steps, "url").withColumn("page_depth", F.lit(depth)))
-        visits.append(step.select("walk", "page_depth", "url", "links_before"))
-        front = step.filter(F.col("next_url").isNotNull()).select(
+    span = 1
+    while span < max_pages:
+        new = visits.join(leaps, "url").filter(F.col("page_depth") + span < max_pages).select(
             "walk",
-            F.col("next_url").alias("url"),
+            (F.col("page_depth") + span).alias("page_depth"),
+            F.col("to").alias("url"),
             (F.col("links_before") + F.col("n_links")).alias("links_before"),
         )
-        if front.isEmpty():
+        # A page that is not there has no leap, and leaves with the last join.
+        both = visits.unionByName(new).withColumn("is_visit", F.lit(True))
+        if 2 * span < max_pages:
+            then = leaps.select(F.col("url").alias("to"), F.col("to").alias("end"), F.col("n_links").alias("more"))
+            longer = leaps.join(then, "to").select(
+                "url", F.col("end").alias("to"), (F.col("n_links") + F.col("more")).alias("n_links")
+            )
+            both = both.unionByName(longer.withColumn("is_visit", F.lit(False)), allowMissingColumns=True)
+        else:
+            both = both.withColumns({"to": F.lit(None).cast("string"), "n_links": F.lit(None).cast("long")})
+        names = [name for name in both.columns if name != "is_visit"]
+        both = cut(both.select(*names, "is_visit"), by="is_visit")
+        visits = both.filter("is_visit").select("walk", "page_depth", "url", "links_before")
+        leaps = both.filter("not is_visit").select("url", "to", "n_links")
+        if visits.filter(F.col("page_depth") >= span).isEmpty():
             break
-    reached = reduce(DataFrame.unionByName, visits)
-    return reached.join(pages.select("url", "links"), "url").select(
+        span *= 2
+    return visits.join(pages.select("url", "links"), "url").select(
         "walk", "page_depth", "url", "links_before", "links"
     )
 

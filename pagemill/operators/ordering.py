@@ -3,7 +3,9 @@
 A plain window over a key hands all rows of that key to one task. Here the rows of a key are cut
 into slices of their order column first. Windows run inside slices; one summary row per key and
 slice carries the result over to the next slice. The rows are shuffled once, by (key, slice): the
-join with the summary finds them already in place. Keys must not be null.
+join with the summary finds them already in place. Slices are spans of time; a span of a key that
+holds more than SLICE_ROWS rows, be it one moment, is cut further into slices of so many rows, by
+numbering its rows in order. Keys must not be null.
 
 The input is read by both branches; callers `cut` one that is costly to work out.
 """
@@ -70,18 +72,18 @@ def _number_all(df: DataFrame, order: tuple[str, ...], out: str) -> DataFrame:
 
 def with_previous(
     df: DataFrame, key: str, ts: str, seq: str, value: str, out: str = "previous",
-    slice_seconds: int = SLICE_SECONDS,
+    slice_seconds: int = SLICE_SECONDS, slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Add the `value` of the row before in (`ts`, `seq`) order within `key`, null for the first.
 
-    `value` must not be null. Slices are spans of `ts`; a key's rows of one span share a task.
+    `value` must not be null. No task has more than `slice_rows` rows of a key in its windows.
     """
-    df = df.withColumn("_slice", _span(ts, slice_seconds))
-    group = [key, "_slice"]
+    df = _sliced(df, key, ts, seq, slice_seconds, slice_rows)
+    group = [key, *_SLICE]
     local = df.withColumn(
         "_local", F.lag(value).over(Window.partitionBy(*group).orderBy(ts, seq))
     )
-    carry = Window.partitionBy(key).orderBy("_slice")
+    carry = Window.partitionBy(key).orderBy(*_SLICE)
     before = (
         df.groupBy(*group)
         .agg(F.max_by(value, F.struct(ts, seq)).alias("_last"))
@@ -90,17 +92,17 @@ def with_previous(
     return (
         local.join(before, group, "left")
         .withColumn(out, F.coalesce("_local", "_before"))
-        .drop("_local", "_before", "_slice")
+        .drop("_local", "_before", *_SLICE)
     )
 
 
 def with_latest_mark(
     df: DataFrame, key: str, ts: str, seq: str, marked: str, out: str = "mark",
-    slice_seconds: int = SLICE_SECONDS,
+    slice_seconds: int = SLICE_SECONDS, slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Add struct(`ts`, `seq`) of the nearest row at or before this one whose `marked` is true."""
-    df = df.withColumn("_slice", _span(ts, slice_seconds))
-    group = [key, "_slice"]
+    df = _sliced(df, key, ts, seq, slice_seconds, slice_rows)
+    group = [key, *_SLICE]
     point = F.when(F.col(marked), F.struct(F.col(ts).alias("ts"), F.col(seq).alias("seq")))
     running = (
         Window.partitionBy(*group)
@@ -109,7 +111,7 @@ def with_latest_mark(
     )
     local = df.withColumn("_local", F.max(point).over(running))
     carry = (
-        Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(key).orderBy(*_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     )
     before = (
         df.groupBy(*group)
@@ -119,10 +121,30 @@ def with_latest_mark(
     return (
         local.join(before, group, "left")
         .withColumn(out, F.coalesce("_local", "_before"))
-        .drop("_local", "_before", "_slice")
+        .drop("_local", "_before", *_SLICE)
     )
 
 
+#: A slice: a span of time, and a part of it by rows.
+_SLICE = ("_span", "_piece")
+
+
+def _sliced(
+    df: DataFrame, key: str, ts: str, seq: str, slice_seconds: int, slice_rows: int
+) -> DataFrame:
+    """Add _SLICE. Only the rows of spans that hold too many are numbered, by a sort over ranges."""
+    df = df.withColumn("_span", _span(ts, slice_seconds))
+    on = [key, "_span"]
+    hot = df.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > slice_rows).select(*on)
+    if hot.isEmpty():
+        return df.withColumn("_piece", F.lit(0).cast("long"))
+    hot = cut(hot)
+    many = number_rows(df.join(hot, on, "left_semi"), (key, ts, seq), out="_piece")
+    many = cut(many.withColumn("_piece", F.expr(f"_piece div {slice_rows}")))
+    few = df.join(hot, on, "left_anti").withColumn("_piece", F.lit(0).cast("long"))
+    return few.unionByName(many)
+
+
 def first_rows(df: DataFrame, key: str, ts: str, seq: str) -> DataFrame:
     """`key`, `ts`, `seq` of the first row per key; partial aggregation absorbs hot keys."""
     earliest = F.min(F.struct(F.col(ts).alias("ts"), F.col(seq).alias("seq"))).alias("at")

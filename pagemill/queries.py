@@ -65,12 +65,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_out(rows: DataFrame) -> DataFrame:
+    """A small table that lies in fewer splits than there are cores, over all of them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return dealt_out(table(spark, sf_dir, "pages"))
 
 
 def product_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part")
+    """The products that pages are made of; dealt out before there is any HTML."""
+    return dealt_out(table(spark, sf_dir, "part"))
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import bloom, change, dedup, ordering
+from pagemill.session import cut
 
 T0 = datetime(2024, 1, 1)
 
@@ -115,6 +116,25 @@ def test_ttl_edges(spark):
     assert seqs(dedup.ttl_first_seen(df, None, ts="fetched_at", marked=later)) == set()
 
 
+def test_one_moment_of_one_key_is_cut_into_slices(spark):
+    rows = [("k", T0, n, f"h{n // 7 % 3}", n % 50 == 3) for n in range(2_000)]
+    rows += [("k", T0 + timedelta(hours=2), 5_000, "h1", False), ("j", T0, 1, "h0", True)]
+    df = spark.createDataFrame(rows, "url_key string, at timestamp, seq long, sha string, marked boolean").repartition(5)
+    df = cut(df)
+    sliced = ordering._sliced(df, "url_key", "at", "seq", 3_600, 100)
+    sizes = sliced.groupBy("url_key", *ordering._SLICE).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 100 and sizes.count() >= 22
+    got = {r.seq: r.previous for r in ordering.with_previous(df.filter("url_key = 'k'"), "url_key", "at", "seq", "sha", slice_rows=100).collect()}
+    ordered = sorted(r[2:4] for r in rows if r[0] == "k")
+    assert got == {n: (ordered[i - 1][1] if i else None) for i, (n, _) in enumerate(ordered)}
+    marks = ordering.with_latest_mark(df, "url_key", "at", "seq", "marked", slice_rows=100)
+    for r in marks.collect():
+        want = max((n for k, _, n, _, m in rows if m and k == r.url_key and n <= r.seq), default=None)
+        assert (r.mark.seq if r.mark else None) == want
+    # Without a slice that holds too many, no row is numbered.
+    assert ordering._sliced(df, "url_key", "at", "seq", 3_600, 5_000).select("_piece").distinct().count() == 1
+
+
 @pytest.mark.parametrize("slice_seconds", [300, 86_400 * 30])
 def test_changed_matches_a_fold(spark, slice_seconds):
     rows = random_rows()

@@ -15,6 +15,7 @@ from pagemill.plans.catalog import crawl_catalog
 from pagemill.plans.local import run_batch, tally
 from pagemill.plans.scrape import run_requests, scrape
 from pagemill.schemas import REQUESTS, ROBOTS_FILES
+from pagemill.session import cut
 from pagemill.sources.stores import CrawlStore
 
 T0 = datetime(2024, 1, 1)
@@ -90,14 +91,27 @@ def test_walk(spark, following, cap, path):
     assert [r["chunk_id"] for r in urls] == [n // 2 for n in range(len(path))]
 
 
-def test_a_long_walk_has_a_small_plan_and_stops_early(spark):
-    following = {chr(97 + n): chr(98 + n) for n in range(12)} | {chr(109): None}
-    read = frontier.listing_links(chain(spark, following))
-    visits = frontier.walk_listings(seed(spark, f"{SITE}/a"), read, 1_000)
-    assert visits.count() == 13
-    # The fronts are written tables; what is left is the one join that fetches the links.
+@pytest.mark.parametrize(("pages", "cap", "tables"), [(13, 1_000, 6), (1_000, 1_000, 12), (7, 1, 1)])
+def test_a_long_walk_takes_few_tables(spark, monkeypatch, pages, cap, tables):
+    written = []
+
+    def counted(df, **how):
+        written.append(1)
+        return cut(df, **how)
+
+    monkeypatch.setattr(frontier, "cut", counted)
+    rows = [(f"p{n}", [f"i{n}"] * (n % 3), f"p{n + 1}" if n + 1 < pages else None) for n in range(pages)]
+    read = spark.createDataFrame(rows, "url string, links array<string>, next_url string")
+    visits = frontier.walk_listings(seed(spark, "p0", "p3"), read, cap)
+    got = [tuple(r) for r in visits.select("walk", "page_depth", "url", "links_before").collect()]
+    want = [
+        (walk, d, f"p{start + d}", sum(n % 3 for n in range(start, start + d)))
+        for walk, start in ((0, 0), (1, 3)) for d in range(min(cap, pages - start))
+    ]
+    assert sorted(got) == sorted(want) and len(written) <= tables
+    # What is left is the one join that fetches the links.
     plan = visits._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Join ") <= 13
+    assert plan.count("Join ") == 1
 
 
 @pytest.mark.parametrize(("chunk", "mode", "chunks"), [(2, "chunked", 3), (1, "per_url", None)])
