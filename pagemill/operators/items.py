@@ -80,3 +80,11 @@ def items_page(items: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     placed = number_rows(items.withColumn("_back", -F.col("id")), "_back", out="_place")
     wanted = placed.filter(F.col("_place").between(offset + 1, offset + limit))
     return wanted.drop("_back", "_place").orderBy(F.desc("id"))
+
+
+def items_listing(items: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """One row: `total`, the number of all items, and `items`, the page as a list, newest first."""
+    rows = F.sort_array(F.collect_list(F.struct("id", *[x for x in items.columns if x != "id"])), asc=False)
+    page = items_page(items, limit, offset).agg(rows.alias("items"))
+    # Two tables of one row.
+    return items.agg(F.count("*").alias("total")).crossJoin(page)

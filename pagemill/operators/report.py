@@ -148,6 +148,15 @@ def read_dead_letters(payloads: DataFrame, limit: int = 100) -> DataFrame:
     )
 
 
+def dead_letter_listing(payloads: DataFrame, limit: int = 100) -> DataFrame:
+    """One row: `count`, the entries read, and `items`, the entries, oldest first."""
+    rows = read_dead_letters(payloads, limit)
+    names = [name for name in rows.columns if name not in ("failed_at", "url")]
+    # At most `limit` entries.
+    listed = F.sort_array(F.collect_list(F.struct("failed_at", "url", *names)))
+    return rows.agg(F.count("*").alias("count"), listed.alias("items"))
+
+
 def _metric(part: int) -> Column:
     pairs: list[Column] = []
     for name, identity in METRICS.items():

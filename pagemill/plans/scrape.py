@@ -21,7 +21,8 @@ from pagemill.operators.assisted import extract_from_replies
 from pagemill.operators.change import content_changed_ttl, content_state
 from pagemill.operators.dedup import ttl_first_seen, with_key
 from pagemill.operators.extract import extract_records
-from pagemill.operators.ordering import with_latest_mark
+from pagemill.operators.ordering import number_rows, with_latest_mark
+from pagemill.operators.politeness import delays_from_text, politeness_plan, with_delay
 from pagemill.operators.robots import robots_allowed
 from pagemill.schemas import ITEM_FIELDS, item_defect
 from pagemill.session import cut, look_up
@@ -79,6 +80,17 @@ class Run:
             F.col("first.arrived_at"),
         )
 
+    def fetch_plan(self) -> DataFrame:
+        """(url, arrived_at, seq, ordinal, host, delay_sec, start_after_sec) of each fetch.
+
+        Requests that the seen gate holds back are not fetched. The others of a host start one after
+        another, as far apart as `domain_delays` and `request_delay_sec` ask for.
+        """
+        sent = self.outcome.filter(F.col("status") != "skipped_duplicate").select("url", *ORDER)
+        numbered = number_rows(sent, ORDER, out="ordinal")
+        delays = delays_from_text(sent.sparkSession, self.settings.domain_delays)
+        return politeness_plan(with_delay(numbered, delays, self.settings.request_delay_sec))
+
     def counter_increments(self) -> DataFrame:
         """A failing URL counts once per run however many requests name it."""
         failed = self.outcome.filter(F.col("status") == "fetch_failed")

@@ -134,6 +134,14 @@ def test_pages(spark, monkeypatch):
             items.items_page(df, limit, offset)
 
 
+def test_a_page_comes_with_the_total(spark):
+    df = spark.range(1, 31).select("id", F.col("id").cast("string").alias("title"))
+    row = items.items_listing(df, 3, 2).first()
+    assert row["total"] == 30 and [tuple(r) for r in row["items"]] == [(28, "28"), (27, "27"), (26, "26")]
+    row = items.items_listing(df, 3, 99).first()
+    assert (row["total"], row["items"]) == (30, [])
+
+
 def test_row_checks(spark):
     rows = records(spark, ("u", "t" * 513, 0, 1), ("u", "t" * 512, 0, 2), ("u" * 1025, "t", 0, 3), ("u", None, 0, 4))
     assert [r["seq"] for r in items.storable(rows).collect()] == [2]
