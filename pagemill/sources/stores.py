@@ -63,17 +63,19 @@ class BatchTable:
     def matching(
         self, keys: DataFrame, before: int | None = None, keep_batch: bool = False
     ) -> DataFrame:
-        """The rows of `read` whose key is among `keys`, without a shuffle of the snapshot."""
-        if self.key is None:
-            raise ValueError("the table has no key")
-        keys = cut(keys.select(self.key).filter(F.col(self.key).isNotNull()).distinct())
+        """The rows of `read` whose key is among `keys`, without a shuffle of the snapshot.
+
+        A table without a `key` has no snapshot, and is matched on the first column of `keys`.
+        """
+        key = self.key or keys.columns[0]
+        keys = cut(keys.select(key).filter(F.col(key).isNotNull()).distinct())
         few = [row[0] for row in keys.limit(FEW_KEYS + 1).collect()]
         snapshot, rows = self._layers(before)
         layers = [rows] if snapshot is None else [snapshot, rows]
         if len(few) <= FEW_KEYS:
-            layers = [layer.filter(F.col(self.key).isin(few)) for layer in layers]
+            layers = [layer.filter(F.col(key).isin(few)) for layer in layers]
         else:
-            layers = [layer.join(keys, self.key, "left_semi") for layer in layers]
+            layers = [layer.join(keys, key, "left_semi") for layer in layers]
         found = layers[0] if len(layers) == 1 else layers[0].unionByName(layers[1])
         return found if keep_batch else found.drop("batch_id")
 

@@ -34,7 +34,7 @@ def first_seen_stream(
     def route(batch: DataFrame, batch_id: int) -> None:
         batch = cut(batch)
         seen.compact_due(batch_id)
-        marks = seen.matching(batch, before=batch_id)
+        marks = seen.matching(batch.select("url_key"), before=batch_id)
         if ttl_sec is None:
             rows = first_seen(batch, marks, ts=ts, seq=seq)
         else:
@@ -62,7 +62,9 @@ def changed_stream(
     def route(batch: DataFrame, batch_id: int) -> None:
         rows = cut(batch.select("url_key", "content_sha1", ts, seq))
         state.compact_due(batch_id)
-        stored = latest_hashes(state.matching(rows, before=batch_id, keep_batch=True))
+        stored = latest_hashes(
+            state.matching(rows.select("url_key"), before=batch_id, keep_batch=True)
+        )
         flagged.write(content_changed_ttl(rows, ttl_sec, stored, ts=ts, seq=seq), batch_id)
         state.write(content_state(flagged.read_batch(batch_id), ts=ts, seq=seq), batch_id)
 
