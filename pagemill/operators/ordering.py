@@ -126,15 +126,15 @@ def with_latest_mark(
 
 
 #: A slice: a span of time, and a part of it by rows.
-_SLICE = ("_span", "_piece")
+_SLICE = ("_slice", "_piece")
 
 
 def _sliced(
     df: DataFrame, key: str, ts: str, seq: str, slice_seconds: int, slice_rows: int
 ) -> DataFrame:
     """Add _SLICE. Only the rows of spans that hold too many are numbered, by a sort over ranges."""
-    df = df.withColumn("_span", _span(ts, slice_seconds))
-    on = [key, "_span"]
+    df = df.withColumn("_slice", _span(ts, slice_seconds))
+    on = [key, "_slice"]
     hot = df.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > slice_rows).select(*on)
     if hot.isEmpty():
         return df.withColumn("_piece", F.lit(0).cast("long"))

@@ -758,7 +758,7 @@ def items_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
 WITH {ITEM_SQL}, page AS (SELECT id, url FROM numbered ORDER BY id DESC LIMIT 50 OFFSET 20)
-SELECT (SELECT count(*) FROM items) AS total, string_agg(id || ' ' || url, ',' ORDER BY id DESC) AS listed FROM page"""
+SELECT (SELECT count(*) FROM items) AS total, coalesce(string_agg(id || ' ' || url, ',' ORDER BY id DESC), '') AS listed FROM page"""
 )
 def items_page_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = items.items_listing(stored_items(spark, sf_dir).select("id", "url"), 50, 20)
@@ -820,7 +820,7 @@ def dead_letters_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
 WITH {ATTEMPT_SQL}, oldest AS (SELECT url FROM outcomes WHERE outcome = 'failed' ORDER BY url LIMIT 100)
-SELECT count(*) AS count, string_agg(url, ',' ORDER BY url) AS urls FROM oldest"""
+SELECT count(*) AS count, coalesce(string_agg(url, ',' ORDER BY url), '') AS urls FROM oldest"""
 )
 def dead_letters_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = fetchlog.failed_fetches(fetchlog.fetch_outcomes(attempts(spark, sf_dir)))
