@@ -2,8 +2,10 @@
 
 Pages are cut into blocks. What is inside the article is the article's, also where it repeats;
 what is marked as page furniture (menus, adverts, footers, ...) by its tag or by a whole known name in
-class, id or role goes, unless it holds most of the main run. The rest of the page is
-judged by repetition: the token streams of a host's pages, without their articles, are put
+class, id or role goes, unless it holds most of the main run. Names that a subject may also have
+(a restaurant's menu, an article on search) are only a doubt inside an article: such an element
+goes if links make up most of its text, and is otherwise judged by repetition. So is the rest of
+the page: the token streams of a host's pages, without what is surely their articles', are put
 together, and substrings of `DEPTH` tokens or more that occur on a `SHARE` of its pages, and on
 `LEAST_PAGES` or most of a small host's, are boilerplate.
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,6 +72,13 @@ IDS = FIRM | frozenset(
     "main-footer sidebar sidebars side-bar left-sidebar right-sidebar sidebar-left sidebar-right newsletter-signup login-form "
     "search-form search-box share-buttons social-links social-share related-posts related-articles masthead".split()
 )
+# Names that may as well be the subject of a part of an article.
+DOUBTFUL = frozenset(
+    "menu menus menu-list menu-item search search-box login signup modal overlay banner banners widget widgets cookie consent "
+    "navigation toolbar share sharing social respond skip".split()
+)
+# Names of what readers wrote, where they are inside an article.
+READERS = frozenset("comment reader-comment user-comment comment-body comment-content".split())
 MARK_OUTSIDE = frozenset("header head site-header main-header".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # How far into the main run an element leads.
@@ -92,27 +102,34 @@ class Block:
     text: str
     article: bool
     furniture: bool
+    doubtful: bool = False  # inside an article, and only repetition can tell whether it is its own
+    links: int = 0  # characters inside links, without white space
 
 
 @dataclass
 class Mark:
     """An element marked as furniture: what it holds decides whether that can be so."""
 
+    parent: int  # the mark around it, or -1
     firm: bool
+    doubtful: bool
     level: int  # of the main run around it
     deepest: int  # of the main run in it
-    chars: int = 0
+    chars: int = 0  # of the main run
+    solid: int = 0  # characters without white space, and of these the ones in links
+    links: int = 0
 
 
 def _names(value: str) -> set[str]:
     return {"-".join(filter(None, WORD_ENDS.split(x))).lower() for x in value.split()}
 
 
-def _role(name: str, attributes: str, inside: bool) -> tuple[bool, bool, bool, int]:
-    """(unseen, furniture, firmly so, level) of an element; `inside` an article its header is its own."""
+def _role(name: str, attributes: str, inside: bool) -> tuple[bool, bool, bool, int, bool]:
+    """(unseen, furniture, firmly so, level, doubtful) of an element; `inside` an article its header is its own."""
     unseen, level = name in UNSEEN, {"main": MAIN, "article": ARTICLE}.get(name, 0)
     furniture = name in FURNITURE or (name == "header" and not inside)
     firm = furniture and name not in ("form", "header")
+    certain = furniture
     named = name not in HEADINGS
     for match in ATTRIBUTE.finditer(attributes):
         key, value = match[1].lower(), match[2] or match[3] or match[4] or ""
@@ -128,50 +145,75 @@ def _role(name: str, attributes: str, inside: bool) -> tuple[bool, bool, bool, i
             level = max(level, MAIN if value.lower() == "main" else ARTICLE)
         elif key != "aria-hidden" and named:
             found = _names(value)
-            furniture = furniture or bool(found & (IDS if key == "id" else MARKS)) or (not inside and bool(found & MARK_OUTSIDE))
-            firm = firm or bool(found & FIRM)
+            marks = found & (IDS if key == "id" else MARKS)
+            if not inside:
+                marks |= found & MARK_OUTSIDE
+            elif key != "id":
+                marks |= found & READERS
+            furniture = furniture or bool(marks)
+            certain = certain or not inside or bool(marks - DOUBTFUL)
+            firm = firm or bool(found & FIRM) or (inside and bool(marks & READERS))
     if name in ("html", "body"):
-        return False, False, False, level
+        return False, False, False, level, False
     if level == MAIN:
         furniture = firm = False
-    return unseen, furniture, firm, level
+    return unseen, furniture, firm, level, furniture and not certain
 
 
-def _unmark(blocks: list[Block], within: list[tuple[int, ...]], marks: list[Mark]) -> None:
-    """Set `furniture`: an element with most of the main run, or of a page without one, is no furniture.
+def _unmark(blocks: list[Block], within: list[int], marks: list[Mark]) -> None:
+    """Set `furniture` and `doubtful`: an element with most of the main run, or of a page without one, is no furniture.
 
-    One that is firmly marked is, unless a further part of the main run begins in it.
+    One that is firmly marked is, unless a further part of the main run begins in it. `within` is
+    the innermost mark around a block, or -1; a mark comes behind the one around it.
     """
     scoped = any(x.article for x in blocks)
     total = 0
-    for block, held in zip(blocks, within, strict=True):
-        if block.article or not scoped:
-            total += len(block.text)
-            for i in held:
-                marks[i].chars += len(block.text)
-    real = [2 * x.chars <= total or (x.firm and x.deepest <= x.level) for x in marks]
-    for block, held in zip(blocks, within, strict=True):
-        block.furniture = any(real[i] for i in held)
+    for block, i in zip(blocks, within, strict=True):
+        size = len(block.text) if block.article or not scoped else 0
+        total += size
+        if i >= 0:
+            marks[i].chars += size
+            marks[i].solid += len(block.text) - block.text.count(" ")
+            marks[i].links += block.links
+    for mark in reversed(marks):
+        if mark.parent >= 0:
+            around = marks[mark.parent]
+            around.chars += mark.chars
+            around.solid += mark.solid
+            around.links += mark.links
+            around.deepest = max(around.deepest, mark.deepest)
+    fates: list[tuple[bool, bool]] = []
+    for mark in marks:
+        gone, doubted = fates[mark.parent] if mark.parent >= 0 else (False, False)
+        real = 2 * mark.chars <= total or (mark.firm and mark.deepest <= mark.level)
+        unsure = mark.doubtful and 2 * mark.links <= mark.solid
+        fates.append((gone or (real and not unsure), doubted or (real and unsure)))
+    for block, i in zip(blocks, within, strict=True):
+        if i >= 0:
+            block.furniture, block.doubtful = fates[i]
 
 
 def blocks_of(source: str | None) -> list[Block]:
     """The visible blocks of a page, in order, with character references decoded."""
     source = source or ""
     lower: str | None = None
-    open_tags: list[tuple[str, int, tuple[int, ...], int]] = []  # name, and what was in force before it
-    unseen = level = 0
-    furniture: tuple[int, ...] = ()
+    open_tags: list[tuple[str, int, int, int]] = []  # name, and what was in force before it
+    opened: Counter[str] = Counter()  # how many of each name are open, so that a stray end tag costs nothing
+    unseen = level = links = 0
+    furniture, linked = -1, False
     marked: list[Mark] = []
-    within: list[tuple[int, ...]] = []
+    within: list[int] = []
     out: list[Block] = []
     parts: list[str] = []
 
     def end() -> None:
+        nonlocal links
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            out.append(Block(text, level > 0, False))
+            out.append(Block(text, level > 0, False, links=links))
             within.append(furniture)
+        links = 0
 
     at, size = 0, len(source)
     while at < size:
@@ -180,6 +222,8 @@ def blocks_of(source: str | None) -> list[Block]:
         if stop > at and not unseen:
             data = source[at:stop]
             parts.append(html.unescape(data) if "&" in data else data)
+            if linked:
+                links += sum(map(len, parts[-1].split()))
         if not match:
             break
         at = match.end()
@@ -191,31 +235,34 @@ def blocks_of(source: str | None) -> list[Block]:
             if name == "br" and not unseen:
                 parts.append(" ")
             continue
+        if name == "a":
+            linked = not close
         if name not in INLINE:
             end()
         if close:
-            for i in range(len(open_tags) - 1, -1, -1):
-                if open_tags[i][0] == name:
-                    _, unseen, furniture, level = open_tags[i]
-                    del open_tags[i:]
+            while opened[name]:
+                last, unseen, furniture, level = open_tags.pop()
+                opened[last] -= 1
+                if last == name:
                     break
             continue
         if name in VOID or attributes.endswith("/") and name not in RAW and name not in SCOPE and name not in FURNITURE:
             continue
-        marks = _role(name, attributes, level > 0) if attributes or name not in INLINE else (False, False, False, 0)
+        marks = _role(name, attributes, level > 0) if attributes or name not in INLINE else (False, False, False, 0, False)
         if name in INLINE and not any(marks):
             continue
         if name in INLINE:
             end()
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and open_tags and open_tags[-1][0] == name:
             _, unseen, furniture, level = open_tags.pop()
+            opened[name] -= 1
         open_tags.append((name, unseen, furniture, level))
-        if marks[3]:
-            for i in furniture:
-                marked[i].deepest = max(marked[i].deepest, marks[3])
+        opened[name] += 1
+        if marks[3] and furniture >= 0:
+            marked[furniture].deepest = max(marked[furniture].deepest, marks[3])
         if marks[1]:
-            furniture = (*furniture, len(marked))
-            marked.append(Mark(marks[2], level, level))
+            marked.append(Mark(furniture, marks[2], marks[4], level, level))
+            furniture = len(marked) - 1
         unseen, level = unseen + marks[0], max(level, marks[3])
         if name in RAW:
             lower = source.lower() if lower is None else lower
@@ -228,14 +275,14 @@ def blocks_of(source: str | None) -> list[Block]:
 
 def kinds(blocks: list[Block]) -> list[str]:
     """article, furniture, or open: what only repetition can tell."""
-    return ["furniture" if x.furniture else "article" if x.article else "open" for x in blocks]
+    return ["furniture" if x.furniture else "article" if x.article and not x.doubtful else "open" for x in blocks]
 
 
 def suffixes(blocks: list[Block], hasher: Memo) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the truncated suffixes of the page's stream outside its article, and each token's block."""
+    """Hashes of the truncated suffixes of the page's stream outside what is surely its article's, and each token's block."""
     words, owner = [], []
-    for i, block in enumerate(blocks):
-        if block.furniture or not block.article:
+    for i, (block, kind) in enumerate(zip(blocks, kinds(blocks), strict=True)):
+        if kind != "article":
             own = block.text.split(" ")
             words += own
             owner += [i] * len(own)

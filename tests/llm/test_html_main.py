@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +67,54 @@ def test_pages_without_an_article():
         assert html_main.main_text(source, set(), hasher) == want
 
 
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        # A subject that has the name of furniture stays, one made of links goes.
+        (f'<article><p>{LONG}</p><ul class="menu"><li>Soup 5</li><li>Fish 9</li></ul></article>', f"{LONG}|Soup 5|Fish 9"),
+        (f'<article><p>{LONG}</p><ul class="menu"><li><a href=/a>Home</a></li><li><a href=/b>About</a> us</li></ul></article>', LONG),
+        (f'<article><p>{LONG}</p><div class="search"><p>Search is the topic.</p></div></article>', f"{LONG}|Search is the topic."),
+        (f'<article><p>{LONG}</p><div class="sidebar"><ul class="menu"><li>m</li></ul></div></article>', LONG),
+        (f'<ul class="menu"><li>Soup</li></ul><article><p>{LONG}</p></article>', LONG),
+        # What readers wrote goes, also where it is longer than the article.
+        (f'<article><p>Short.</p><article class="comment"><p>{LONG}</p></article><div class="user-comment">{LONG}</div></article>', "Short."),
+        (f'<article><p>a</b></i></section>b</p></div><div><p>{LONG}</div></article>', f"a|b|{LONG}"),
+    ],
+)
+def test_doubtful_names_and_readers(source, want):
+    assert html_main.main_text(source, set(), html_main._hasher()) == "\n\n".join(x.strip() for x in want.split("|"))
+
+
+def test_doubtful_elements_go_by_repetition(spark):
+    pick = random.Random(4)
+    words = lambda n: " ".join(f"k{pick.randrange(3000)}" for _ in range(n))
+    notice, quoted = words(20), words(20)
+    rows, want = [], {}
+    for i in range(12):
+        own, body = words(15), words(60)
+        rows.append((i, f"http://a.example/{i}", f'<article><p>{body}</p><p>{quoted}</p><div class="widget">{notice}</div><div class="menu">{own}</div></article>'))
+        want[i] = "\n\n".join([body, quoted, own])
+    rows.append((50, "http://b.example/", f'<article><p>{body}</p><div class="widget">{notice}</div></article>'))
+    want[50] = f"{body}\n\n{notice}"
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<div>" * 40_000 + "</a>x" * 160_000,
+        "<div class=ad>x" * 60_000,
+        "<section>" * 60_000 + "</article>" * 50_000,
+        "<b class=ad>" * 40_000 + "<p>x" * 100_000,
+    ],
+)
+def test_parser_is_linear(source):
+    start = time.perf_counter()
+    blocks_of(source)
+    assert time.perf_counter() - start < 8  # under 2 s on a free core; quadratic takes minutes
+
+
 def brute(rows):
     """Repetition found by comparing every stretch of DEPTH tokens of every two pages of a host."""
     def stream(source):
