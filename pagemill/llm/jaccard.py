@@ -19,7 +19,8 @@ class representatives, so copies cost one row however many they are.
    any size is dealt out as pairs of blocks of `BLOCK` sets. These give each set its links and the
    exact components. Links are counted where they are found, so no group is written out as pairs.
 
-Equal sets are recognised by a 64-bit key of the whole set.
+Equal sets are recognised by 128 bits of the whole set: a number of 64 bits names the set, and where
+sets that differ in the other 64 share it, all but the least of them take another name.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.llm.common import Memo, free_names, limit_batches, map_batches, words_of
-from pagemill.session import cut
+from pagemill.session import cut, look_up
 
 WORDS, SIMILARITY = 5, 0.8
 COORDINATES, FEWEST = 64, 36
@@ -47,9 +48,13 @@ WHOLE = 0.8
 
 
 class Hasher:
-    """Shingle hashes and min-hash values; the hash functions follow from a fixed seed."""
+    """Shingle hashes and min-hash values; the hash functions follow from a fixed seed.
 
-    def __init__(self) -> None:
+    Keys of fewer than 64 bits serve tests of sets that share one.
+    """
+
+    def __init__(self, key_bits: int = 64) -> None:
+        self.spare = 64 - key_bits
         draw = np.random.default_rng(20240229)
         self.odd = draw.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
         self.mix = draw.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -67,8 +72,10 @@ class Hasher:
             out = _mixed(out ^ codes[i : i + len(out)])
         return np.unique(out)
 
-    def key(self, found: np.ndarray) -> int:
-        return int(np.frombuffer(xxhash.xxh3_64_digest(found.tobytes()), np.int64)[0])
+    def key(self, found: np.ndarray) -> tuple[int, int]:
+        """128 bits of the set, as two numbers; the second one alone tells two texts of an id apart."""
+        first, second = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64).tolist()
+        return first >> self.spare, second
 
     def values(self, found: np.ndarray) -> np.ndarray:
         """The least value of each hash function over the set, as its upper 32 bits."""
@@ -85,36 +92,53 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, sig) of every row; a text without words has neither key nor sig."""
-    hasher = _Lazy()
+def sketch(docs: DataFrame, key_bits: int = 64) -> DataFrame:
+    """(doc_id, raw, check, sig) of every row; a text without words has nulls but for its id."""
+    hasher = _Lazy(key_bits)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, sigs = [], []
         for text in batch.column(1):
             found = hasher.get().shingles(text.as_py())
-            keys.append(hasher.get().key(found) if len(found) else None)
+            keys.append(hasher.get().key(found) if len(found) else (None, None))
             sigs.append(hasher.get().values(found) if len(found) else None)
-        arrays = [batch.column(0), pa.array(keys, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "sig"])
+        halves = [pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), *halves, pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "raw", "check", "sig"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return map_batches(rows, work, "doc_id long, key long, sig array<int>")
+    return map_batches(rows, work, "doc_id long, raw long, check long, sig array<int>")
+
+
+def named(sketches: DataFrame) -> DataFrame:
+    """Add `key`, one per set: `raw`, or another number for sets that share that with another one.
+
+    Among 10^10 sets a few pairs share it, so the table of these is small.
+    """
+    least = F.min("check").alias("least")
+    shared = sketches.groupBy("raw").agg(least, F.max("check").alias("most")).filter("least < most")
+    shared = cut(shared.select("raw", "least"))
+    if shared.isEmpty():
+        return sketches.withColumn("key", F.col("raw"))
+    other = F.xxhash64("raw", "check")
+    return look_up(sketches, shared, "raw").select(
+        *sketches.columns, F.when(F.col("check") > F.col("least"), other).otherwise(F.col("raw")).alias("key")
+    )
 
 
 class _Lazy:
     """A hasher that each worker builds for itself."""
 
-    def __init__(self) -> None:
+    def __init__(self, key_bits: int = 64) -> None:
+        self.key_bits = key_bits
         self.hasher: Hasher | None = None
 
     def get(self) -> Hasher:
         if self.hasher is None:
-            self.hasher = Hasher()
+            self.hasher = Hasher(self.key_bits)
         return self.hasher
 
     def __reduce__(self) -> tuple:
-        return _Lazy, ()
+        return _Lazy, (self.key_bits,)
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
@@ -274,16 +298,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(key, component) of every key in (a, b) edges with a > b, by alternating stars.
 
     The component is its least key. A key with very many neighbours is only aggregated and joined
-    by key, never gathered. Edges are rewritten until a round changes none; each round is a table.
+    by key, never gathered; what it is joined with is a written table, so that AQE can split its
+    rows. Edges are rewritten until a round changes none; each round is a table.
     """
     edges, before = cut(edges), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # Large star: neighbours above a key move to the least key around it.
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
+        large = both.filter("b > a").join(cut(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
         # Small star: a key and its neighbours below move to the least of these.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large)
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         moved = large.join(low, "a")
         small = moved.filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         edges = cut(small.distinct())
@@ -328,11 +354,11 @@ def _exact(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             members: dict[int, tuple[np.ndarray, int, int]] = {}
             low, high = unit[0].column(1)[0].as_py(), unit[0].column(2)[0].as_py()
             for batch in unit:
-                columns = [batch.column(i).to_pylist() for i in (3, 4, 5)]
-                for block, key, copies, text in zip(*columns, batch.column(6), strict=True):
+                columns = [batch.column(i).to_pylist() for i in (3, 4, 5, 6)]
+                for block, key, copies, check, text in zip(*columns, batch.column(7), strict=True):
                     if key not in members:
                         found = hasher.get().shingles(text.as_py())
-                        if len(found) and hasher.get().key(found) == key:  # not another text of that id
+                        if len(found) and hasher.get().key(found)[1] == check:  # not another text of that id
                             members[key] = found, copies, block
             keys, blocks = list(members), np.array([x[2] for x in members.values()])
             if len(keys) < 2 or (low != high and blocks.min() == blocks.max()):
@@ -356,25 +382,28 @@ def _links_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def classes(docs: DataFrame, sketches: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, component, links, copies): one row per distinct shingle set of the documents.
+    """(key, raw, check, component, links, copies): one row per distinct shingle set of the documents.
 
-    `links` counts the documents of other sets that are similar enough, copies included.
+    `sketches` are `named`. `links` counts the documents of other sets that are similar enough,
+    copies included.
     """
     known = sketches.filter("key IS NOT NULL")
     reps = cut(
         known.groupBy("key").agg(
-            F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("sig").alias("sig")
+            F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"),
+            F.first("raw").alias("raw"), F.first("check").alias("check"),
         )
     )
     groups = components(candidates(reps))
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    members = cut(groups.join(sizes, "component").join(reps.select("key", "first_id", "copies"), "key"))
+    sized = look_up(groups, sizes, "component")
+    members = cut(sized.join(reps.select("key", "first_id", "copies", "check"), "key"))
     # Only texts that may be wanted are moved.
     sieve = _sieve(members.select(F.col("first_id").alias("doc_id")))
     texts = _sifted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")), sieve, True)
     # A null id cannot be looked up; sets known only by rows without ids are compared by none.
     rows = members.filter("first_id IS NOT NULL").join(texts.withColumnRenamed("doc_id", "first_id"), "first_id")
-    dealt = _dealt(rows, "component", "size", "key", BLOCK).select("component", "low", "high", "block", "key", "copies", "text")
+    dealt = _dealt(rows, "component", "size", "key", BLOCK).select("component", "low", "high", "block", "key", "copies", "check", "text")
     found = cut(dealt.mapInArrow(_exact(similarity), "key long, links long, root long, across long"))
     # Sets of a component of several blocks may be tied by chains through several units.
     wide = members.filter(F.col("size") > BLOCK).select("key")
@@ -386,11 +415,13 @@ def classes(docs: DataFrame, sketches: DataFrame, similarity: float = SIMILARITY
     )
     links = found.groupBy("key").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     return (
-        reps.select("key", "copies")
+        reps.select("key", "raw", "check", "copies")
         .join(links, "key", "left")
         .join(tied, "key", "left")
         .select(
             "key",
+            "raw",
+            "check",
             F.coalesce("component", "root", "key").alias("component"),
             F.coalesce("links", F.lit(0)).alias("links"),
             "copies",
@@ -437,7 +468,7 @@ def _sifted(
     return map_batches(marked, work, schema or docs.schema)
 
 
-def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def join(docs: DataFrame, similarity: float = SIMILARITY, key_bits: int = 64) -> DataFrame:
     """(doc_id, class_id, n_links), one row per input row.
 
     The class is the connected component of similar texts, named by its least doc_id; n_links is
@@ -445,8 +476,8 @@ def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     has no word is alone in a class. Rows without an id are counted as copies of an equal text,
     else they are alone; a class of such rows only has a null id.
     """
-    sketches = cut(sketch(docs))
-    found = cut(classes(docs, sketches, similarity))
+    sketches = named(cut(sketch(docs, key_bits)))
+    found = cut(classes(docs, sketches, similarity).drop("raw", "check"))
     rows = sketches.select("doc_id", "key").join(found, "key", "left")
     names = rows.filter("key IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("class_id"))
     return rows.join(cut(names), "component", "left").select(
@@ -456,41 +487,44 @@ def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, key_bits: int = 64) -> DataFrame:
     """The rows, with all their columns, that are first in their class: the least doc_id stays.
 
     Texts without words stay. Of rows that share the least id and an equal text, one stays.
     """
-    columns, hasher, at = docs.columns, _Lazy(), docs.columns.index("text")
-    sketches = cut(sketch(docs))
-    found = classes(docs, sketches, similarity)
-    rows = sketches.filter("key IS NOT NULL").select("doc_id", "key").join(found, "key")
-    several = (
-        rows.groupBy("component")
-        .agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("stays"))
-        .filter("n > 1")
-        .select("component", "stays")
+    columns, hasher, at = docs.columns, _Lazy(key_bits), docs.columns.index("text")
+    sketches = named(cut(sketch(docs, key_bits)))
+    found = cut(classes(docs, sketches, similarity))
+    rows = sketches.filter("key IS NOT NULL").select("doc_id", "key").join(found.select("key", "component"), "key")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("stays")
+    several = cut(
+        rows.groupBy("component").agg(F.count("*").alias("n"), least).filter("n > 1").select("component", "stays")
     )
-    # For each key of a class of several rows: the row that stays.
-    own, key, stays_id, stays_key = free_names(docs, "fate_own", "fate_key", "fate_id", "fate_stays")
+    # For each set of a class of several rows: the row that stays, and whether the set is its own.
+    names = free_names(docs, "fate_raw", "fate_check", "own_raw", "own_check", "fate_id", "fate_first")
+    raw, check, own_raw, own_check, stays_id, is_first = names
     fate = cut(
         found.join(several, "component").select(
-            F.col("key").alias(key), F.col("stays.doc_id").alias(stays_id), F.col("stays.key").alias(stays_key)
+            "key", F.col("raw").alias(raw), F.col("check").alias(check),
+            F.col("stays.doc_id").alias(stays_id), (F.col("key") == F.col("stays.key")).alias(is_first),
         )
     )
-    sieve = _sieve(rows.join(fate, rows["key"] == fate[key], "left_semi").select("doc_id"))
+    sieve = _sieve(rows.join(fate, "key", "left_semi").select("doc_id"))
+    fate = fate.drop("key")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = []
         for text in batch.column(at):
             shingles = hasher.get().shingles(text.as_py())
-            keys.append(hasher.get().key(shingles) if len(shingles) else None)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*columns, own])
+            keys.append(hasher.get().key(shingles) if len(shingles) else (None, None))
+        halves = [pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([*batch.columns, *halves], [*columns, own_raw, own_check])
 
     # Rows that are certainly alone are not moved.
-    fields = T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())])
-    marked = _sifted(docs, sieve, True, work, fields).join(fate, F.col(own) == F.col(key), "left")
-    alone = marked.filter(F.col(key).isNull())
-    stays = (F.col(own) == F.col(stays_key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(stays_id))
-    first = marked.filter(F.col(key).isNotNull() & stays).dropDuplicates([own])
+    fields = T.StructType([*docs.schema.fields, *[T.StructField(x, T.LongType()) for x in (own_raw, own_check)]])
+    same = (F.col(own_raw) == F.col(raw)) & (F.col(own_check) == F.col(check))
+    marked = _sifted(docs, sieve, True, work, fields).join(fate, same, "left")
+    alone = marked.filter(F.col(raw).isNull())
+    stays = F.col(is_first) & F.col("doc_id").cast("long").eqNullSafe(F.col(stays_id))
+    first = marked.filter(F.col(raw).isNotNull() & stays).dropDuplicates([own_raw, own_check])
     return _sifted(docs, sieve, False).unionByName(alone.select(columns)).unionByName(first.select(columns))

@@ -7,6 +7,7 @@ import pytest
 from pagemill.llm import jaccard
 from pagemill.llm.common import words_of
 from pagemill.llm.jaccard import components, join, keep_one
+from pagemill.session import cut
 
 
 def grams(text):
@@ -66,6 +67,24 @@ def test_against_all_pairs(spark, rows, monkeypatch, bucket, block):
     assert sorted((tuple(r) for r in join(docs).collect()), key=key) == sorted(brute(rows), key=key)
 
 
+def test_sets_that_share_a_key(spark, rows):
+    """With keys of 3 bits nearly all sets share theirs; only the other half tells them apart."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted((tuple(r) for r in join(docs, key_bits=3).collect()), key=key) == sorted(brute(rows), key=key)
+    wanted = {i for i, name, _ in brute(rows) if i == name and i is not None}
+    assert {r.doc_id for r in keep_one(docs, key_bits=3).collect() if r.doc_id is not None} == wanted
+
+
+def test_rows_of_a_hot_component_are_split(spark, monkeypatch):
+    """The join of a star's arms with its centre reads a written table on the centre's side."""
+    written = []
+    monkeypatch.setattr(jaccard, "cut", lambda df: written.append(df.columns) or cut(df))
+    edges = spark.createDataFrame([(i, 0) for i in range(1, 60)], "a long, b long")
+    assert {r.component for r in components(edges).collect()} == {0}
+    assert ["a", "m"] in written
+
+
 def test_one_of_each_class_stays(spark, rows):
     docs = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, fate_own int, sieve_places string")
     kept = keep_one(docs)
