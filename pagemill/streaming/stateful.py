@@ -68,15 +68,27 @@ class ContentHash(StatefulProcessor):
         before = self.stored.get() if self.stored.exists() else (None, 0)
         kept, kept_at = before
         flags = np.zeros(len(at), dtype=bool)
-        for n in range(len(at)):
-            expired = self.ttl is not None and at[n] > kept_at + self.ttl
-            if kept is None or expired or kept != sha1[n]:
-                flags[n] = True
-                kept, kept_at = sha1[n], int(at[n])
+        # Behind a flagged row, the next one is where the hash differs from the row before, or
+        # the first past the time to live.
+        null = pd.isna(sha1)
+        differs = np.flatnonzero((sha1[1:] != sha1[:-1]) | null[1:] | null[:-1]) + 1
+        fresh = kept is None or bool(null[0]) or kept != sha1[0]
+        position = 0 if fresh else self._next(at, differs, 0, kept_at)
+        while position < len(at):
+            flags[position] = True
+            kept, kept_at = None if null[position] else sha1[position], int(at[position])
+            position = self._next(at, differs, position, kept_at)
         if flags.any():
             self.stored.update((kept, kept_at))
         yield pd.DataFrame({"url_key": key[0], "at": at, "seq": seq, "changed": flags})
 
+    def _next(self, at: np.ndarray, differs: np.ndarray, position: int, kept_at: int) -> int:
+        i = int(np.searchsorted(differs, position, "right"))
+        found = int(differs[i]) if i < len(differs) else len(at)
+        if self.ttl is not None:
+            found = min(found, int(np.searchsorted(at, kept_at + self.ttl, "right")))
+        return found
+
     def close(self) -> None:
         pass
 

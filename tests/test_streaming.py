@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +105,43 @@ def test_changes(spark, tmp_path, landed, ttl):
     assert seqs(got.filter("changed")) == seqs(batch.filter("changed"))
 
 
+class Value:
+    """A value state of one key."""
+
+    def __init__(self):
+        self.held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+
+def test_changes_against_a_fold_with_nulls_and_late_rows():
+    pick = random.Random(1)
+    for n in range(3_000):
+        ttl, base, kept, kept_at = pick.choice([None, 3, 8]), 0, None, 0
+        processor = stateful.ContentHash(ttl)
+        processor.stored = Value()
+        for _ in range(3):
+            size = pick.randrange(1, 9)
+            at = sorted(base + pick.randrange(12) for _ in range(size))
+            base += pick.randrange(12)
+            hashes = [pick.choice(["a", "a", "b", None] if n % 2 else ["a", "b"]) for _ in range(size)]
+            rows = pd.DataFrame({"at": at, "seq": range(size), "content_sha1": pd.Series(hashes, dtype=object)})
+            got = next(processor.handleInputRows(("k",), iter([rows]), None))["changed"]
+            want = []
+            for t, x in zip(at, hashes, strict=True):
+                want.append(kept is None or kept != x or (ttl is not None and t > kept_at + ttl))
+                if want[-1]:
+                    kept, kept_at = x, t
+            assert list(got) == want
+
+
 def test_upserts_of_two_files(spark, tmp_path):
     folder = str(tmp_path / "in")
     records(spark, ("a", "a1", 1, 1), ("b", "b1", 1, 2)).coalesce(1).write.parquet(folder)
