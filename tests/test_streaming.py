@@ -105,6 +105,28 @@ def test_changes(spark, tmp_path, landed, ttl):
     assert seqs(got.filter("changed")) == seqs(batch.filter("changed"))
 
 
+def test_many_keys_are_few_rows_of_state(spark, tmp_path):
+    """Calls into the worker and the store go by group, and give what the batch operators give."""
+    rows = [(None if n % 90 == 7 else f"k{n % 90}", T0 + timedelta(minutes=n // 90 * 50), "ab"[n % 4 // 2], n) for n in range(360)]
+    for start in (0, 180):
+        spark.createDataFrame(rows[start : start + 180], OBSERVED).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    batch = spark.read.parquet(f"{tmp_path}/in")
+    for name, found, want in (
+        ("changed", stateful.content_changed_stream(source(spark, f"{tmp_path}/in", OBSERVED), 7_200, groups=3), change.content_changed_ttl(batch, 7_200).filter("changed")),
+        ("marks", stateful.ttl_first_seen_stream(source(spark, f"{tmp_path}/in", OBSERVED), 3_600, ts="fetched_at", groups=3), None),
+    ):
+        writer = found.writeStream.format("parquet").option("path", f"{tmp_path}/{name}").option("checkpointLocation", f"{tmp_path}/cp-{name}")
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 3
+        got = spark.read.parquet(f"{tmp_path}/{name}")
+        if want is None:
+            assert got.groupBy("url_key").count().filter("count = 2").count() == 90
+        else:
+            assert got.count() == 360 and seqs(got.filter("changed and url_key is not null")) == seqs(want.filter("url_key is not null"))
+            assert {r.url_key for r in got.collect()} == {r[0] for r in rows}
+
+
 class Value:
     """A value state of one key."""
 
