@@ -10,7 +10,7 @@ micro-batch, and over micro-batches too if more than `gap_sec` lies between the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import astuple, dataclass
 from typing import Any
 
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pagemill.operators.fetchlog import is_deciding
+from pagemill.streaming.stateful import GROUPS, by_group
 
 #: A crawl without an attempt for so long is over; rows may be late by `LATE_SEC`.
 GAP_SEC, LATE_SEC = 3_600, 86_400
@@ -98,49 +99,66 @@ def _is_rest(one: Attempt, spans: list[Span], gap: int) -> bool:
 
 
 class Crawls(StatefulProcessor):
+    """The URLs of a group, each for itself; their states lie together (see `stateful`)."""
+
     def __init__(self, most: int, gap: int) -> None:
         self.most, self.gap = most, gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, seq long, number int, decides boolean, body string")
-        self.spans = handle.getListState("spans", "first long, last long, number int")
+        self.waiting = handle.getValueState(
+            "waiting",
+            "url array<string>, at array<bigint>, seq array<bigint>, number array<int>, decides array<boolean>, body array<string>",
+        )
+        self.spans = handle.getValueState("spans", "url array<string>, first array<bigint>, last array<bigint>, number array<int>")
+        self.timers = handle.getValueState("timers", "url array<string>, at array<bigint>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = [
-            Attempt(int(r.at), int(r.seq), int(r.number), bool(r.decides), r.body if isinstance(r.body, str) else None)
-            for part in rows
-            for r in part.itertuples()
-        ]
-        yield self._advance(key, new, None)
+        new: dict[str, list[Attempt]] = {}
+        for part in rows:
+            columns = (part[name] for name in ("url", "at", "seq", "number", "decides", "body"))
+            for url, at, seq, number, decides, body in zip(*columns, strict=True):
+                one = Attempt(int(at), int(seq), int(number), bool(decides), body if isinstance(body, str) else None)
+                new.setdefault(url, []).append(one)
+        yield self._advance(lambda timers: new, None)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         # One timer may stand for several crawls, so what counts is how far the clock has come.
         clock = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        yield self._advance(key, [], clock * 1_000 - self.gap)
-
-    def _advance(self, key: Any, new: list[Attempt], closed_before: int | None) -> pd.DataFrame:
-        attempts = [Attempt(*x) for x in self.waiting.get()] if self.waiting.exists() else []
-        spans = [Span(*x) for x in self.spans.get()] if self.spans.exists() else []
-        done, attempts, spans = settle(attempts + new, spans, self.most, self.gap, closed_before)
-        for state, values in ((self.waiting, attempts), (self.spans, spans)):
-            if values:
-                state.put([astuple(x) for x in values])
-            else:
-                state.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        ends = [part[-1].at for part in segments(attempts, spans, self.gap)] + [x.last for x in spans]
-        if ends:
+        yield self._advance(lambda timers: {url: [] for url, at in timers.items() if at <= clock}, clock * 1_000 - self.gap)
+
+    def _advance(self, choose: Callable[[dict[str, int]], dict[str, list[Attempt]]], closed_before: int | None) -> pd.DataFrame:
+        """Settle the URLs that `choose` takes by their timers, with their new attempts."""
+        waiting, spans = _by_url(self.waiting.get(), Attempt), _by_url(self.spans.get(), Span)
+        timers = dict(zip(*(self.timers.get() or ([], [])), strict=True))
+        before, out = min(timers.values(), default=None), []
+        for url, new in choose(timers).items():
+            done, attempts, known = settle(waiting.get(url, []) + new, spans.get(url, []), self.most, self.gap, closed_before)
+            out += [(url, one) for one in done]
+            ends = [part[-1].at for part in segments(attempts, known, self.gap)] + [x.last for x in known]
             # The first millisecond at which something is more than the gap old.
-            self.handle.registerTimer((min(ends) + self.gap) // 1_000 + 1)
+            at = (min(ends) + self.gap) // 1_000 + 1 if ends else None
+            for state, value in ((waiting, attempts), (spans, known), (timers, at)):
+                if value or value == 0:
+                    state[url] = value
+                else:
+                    state.pop(url, None)
+        _keep(self.waiting, [(url, *astuple(x)) for url, some in waiting.items() for x in some])
+        _keep(self.spans, [(url, *astuple(x)) for url, some in spans.items() for x in some])
+        _keep(self.timers, list(timers.items()))
+        first = min(timers.values(), default=None)
+        if first != before or closed_before is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
         return pd.DataFrame(
             {
-                "url": pd.Series([key[0]] * len(done), dtype=object),
-                "html": pd.Series([x.body for x in done], dtype=object),
-                "at": pd.Series([x.at for x in done], dtype="int64"),
-                "seq": pd.Series([x.seq for x in done], dtype="int64"),
-                "attempts": pd.Series([x.attempts for x in done], dtype="int32"),
+                "url": pd.Series([url for url, _ in out], dtype=object),
+                "html": pd.Series([x.body for _, x in out], dtype=object),
+                "at": pd.Series([x.at for _, x in out], dtype="int64"),
+                "seq": pd.Series([x.seq for _, x in out], dtype="int64"),
+                "attempts": pd.Series([x.attempts for _, x in out], dtype="int32"),
             }
         )
 
@@ -148,8 +166,22 @@ class Crawls(StatefulProcessor):
         pass
 
 
+def _by_url(columns: tuple[list, ...] | None, kind: type) -> dict[str, list]:
+    found: dict[str, list] = {}
+    for url, *values in zip(*(columns or ()), strict=True):
+        found.setdefault(url, []).append(kind(*values))
+    return found
+
+
+def _keep(state: Any, rows: list[tuple]) -> None:
+    if rows:
+        state.update(tuple(map(list, zip(*rows, strict=True))))
+    else:
+        state.clear()
+
+
 def crawls_stream(
-    log: DataFrame, max_retries: int = 3, gap_sec: float = GAP_SEC, late_sec: float = LATE_SEC
+    log: DataFrame, max_retries: int = 3, gap_sec: float = GAP_SEC, late_sec: float = LATE_SEC, groups: int = GROUPS
 ) -> DataFrame:
     """(url, html, arrived_at, seq, attempts) of every crawl in a log with the columns of `ATTEMPTS`.
 
@@ -171,7 +203,7 @@ def crawls_stream(
             F.when((F.col("status") == 200) & (F.col("body") != ""), F.col("body")).alias("body"),
         )
     )
-    found = rows.groupBy("url").transformWithStateInPandas(
+    found = by_group(rows, "url", groups).transformWithStateInPandas(
         statefulProcessor=Crawls(max_retries, int(gap_sec * 1_000_000)),
         outputStructType="url string, html string, at long, seq long, attempts int",
         outputMode="Append",

@@ -24,7 +24,7 @@ from pagemill.sources.places import PLACE, with_places
 from pagemill.sources.stores import CrawlStore, latest_hashes
 from pagemill.sources.tables import stream_table
 from pagemill.streaming import routing
-from pagemill.streaming.attempts import Attempt, Crawl, settle
+from pagemill.streaming.attempts import Attempt, Crawl, crawls_stream, settle
 
 T0 = datetime(2024, 1, 1)
 LANDED = "url string, html string, force boolean, use_ai boolean, arrived_at timestamp, seq long"
@@ -106,6 +106,23 @@ def test_attempts_are_settled_across_batches(spark, tmp_path, files):
     assert sorted((r.url, r.title) for r in store.items.current().collect()) == [("a", "a"), ("c", "c")]
 
 
+def test_crawls_of_many_urls_lie_in_few_rows_of_state(spark, tmp_path):
+    """URLs of a group wait, end and time out each for itself, and share their calls and state rows."""
+    rows = [(f"u{n}", 1, 503 if n % 3 else 200, None, f"b{n}", minute(n), n) for n in range(60)]
+    rows += [(f"u{n}", 2, 404 if n % 3 == 1 else None, None, None, minute(60 + n), 60 + n) for n in range(60) if n % 3]
+    rows.append(("z", 0, None, None, None, T0 + timedelta(days=2), 200))
+    land(spark, rows, routing.ATTEMPTS, f"{tmp_path}/log", each=50)
+    stream = stream_table(spark, f"{tmp_path}/log", routing.ATTEMPTS, files_per_trigger=1)
+    crawls = crawls_stream(stream, 3, 3_600, 7_200, groups=2)
+    writer = crawls.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp")
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    # Two groups with waiting attempts, spans, timers' values, and a timer with its index.
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 2 * 5
+    got = sorted((r.seq, r.attempts, r.html) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(n, 2 if n % 3 else 1, None if n % 3 else f"b{n}") for n in range(60)]
+
+
 def test_a_url_is_crawled_again(spark, tmp_path):
     rows = [
         ("u", 1, 200, None, "<h1>old</h1>", T0, 0),
