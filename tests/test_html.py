@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from html import escape
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -119,3 +120,11 @@ def test_no_pages(spark):
 def test_bytes_that_are_no_text(spark):
     pages = spark.sql("SELECT 'u' AS url, cast(X'3C703E61FFFE623C2F703E' AS string) AS html")
     assert page_nodes(pages).first()["texts"][0]["s"] == "a\ufffd\ufffdb"
+
+
+def test_few_pages_are_held_at_a_time():
+    """What a worker holds as Python objects does not grow with the batch it is handed."""
+    bodies = pa.array([None, *[b"x" * 100_000] * 7, b""], pa.binary())
+    runs = list(H._byte_slices(bodies))
+    assert [n for run in runs for n in range(*run)] == list(range(9))
+    assert max(sum(len(body or b"") for body in bodies.slice(a, b - a).to_pylist()) for a, b in runs) <= 300_000
