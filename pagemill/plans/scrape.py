@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.config import Settings
@@ -25,7 +26,7 @@ from pagemill.operators.ordering import number_rows, with_latest_mark
 from pagemill.operators.politeness import delays_from_text, politeness_plan, with_delay
 from pagemill.operators.robots import robots_allowed
 from pagemill.schemas import ITEM_FIELDS, item_defect
-from pagemill.session import cut, look_up
+from pagemill.session import cut, look_up, side_by_side
 from pagemill.sources.places import PLACE, read_at, with_places
 from pagemill.sources.tables import has_body
 
@@ -122,10 +123,10 @@ def scrape(
     version = VERSION if "fetched_at" in pages.columns else ()
     pages = with_places(pages.withColumnRenamed("seq", "version_seq") if version else pages)
     on = ["url", *version]
-    wanted = cut(pages.select(*on, PLACE).join(cut(asked.select("url").distinct()), "url", "left_semi"))
     if version:
-        asked = cut(_with_version(asked, wanted))
-        wanted = cut(wanted.join(cut(asked.select(*on).distinct()), on, "left_semi"))
+        asked, wanted = _with_version(asked, pages)
+    else:
+        wanted = _at_urls(pages, asked, on)
     done = cut(_with_heads(asked, _heads(pages, wanted, on), on, replies is not None))
 
     def read(rows: DataFrame) -> DataFrame:
@@ -202,17 +203,52 @@ def _asked(requests: DataFrame, settings: Settings, robots: DataFrame | None) ->
     return cut(robots_allowed(asked, robots))
 
 
-def _with_version(asked: DataFrame, records: DataFrame) -> DataFrame:
-    """Add the (fetched_at, seq) of the page version each request sees; null if there is none.
+def _at_urls(pages: DataFrame, asked: DataFrame, on: list[str]) -> DataFrame:
+    """(url, version, place) of the pages whose URL is asked for."""
+    return cut(pages.select(*on, PLACE).join(cut(asked.select("url").distinct()), "url", "left_semi"))
+
+
+def _with_version(asked: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The requests with the (fetched_at, seq) of the page version each sees, null if there is none,
+    and (url, version, place) of the versions seen; both are written.
+
+    A version of a request's own (arrived_at, seq) is the first one at or after it, and is found by
+    its key. For the other requests, see `_near_version`.
+    """
+    on = ["url", *VERSION]
+    moment = ["url", "_at", "_n"]
+    kinds = {name: pages.schema[name].dataType for name in VERSION}
+    asked_at = asked.withColumns({"_at": _micros("arrived_at"), "_n": F.col("seq").cast("long")})
+    placed = pages.select(*on, PLACE).withColumns({"_at": _micros("fetched_at"), "_n": F.col("version_seq").cast("long")})
+    own = cut(placed.join(cut(asked_at.select(*moment).distinct()), moment, "left_semi"))
+    found = asked_at.join(own.select(*moment).distinct().withColumn("_own", F.lit(True)), moment, "left")
+    values = {"fetched_at": F.timestamp_micros("_at"), "version_seq": F.col("_n")}
+    found = found.withColumns({name: F.when(F.col("_own"), values[name].cast(kinds[name])) for name in VERSION})
+    found, own = cut(found.select(*asked.columns, *VERSION, "_own")), own.select(*on, PLACE)
+    rest = found.filter(F.col("_own").isNull()).select(*asked.columns)
+    found = found.filter("_own").drop("_own")
+    if rest.isEmpty():
+        return found, own
+    versions = _at_urls(pages, rest, on)
+    near = cut(_near_version(rest, versions))
+    seen = versions.join(cut(near.select(*on).distinct()), on, "left_semi")
+    return cut(found.unionByName(near)), cut(own.unionByName(seen).distinct())
+
+
+def _micros(name: str) -> Column:
+    return F.unix_micros(F.col(name).cast("timestamp"))
+
+
+def _near_version(asked: DataFrame, records: DataFrame) -> DataFrame:
+    """Add the first version at or after each request, or else the last one before.
 
     Versions and requests are put in one order, once from the end and once from the start, so that
     each request finds the version next to it. Even numbers are requests, odd ones versions.
     """
     have = records.select("url", *VERSION).distinct()
-    micros = lambda name: F.unix_micros(F.col(name).cast("timestamp"))
 
     def nearest(sign: int, out: str) -> DataFrame:
-        at = lambda name: F.timestamp_micros(sign * micros(name)).alias("at")
+        at = lambda name: F.timestamp_micros(sign * _micros(name)).alias("at")
         points = have.select(
             "url", at("fetched_at"), (2 * sign * F.col("version_seq") - 1).alias("n"),
             F.lit(True).alias("is_version"),
@@ -367,7 +403,7 @@ def run_requests(
 ) -> Mapping[str, DataFrame]:
     """Run a batch against a `CrawlStore` and write all its tables; safe to repeat."""
     store.compact_due(batch_id)
-    keys = cut(with_key(requests).select("url_key").distinct())
+    keys = with_key(requests).select("url_key")
     incremental = settings is not None and settings.incremental
     run = scrape(
         requests,
@@ -386,7 +422,6 @@ def run_requests(
     }
     if run.settings.incremental:
         tables["content_state"] = run.content_state()
-    store.items.upsert(run.items(), batch_id)
-    for name, rows in tables.items():
-        getattr(store, name).write(rows, batch_id)
+    writes = [partial(getattr(store, name).write, rows, batch_id) for name, rows in tables.items()]
+    side_by_side(store.spark, partial(store.items.upsert, run.items(), batch_id), *writes)
     return tables

@@ -31,7 +31,7 @@ from pagemill.plans.catalog import crawl_catalog
 from pagemill.plans.local import run_batch, run_site
 from pagemill.plans.scrape import scrape
 from pagemill.schemas import item_defect
-from pagemill.session import shared_folder
+from pagemill.session import cut, shared_folder
 from pagemill.sources.stores import BatchTable, CrawlStore, ItemStore
 from pagemill.sources.tables import stream_table, without_body
 from pagemill.streaming import first_seen as seen_stream
@@ -1369,6 +1369,8 @@ DAY, LATE = 86_400, 100 * 86_400
 def land_log(log: DataFrame, path: str) -> DataFrame:
     """Land a fetch log, and behind it a row of no attempt that lets the last crawls end."""
     stateful.use_rocksdb(log.sparkSession)
+    # The numbers of the attempts cost a shuffle, and every slice reads the log.
+    log = cut(log)
     stream = land(log, "attempted_at", path)
     end = log.agg(F.max("attempted_at").alias("at")).select((F.col("at") + F.make_dt_interval(F.lit(2 * LATE // DAY))).alias("attempted_at"))
     tick = end.withColumns({"url": F.lit(""), "attempt": F.lit(0)})

@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import threading
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from functools import partial
 from uuid import uuid4
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 # AQE re-plans joins from real sizes: it broadcasts only what fits the threshold and splits the
@@ -90,18 +93,37 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+def side_by_side(spark: SparkSession, *steps: Callable[[], object]) -> None:
+    """Run steps that need nothing of each other at the same time, all in this thread's run folder.
+
+    A step over few rows keeps the driver planning while the executors wait. An error of a step is
+    raised when all have ended.
+    """
+    folders = getattr(_inner, "folders", [])
+
+    def run(step: Callable[[], object]) -> None:
+        _inner.folders = list(folders)
+        step()
+
+    with ThreadPoolExecutor(len(steps)) as pool:
+        # Each gets the local properties of this thread, such as the job group of its stream.
+        started = [pool.submit(inheritable_thread_target(spark)(partial(run, step))) for step in steps]
+    for one in started:
+        one.result()
+
+
+def cut(df: DataFrame, by: str | None = None, session: SparkSession | None = None) -> DataFrame:
     """Write `df` once to the shared checkpoint folder and read it from there.
 
     Used where an expensive stage feeds several branches. The table lies in shared storage, so a
     lost executor costs only the tasks that were running; it is columnar, and its size is known
     to the planner. `checkpoint()` would work out the rows twice, once to count them. The table
     goes when its run ends (`tables_of_run`), or with the driver. With `by`, a folder per value of
-    that column lets a reader of one value skip the rest.
+    that column lets a reader of one value skip the rest. With `session`, it is that one which reads.
     """
     path = f"{run_folder(df.sparkSession)}/{uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (session or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
 def look_up(rows: DataFrame, table: DataFrame, on: str | list[str]) -> DataFrame:

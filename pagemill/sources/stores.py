@@ -11,15 +11,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 from hashlib import md5
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagemill import schemas
 from pagemill.operators.items import current_items, new_versions
-from pagemill.session import cut
+from pagemill.session import cut, side_by_side
 
 VERSIONS = (
     "id long, url string, title string, price double, availability string, rating int, "
@@ -32,6 +34,12 @@ COMPACT_EVERY = 8
 MARKER = "upto long, buckets int, top long"
 
 
+def no_rows(spark: SparkSession, schema: str) -> DataFrame:
+    """A table that the planner knows to be empty, so that no job is run to read it."""
+    kinds = StructType.fromDDL(schema)
+    return spark.range(0).filter(F.lit(False)).select(*[F.lit(None).cast(x.dataType).alias(x.name) for x in kinds])
+
+
 @dataclass(frozen=True)
 class BatchTable:
     """Batches under `path`; with a `key` and a `fold`, snapshots in buckets of that key.
@@ -111,12 +119,12 @@ class BatchTable:
     def top_id(self, before: int | None = None) -> int:
         """The highest `id`: the snapshot's is in its marker, so only later batches are read."""
         last = self._last_snapshot(before)
-        later = self._layers(before)[1].agg(F.max("id")).first()[0]
+        later = self._layers(before, last)[1].agg(F.max("id")).first()[0]
         return max(0, later or 0, (last["top"] if last else 0) or 0)
 
-    def _layers(self, before: int | None) -> tuple[DataFrame | None, DataFrame]:
+    def _layers(self, before: int | None, last: Row | None = None) -> tuple[DataFrame | None, DataFrame]:
         """The last snapshot, if there is one, and the batches behind it; both with batch_id."""
-        last = self._last_snapshot(before)
+        last = last or self._last_snapshot(before)
         rows = self._rows("batches", before)
         if last is None:
             return None, rows
@@ -135,7 +143,7 @@ class BatchTable:
         )
         return name
 
-    def _last_snapshot(self, before: int | None):  # noqa: ANN202
+    def _last_snapshot(self, before: int | None) -> Row | None:
         done = self._table("complete", MARKER)
         if before is not None:
             done = done.filter(F.col("upto") < before)
@@ -151,7 +159,7 @@ class BatchTable:
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            return no_rows(self.spark, schema)
 
 
 def latest_items(rows: DataFrame) -> DataFrame:
@@ -237,6 +245,12 @@ class CrawlStore:
             return latest_hashes(self.content_state.read(before, keep_batch=True))
         return latest_hashes(self.content_state.matching(keys, before, keep_batch=True))
 
+    def write_nothing(self, batch_id: int, incremental: bool) -> None:
+        """A batch without requests leaves no row, nor one that an earlier try of it has left."""
+        parts = [self.items.versions, self.results, self.seen, self.dead_letters, self.counters]
+        parts += [self.content_state] if incremental else []
+        side_by_side(self.spark, *(partial(x.write, no_rows(self.spark, x.schema), batch_id) for x in parts))
+
     def compact_due(self, batch_id: int) -> None:
         """What a run reads back is folded every few batches, before a batch reads it."""
         for one in (self.items.versions, self.seen, self.content_state, self.counters):

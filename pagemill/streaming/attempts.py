@@ -11,7 +11,8 @@ micro-batch, and over micro-batches too if more than `gap_sec` lies between the
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import astuple, dataclass
+from dataclasses import dataclass, fields
+from itertools import islice
 from typing import Any
 
 import pandas as pd
@@ -98,20 +99,24 @@ def _is_rest(one: Attempt, spans: list[Span], gap: int) -> bool:
     return any(x.last < one.at <= x.last + gap and one.number > x.number for x in spans)
 
 
+#: What is kept of a group: attempts that wait, spans of crawls given out, and the URLs' timers.
+PARTS = {
+    "waiting": "url array<string>, at array<bigint>, seq array<bigint>, number array<int>, decides array<boolean>, body array<string>",
+    "span": "url array<string>, first array<bigint>, last array<bigint>, number array<int>",
+    "timer": "url array<string>, at array<bigint>",
+}
+
+
 class Crawls(StatefulProcessor):
-    """The URLs of a group, each for itself; their states lie together (see `stateful`)."""
+    """The URLs of a group, each for itself; their states lie together in one value (see `stateful`)."""
 
     def __init__(self, most: int, gap: int) -> None:
         self.most, self.gap = most, gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getValueState(
-            "waiting",
-            "url array<string>, at array<bigint>, seq array<bigint>, number array<int>, decides array<boolean>, body array<string>",
-        )
-        self.spans = handle.getValueState("spans", "url array<string>, first array<bigint>, last array<bigint>, number array<int>")
-        self.timers = handle.getValueState("timers", "url array<string>, at array<bigint>")
+        # One value, so that a call asks the store once and tells it once.
+        self.stored = handle.getValueState("stored", ", ".join(f"{name}_{column}" for name, ddl in PARTS.items() for column in ddl.split(", ")))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         new: dict[str, list[Attempt]] = {}
@@ -129,8 +134,10 @@ class Crawls(StatefulProcessor):
 
     def _advance(self, choose: Callable[[dict[str, int]], dict[str, list[Attempt]]], closed_before: int | None) -> pd.DataFrame:
         """Settle the URLs that `choose` takes by their timers, with their new attempts."""
-        waiting, spans = _by_url(self.waiting.get(), Attempt), _by_url(self.spans.get(), Span)
-        timers = dict(zip(*(self.timers.get() or ([], [])), strict=True))
+        columns = iter(self.stored.get() or [[] for ddl in PARTS.values() for _ in ddl.split(", ")])
+        waiting, spans, timers = ([*islice(columns, len(ddl.split(", ")))] for ddl in PARTS.values())
+        waiting, spans, timers = _by_url(waiting, Attempt), _by_url(spans, Span), dict(zip(*timers, strict=True))
+        # The group has one timer, the first of its URLs'.
         before, out = min(timers.values(), default=None), []
         for url, new in choose(timers).items():
             done, attempts, known = settle(waiting.get(url, []) + new, spans.get(url, []), self.most, self.gap, closed_before)
@@ -143,13 +150,15 @@ class Crawls(StatefulProcessor):
                     state[url] = value
                 else:
                     state.pop(url, None)
-        _keep(self.waiting, [(url, *astuple(x)) for url, some in waiting.items() for x in some])
-        _keep(self.spans, [(url, *astuple(x)) for url, some in spans.items() for x in some])
-        _keep(self.timers, list(timers.items()))
+        if timers:
+            self.stored.update((*_columns(waiting, Attempt), *_columns(spans, Span), list(timers), list(timers.values())))
+        else:
+            # A URL with attempts that wait, or with spans, has a timer.
+            self.stored.clear()
         first = min(timers.values(), default=None)
-        if first != before or closed_before is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+        if first != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
             if first is not None:
                 self.handle.registerTimer(first)
         return pd.DataFrame(
@@ -166,18 +175,17 @@ class Crawls(StatefulProcessor):
         pass
 
 
-def _by_url(columns: tuple[list, ...] | None, kind: type) -> dict[str, list]:
+def _by_url(columns: list[list], kind: type) -> dict[str, list]:
     found: dict[str, list] = {}
-    for url, *values in zip(*(columns or ()), strict=True):
+    for url, *values in zip(*columns, strict=True):
         found.setdefault(url, []).append(kind(*values))
     return found
 
 
-def _keep(state: Any, rows: list[tuple]) -> None:
-    if rows:
-        state.update(tuple(map(list, zip(*rows, strict=True))))
-    else:
-        state.clear()
+def _columns(by_url: dict[str, list], kind: type) -> list[list]:
+    """The inverse of `_by_url`."""
+    urls = [url for url, some in by_url.items() for _ in some]
+    return [urls, *([getattr(x, field.name) for some in by_url.values() for x in some] for field in fields(kind))]
 
 
 def crawls_stream(

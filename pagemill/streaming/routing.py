@@ -64,7 +64,12 @@ def attempts_stream(
 
     def route(batch: DataFrame, batch_id: int) -> None:
         with tables_of_run(batch.sparkSession):
-            crawls = cut(batch)
+            # A stream's own session plans without AQE, in full for every number of rows.
+            crawls = cut(batch, session=store.spark)
+            if crawls.isEmpty():
+                # A batch that moved the clock, or whose crawls are all still open.
+                store.write_nothing(batch_id, limits.incremental)
+                return
             pages = crawls.select("url", "html", F.col("arrived_at").alias("fetched_at"), "seq")
             forms = [F.lit(False).alias("force"), F.lit(False).alias("use_ai")]
             run_requests(store, crawls.select("url", *forms, "arrived_at", "seq"), pages, batch_id, limits)

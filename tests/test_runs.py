@@ -5,26 +5,29 @@ from __future__ import annotations
 import os
 import random
 import re
+import threading
 from dataclasses import astuple
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill import queries
 from pagemill.config import Settings
 from pagemill.operators.extract import extract_records
 from pagemill.operators.ordering import number_rows
 from pagemill.plans import scrape as scrape_plan
 from pagemill.plans.catalog import as_requests
 from pagemill.plans.scrape import scrape
-from pagemill.session import cut, shared_folder, tables_of_run
+from pagemill.session import cut, run_folder, shared_folder, side_by_side, tables_of_run
 from pagemill.sources import places
 from pagemill.sources.places import PLACE, with_places
 from pagemill.sources.stores import CrawlStore, latest_hashes
 from pagemill.sources.tables import stream_table
 from pagemill.streaming import routing
-from pagemill.streaming.attempts import Attempt, Crawl, crawls_stream, settle
+from pagemill.streaming.attempts import Attempt, Crawl, Crawls, crawls_stream, settle
 
 T0 = datetime(2024, 1, 1)
 LANDED = "url string, html string, force boolean, use_ai boolean, arrived_at timestamp, seq long"
@@ -60,6 +63,27 @@ def test_tables_of_a_run_go_with_it(spark):
     assert not os.path.exists(outer)
 
 
+def test_steps_side_by_side(spark):
+    both = threading.Barrier(2, timeout=60)
+    spark.sparkContext.setLocalProperty("pagemill.test", "here")
+    found = []
+
+    def step(n):
+        both.wait()
+        found.append((n, run_folder(spark), spark.sparkContext.getLocalProperty("pagemill.test"), cut(spark.range(n)).count()))
+
+    def fails():
+        raise ValueError("one failed")
+
+    try:
+        with tables_of_run(spark) as folder:
+            with pytest.raises(ValueError, match="one failed"):
+                side_by_side(spark, lambda: step(2), fails, lambda: step(3))
+            assert sorted(found) == [(2, folder, "here", 2), (3, folder, "here", 3)]
+    finally:
+        spark.sparkContext.setLocalProperty("pagemill.test", None)
+
+
 @pytest.mark.parametrize("files", [1, 64])
 @pytest.mark.parametrize("incremental", [True, False])
 def test_routed_rows_do_not_depend_on_the_trigger(spark, tmp_path, files, incremental):
@@ -138,6 +162,85 @@ def test_a_url_is_crawled_again(spark, tmp_path):
     assert store.dead_letters.read().count() == 1
 
 
+def test_a_group_asks_the_store_once_a_call():
+    asked, timers = [], set()
+
+    class Value:
+        kept = None
+
+        def get(self):
+            asked.append("get")
+            return self.kept
+
+        def update(self, value):
+            asked.append("update")
+            self.kept = tuple(map(list, value))
+
+        def clear(self):
+            asked.append("clear")
+            self.kept = None
+
+    handle = SimpleNamespace(getValueState=lambda *_: Value(), registerTimer=timers.add, deleteTimer=timers.discard, listTimers=lambda: iter(timers))
+    group = Crawls(3, 10_000_000)
+    group.init(handle)
+
+    def call(*rows):
+        asked.clear()
+        new = pd.DataFrame([(*row, f"b{row[2]}") for row in rows], columns=["url", "at", "seq", "number", "decides", "body"])
+        return [(r.url, r.seq, r.attempts, r.html) for r in next(group.handleInputRows((1,), iter([new]), None)).itertuples()]
+
+    def timeout(at):
+        asked.clear()
+        found = next(group.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: at), SimpleNamespace(getExpiryTimeInMs=lambda: min(timers))))
+        return sorted((r.url, r.seq, r.attempts, r.html) for r in found.itertuples())
+
+    assert call(("a", 1_000_000, 1, 1, False), ("b", 3_000_000, 2, 1, True)) == [("b", 2, 1, "b2")]
+    assert asked == ["get", "update"] and timers == {11_001}
+    assert call(("a", 2_000_000, 3, 2, True), ("c", 5_000_000, 4, 1, False)) == [("a", 1, 2, "b3")]
+    assert asked == ["get", "update"] and timers == {12_001}
+    # The spans of a and b go at their times, and c is closed at its own.
+    assert timeout(14_000) == [] and asked == ["get", "update"] and timers == {15_001}
+    assert timeout(15_001) == [("c", 4, 1, None)] and asked == ["get", "clear"] and not timers
+
+
+def test_crawls_are_routed_in_few_steps(spark, tmp_path, monkeypatch):
+    """A crawl's page is found by its key, and a micro-batch without crawls is not routed; its tables are there."""
+    rows = [(f"u{n}", 1, 404 if n % 2 else 200, None, f"<h1>t{n}</h1>", minute(n), n) for n in range(8)]
+    rows += [("z", 0, None, None, None, T0 + timedelta(days=d), 100) for d in (2, 9)]
+    land(spark, rows, routing.ATTEMPTS, f"{tmp_path}/log", each=4)
+    searched, routed = [], []
+    search, run = scrape_plan.with_latest_mark, routing.run_requests
+    monkeypatch.setattr(scrape_plan, "with_latest_mark", lambda *a, **b: searched.append(a) or search(*a, **b))
+    monkeypatch.setattr(routing, "run_requests", lambda *a, **b: routed.append(a[3]) or run(*a, **b))
+    store = CrawlStore(spark, f"{tmp_path}/store")
+    stream = stream_table(spark, f"{tmp_path}/log", routing.ATTEMPTS, files_per_trigger=1)
+    finish(routing.attempts_stream(stream, store, NO_EXPIRY), tmp_path / "offsets")
+    assert sorted(r.url for r in store.dead_letters.read().collect()) == ["u1", "u3", "u5", "u7"]
+    assert sorted((r.url, r.title) for r in store.items.current().collect()) == [(f"u{n}", f"t{n}") for n in (0, 2, 4, 6)]
+    assert searched == [] and routed == [0, 1]
+    for part in ("results", "seen", "dead_letters", "counters", "items"):
+        assert "batch_id=2" in os.listdir(f"{tmp_path}/store/{part}/batches")
+
+
+def test_a_batch_without_requests_replaces_what_it_left(spark, tmp_path):
+    store = CrawlStore(spark, f"{tmp_path}")
+    store.results.write(spark.createDataFrame([("u", "ok", "t", 1.0)], "url string, status string, title string, price double"), 3)
+    store.write_nothing(3, incremental=True)
+    assert store.results.read().count() == 0 and store.items.current().count() == 0
+    assert store.current_content_state().isEmpty() and not os.path.exists(f"{tmp_path}/items/complete")
+
+
+def test_a_fetch_log_is_worked_out_once(spark, tmp_path, monkeypatch):
+    rows = [("u", 1, 200, None, "<h1>t</h1>", minute(n), n) for n in range(9)]
+    log, read = spark.createDataFrame(rows, routing.ATTEMPTS), []
+    landed = queries.land
+    monkeypatch.setattr(queries, "land", lambda rows, *a: read.extend(rows.inputFiles()) or landed(rows, *a))
+    queries.land_log(log.withColumn("seq", F.col("seq") + 1), f"{tmp_path}/log")
+    assert read
+    found = spark.read.schema(routing.ATTEMPTS).parquet(f"{tmp_path}/log").orderBy("attempted_at").collect()
+    assert [r.seq for r in found] == [*range(1, 10), None] and found[-1].attempt == 0
+
+
 def test_crawls_of_shuffled_attempts():
     """However the attempts are dealt into batches, each crawl comes out once."""
     rng = random.Random(3)
@@ -177,6 +280,29 @@ def test_each_request_sees_its_version(spark):
     assert run.outcome.count() == 6
 
 
+def test_versions_next_to_requests(spark):
+    """Against a plain search; requests and versions often share a moment, and some lack a number."""
+    rng = random.Random(5)
+    pick = lambda: (rng.choice("uvw"), T0 + timedelta(minutes=rng.randrange(6)), rng.randrange(4))
+    pages = sorted({pick() for _ in range(20)})
+    asked = sorted({pick() for _ in range(40)}) + [("none", T0, 1)]
+    asked += asked[:5]
+    have = spark.createDataFrame([(*page, f"<h1>{n}</h1>") for n, page in enumerate(pages)], "url string, fetched_at timestamp, seq long, html string")
+    placed = with_places(have.unionByName(have).withColumnRenamed("seq", "version_seq"))
+    table = spark.createDataFrame(asked, "url string, arrived_at timestamp, seq long")
+
+    def seen(url, *at):
+        mine = [page[1:] for page in pages if page[0] == url]
+        return min([x for x in mine if x >= at], default=max(mine, default=(None, None)))
+
+    with_own, wanted = scrape_plan._with_version(table, placed)
+    got = sorted((tuple(r) for r in with_own.collect()), key=str)
+    assert got == sorted(((*one, *seen(*one)) for one in asked), key=str)
+    assert {seen(*one) for one in asked} & {one[1:] for one in asked} and {seen(*one) for one in asked} - {one[1:] for one in asked}
+    places_of = {(r.url, r.fetched_at, r.version_seq) for r in wanted.collect()}
+    assert places_of == {(one[0], *seen(*one)) for one in asked if one[0] != "none"} and wanted.count() == 2 * len(places_of)
+
+
 def test_marks_of_earlier_runs_expire(spark):
     asked = spark.createDataFrame(
         [("u", False, False, T0 + timedelta(days=d), d) for d in (0, 1, 2, 3)] + [("u", True, False, T0 + timedelta(days=4), 4), ("u", False, False, T0 + timedelta(days=5), 5)],
